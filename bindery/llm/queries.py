@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bindery.llm.exact_dedup import exact_dedup
 from bindery.llm.quality import quality_scores
+from bindery.llm.toxicity import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op7_exact_dedup)}
+    return {f.__name__: f for f in (op2_quality_classifier, op7_exact_dedup, op8_toxicity)}
 
 
 OP7_SQL = """
