@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bindery.llm.exact_dedup import exact_dedup
 from bindery.llm.quality import quality_scores
+from bindery.llm.token_output import packed_ids
 from bindery.llm.toxicity import toxicity_scores
+from bindery.llm.vector_packing import pack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,8 +33,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op7_exact_dedup, op8_toxicity)}
+    return {f.__name__: f for f in (op2_quality_classifier, op5_packing, op7_exact_dedup, op8_toxicity, op9_token_output)}
 
 
 OP7_SQL = """
