@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bindery.llm import license_scan as licenses
 from bindery.llm.exact_dedup import exact_dedup
 from bindery.llm.quality import quality_scores
 from bindery.llm.token_output import packed_ids
@@ -21,6 +22,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op5_packing, op7_exact_dedup, op8_toxicity, op9_token_output)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_license_scan, op5_packing, op7_exact_dedup, op8_toxicity, op9_token_output)}
 
 
 OP7_SQL = """
@@ -50,4 +55,4 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op3_license_scan": licenses.oracle(), "op7_exact_dedup": OP7_SQL}
