@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bindery.llm import license_scan as licenses
+from bindery.llm import mixing
 from bindery.llm.exact_dedup import exact_dedup
 from bindery.llm.quality import quality_scores
+from bindery.llm.spot_signatures import fingerprints
 from bindery.llm.token_output import packed_ids
 from bindery.llm.toxicity import toxicity_scores
 from bindery.llm.vector_packing import pack
@@ -26,6 +28,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -42,8 +48,12 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids(table(spark, sf_dir, "documents"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_license_scan, op5_packing, op7_exact_dedup, op8_toxicity, op9_token_output)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints)}
 
 
 OP7_SQL = """
@@ -55,4 +65,4 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.oracle(), "op7_exact_dedup": OP7_SQL}
+    return {"op3_license_scan": licenses.oracle(), "op4_source_mixing": mixing.oracle(), "op7_exact_dedup": OP7_SQL}
