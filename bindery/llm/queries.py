@@ -11,6 +11,7 @@ from bindery.llm import mixing
 from bindery.llm.exact_dedup import exact_dedup
 from bindery.llm.quality import quality_scores
 from bindery.llm.spot_signatures import fingerprints
+from bindery.llm.substring_dedup import substring_dedup
 from bindery.llm.token_output import packed_ids
 from bindery.llm.toxicity import toxicity_scores
 from bindery.llm.vector_packing import pack
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +58,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints)}
 
 
 OP7_SQL = """
