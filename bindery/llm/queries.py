@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bindery.llm import license_scan as licenses
 from bindery.llm import mixing
 from bindery.llm.exact_dedup import exact_dedup
+from bindery.llm.jaccard_join import jaccard_components
 from bindery.llm.quality import quality_scores
 from bindery.llm.spot_signatures import fingerprints
 from bindery.llm.substring_dedup import substring_dedup
@@ -41,6 +42,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op6_ngram_jaccard_join, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints)}
 
 
 OP7_SQL = """
