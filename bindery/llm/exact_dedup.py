@@ -74,8 +74,11 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns. Rows that repeat doc_id and text become one."""
-    kept = exact_dedup(docs, counters).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
+    """The rows of docs that exact_dedup keeps, with all their columns. Of rows that repeat doc_id and text any one stays."""
+    found = exact_dedup(docs, counters)
+    kept = found.filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]) & (digest == kept["_keep_sha"]), "left_semi")
-    return joined
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]) & (digest == kept["_keep_sha"]), "left_semi")
+    # such rows meet in the same group above; only where there are any do texts have to be compared again
+    repeated = found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count()
+    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
