@@ -115,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[dict[bytes,
     """vocabulary, weights and bias from labels.toxic of rows whose crc32(doc_id) mod 3 is not 1."""
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter((fold(F.col("doc_id"), FOLD[0]) != FOLD[1]) & F.col("y").isNotNull())
     taught = taught.groupBy("doc_id").agg(F.max("y").alias("y"))
-    train = sampled(taught, F.col("doc_id"), taught.count(), fit_rows).join(docs, "doc_id")
+    # the sample has about fit_rows rows of two numbers, so it goes to the texts rather than they to it
+    train = docs.join(F.broadcast(sampled(taught, F.col("doc_id"), taught.count(), fit_rows)), "doc_id")
     # copies would count the same evidence again and again
     train = cut(train.groupBy(F.sha2("raw", 256).alias("sha")).agg(F.max("y").alias("y"), F.any_value("raw").alias("raw")).select("y", "raw"))
     n, pos = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
