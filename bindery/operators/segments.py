@@ -46,6 +46,12 @@ def plain_title(heading: Column) -> Column:
     return trim_space(F.regexp_replace(F.regexp_replace(bare, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"[*`]+|(?<!\w)_+|_+(?!\w)", ""))
 
 
+def written(title: Column, content: Column) -> Column:
+    """A segment's file: its content, under its title unless it begins with '#' itself."""
+    bare = trim_space(content)
+    return F.when(bare.startswith("#"), F.concat(bare, F.lit("\n"))).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), content, F.lit("\n")))
+
+
 def segment_array(text: Column) -> Column:
     """array<struct<ord, title, body>>: the segments of a Markdown text; bodies are ready to be written.
 
@@ -53,14 +59,11 @@ def segment_array(text: Column) -> Column:
     """
     marked = F.array_join(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.when(is_heading(t), F.concat(F.lit(MARK), t)).otherwise(t)), "")
 
-    def body(title: Column, content: Column) -> Column:
-        return F.when(content.startswith("#"), F.concat(content, F.lit("\n"))).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), content, F.lit("\n")))
-
     def one(part: Column, i: Column, prelude: Column) -> Column:
         found = plain_title(F.element_at(tokens(part), 1))
         title = F.when(found == "", F.format_string(UNTITLED, i + 1)).otherwise(found)
         content = trim_space(F.when(i == 0, F.concat(prelude, part)).otherwise(part))
-        return let(F.struct(title.alias("t"), content.alias("c")), lambda s: F.struct((i + 1).cast("int").alias("ord"), s["t"].alias("title"), body(s["t"], s["c"]).alias("body")))
+        return let(F.struct(title.alias("t"), content.alias("c")), lambda s: F.struct((i + 1).cast("int").alias("ord"), s["t"].alias("title"), written(s["t"], s["c"]).alias("body")))
 
     whole = F.array(F.struct(F.lit(1).alias("ord"), F.lit(WHOLE).alias("title"), F.concat(F.lit(f"# {WHOLE}\n\n"), trim_space(F.coalesce(text, F.lit(""))), F.lit("\n")).alias("body")))
 

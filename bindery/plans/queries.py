@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions import text as X
 from bindery.operators import assets, bundles, jobs, metrics, pdf_model, segments, validation
+from bindery.plans import convert as conversion
 from bindery.plans import derived as D
 from bindery.sources import html
 
@@ -193,9 +194,7 @@ def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH line AS (SELECT lang, {TRIM.format("unnest(string_split(coalesce(text, ''), chr(10)))")} AS line FROM documents)
 SELECT lang, count(*) AS lines, count(*) FILTER (WHERE {LIKE}) AS heading_like FROM line WHERE line <> '' GROUP BY lang""")
 def heading_like_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = X.trim_space(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)))
     lines = D.table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("raw")).select("lang", X.trim_space(F.col("raw")).alias("line")).filter("line <> ''")
-    del line
     return lines.groupBy("lang").agg(F.count("*").alias("lines"), F.count_if(X.is_heading_like(F.col("line"))).alias("heading_like"))
 
 
@@ -447,3 +446,17 @@ def pdf_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = lines.select("doc_id", "page").distinct()
     marks = pages.filter("CAST(doc_id AS BIGINT) % 2 = 0").select("doc_id", F.col("page").alias("ord"), F.lit(1).alias("depth"), F.format_string("Parte %d", "page").alias("title"), "page")
     return pdf_model.segments(lines, marks)
+
+
+@query()
+def published_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main path over chats as Markdown, pages as HTML and documents as plain texts: each job's level and files."""
+    parts = [
+        D.chat_documents(spark, sf_dir).select(F.concat(F.lit("chat-"), F.col("doc_id").cast("string")).alias("job_id"), F.lit("md").alias("format"), F.col("text")),
+        D.table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("job_id"), F.lit("html").alias("format"), F.col("html").alias("text")),
+        spread_documents(spark, sf_dir).select(F.concat(F.lit("text-"), F.col("doc_id").cast("string")).alias("job_id"), F.lit("txt").alias("format"), F.col("text")),
+    ]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("job_id", F.concat_ws(".", "job_id", "format").alias("original_name"), "format", F.col("text").cast("binary").alias("content"), F.lit("2024-06-01 12:00:00").cast("timestamp").alias("converted_at"))
+    out = conversion.publish(found)
+    counted = out.files.groupBy("job_id").agg(F.count("*").alias("files"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
+    return out.reports.select("job_id", "level").join(counted, "job_id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.functions.text import extension_of, parse_format
@@ -30,6 +30,6 @@ def listing(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").filter(F.col("path").contains(prefix))
 
 
-def as_text(content) -> F.Column:
+def as_text(content: Column) -> Column:
     """UTF-8 text; bytes that are none become replacement characters."""
-    return F.decode(content, "UTF-8")
+    return F.make_valid_utf8(content.cast("string"))

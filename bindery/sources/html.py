@@ -29,16 +29,27 @@ class MarkdownWriter(HTMLParser):
         self.pre = 0
         self.heading = 0
         self.rows: list[list[str]] | None = None
+        self.cell = False
         self.pending = ""
 
+    def end_cell(self) -> None:
+        """Puts what stands in an open table cell into its row."""
+        if self.cell and self.rows is not None:
+            text = re.sub(r"\s+", " ", "".join(self.line).replace("\x00", " ")).strip().replace("|", "\\|")
+            if not self.rows:
+                self.rows.append([])
+            self.rows[-1].append(text)
+        self.line, self.cell = [], False
+
     def end_block(self) -> None:
         text = "".join(self.line)
         self.line = []
-        text = text.strip("\n") if self.pre else re.sub(r"[ \t\n\f\r]+", " ", text.replace("\x00", "  \n")).replace(" \n ", "  \n").strip()
-        text = re.sub(r"(\*\*|_|`)\1", "", text).strip() if not self.pre else text
-        if self.rows is not None or not text:
-            if text and self.rows is not None and self.rows:
-                self.rows[-1].append(text.replace("|", "\\|"))
+        if self.pre:
+            text = text.strip("\n")
+        else:
+            text = re.sub(r" ?\x00 ?", "  \n", re.sub(r"[ \t\n\f\r]+", " ", text)).strip()
+            text = re.sub(r"(\*\*|`)\1|__", "", text).strip()
+        if not text:
             return
         lead = "".join(self.prefix)
         first = lead + self.pending
@@ -75,11 +86,16 @@ class MarkdownWriter(HTMLParser):
                 kind, n = self.lists[-1]
                 self.pending = "  " * (len(self.lists) - 1) + (f"{n}. " if kind == "ol" else "- ")
         elif tag == "tr" and self.rows is not None:
+            self.end_cell()
             self.rows.append([])
-        elif tag in ("td", "th"):
-            self.line = []
+        elif tag in ("td", "th") and self.rows is not None:
+            self.end_cell()
+            self.cell = True
         elif tag in BLOCKS:
-            self.end_block()
+            if self.rows is None:
+                self.end_block()
+            else:
+                self.line.append(" ")
             if tag in ("ul", "ol"):
                 self.lists.append([tag, 0])
             elif tag == "blockquote":
@@ -105,13 +121,11 @@ class MarkdownWriter(HTMLParser):
                 self.line.append(f"]({href})")
         elif tag in MARKS and not self.pre:
             self.line.append(MARKS[tag])
-        elif tag in ("td", "th") and self.rows is not None:
-            text = "".join(self.line)
-            self.line = []
-            if self.rows:
-                self.rows[-1].append(re.sub(r"\s+", " ", text.replace("\x00", " ")).strip().replace("|", "\\|"))
+        elif tag in ("td", "th", "tr") and self.rows is not None:
+            self.end_cell()
         elif tag in BLOCKS:
-            self.end_block()
+            if self.rows is None or tag == "table":
+                self.end_block() if self.rows is None else self.end_cell()
             if tag in ("ul", "ol") and self.lists:
                 self.lists.pop()
             elif tag == "blockquote" and self.prefix:
@@ -120,6 +134,7 @@ class MarkdownWriter(HTMLParser):
                 self.pre -= 1
                 self.out.append("```")
             elif tag == "table" and self.rows is not None:
+                self.end_cell()
                 rows, self.rows = [r for r in self.rows if r], None
                 if rows:
                     self.out.append("\n".join(["| " + " | ".join(rows[0]) + " |", "| " + " | ".join("---" for _ in rows[0]) + " |", *("| " + " | ".join(r) + " |" for r in rows[1:])]))
@@ -143,8 +158,9 @@ def to_markdown(html: str | None) -> str:
         elif fence and out and out[-1].startswith("```"):
             out[-1] += "\n" + block
         else:
-            tight = bool(out) and re.match(r"\s*(?:- |\d+\. )", block) and re.match(r"\s*(?:- |\d+\. )", out[-1].rsplit("\n", 1)[-1])
-            if tight:
+            item = re.match(r"(\s*)(- |\d+\. )", block)
+            last = re.match(r"(\s*)(- |\d+\. )", out[-1].rsplit("\n", 1)[-1]) if out else None
+            if item and last and (item[1] != last[1] or item[2] == last[2] == "- " or "." in item[2] and "." in last[2]):
                 out[-1] += "\n" + block
             else:
                 out.append(block)
