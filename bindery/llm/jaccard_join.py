@@ -31,7 +31,7 @@ from bindery.llm.components import components
 from bindery.llm.words import BLANKS, mix, shingle_set
 
 #: Bytes of text for a bucket; shingles that a task gathers before it sends them, and of a block of sets.
-BUCKET_BYTES, FLUSH, BLOCK = 24_000_000, 2_000_000, 1_000_000
+BUCKET_BYTES, FLUSH, BLOCK = 8_000_000, 500_000, 500_000
 #: Sets and shingles of a search task's half; a group of up to twice as many is one task.
 HALF_SETS, HALF_SHINGLES = 256, 500_000
 NULL_ID, NOBODY = -(1 << 63), 0
