@@ -48,3 +48,24 @@ def test_contracts(spark):
     for name, fold in (("op2_quality_classifier", (4, 2)), ("op8_toxicity", (3, 1))):
         rows = __spark_entry__.queries()[name](spark, DATA).collect()
         assert len(rows) == n and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % fold[0] == fold[1]) for r in rows)
+
+
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "src1", 0), (3, "x" * 100_000, "en", None, 5), (4, "plain words here", None, "src2", 3), (4, "plain words here", None, "src2", 3),
+    (None, "plain words here", "de", "other", None), (None, None, None, None, None), (5, "word " * 5000, "fr", "src7", 1), (6, "plain words here too", "de", "src19", 1),
+]
+
+
+@pytest.mark.parametrize("k", range(5))
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_bear_odd_rows(spark, k, rows):
+    extra = "score double, kept string, node long, component_id string, digest string, label string, units string"
+    docs = spark.createDataFrame([(*r, *[None] * 7) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    out = corpus_pipeline.STAGES[k][1](spark, docs, DATA)
+    found = out.collect()
+    if k < 4:
+        assert out.columns == docs.columns and len(found) <= len(rows)
+    if k == 1 and rows:
+        assert sorted(r.text or "" for r in found) == sorted({r[1] or "" for r in rows})
+    if k == 4:
+        assert sum(r.length for r in found) >= len(rows)
