@@ -2,7 +2,8 @@
 
 1. A task turns texts into sets of 64-bit shingle hashes and sends them, packed, to buckets by hash. A bucket tells which
    of a set's shingles stand in other sets too. Within a task that is settled at once, and a bucket gets such a shingle
-   from a task once, so no bucket gathers the sets of a frequent shingle. Equal sets are one node.
+   from a task once, so no bucket gathers the sets of a frequent shingle. Equal sets are one node; the set of a text with
+   very many copies is sent for one of them.
 2. Only nodes with enough shared shingles can link. Their shingles are ordered by how many of those nodes hold them; if
    two nodes link, their prefixes in this order share a shingle (prefix filter). Nodes that are connected by prefixes form
    a coarse group; no link leaves it. A large group is cut by length class, then by hash into blocks, and each pair of
@@ -26,14 +27,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import input_bytes, stored
+from bindery.llm.common import cut, input_bytes, stored
 from bindery.llm.components import components
+from bindery.llm.exact_dedup import frequent
 from bindery.llm.words import BLANKS, mix, shingle_set
 
 #: Bytes of text for a bucket; shingles that a task gathers before it sends them, and of a block of sets.
 BUCKET_BYTES, FLUSH, BLOCK = 8_000_000, 500_000, 500_000
 #: Sets and shingles of a search task's half; a group of up to twice as many is one task.
 HALF_SETS, HALF_SHINGLES = 256, 500_000
+COPY_COUNTERS = 16_384
+#: So many times the number of sets make lists dense.
+DENSE = 4
 NULL_ID, NOBODY = -(1 << 63), 0
 U8, I8, I4 = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4")
 
@@ -78,7 +83,7 @@ TOLD = "kind int, doc long, node long, n long, hashes binary"
 
 
 def send_shingles(words: int, buckets: int):
-    """For mapInArrow over (doc, raw): rows of SENT."""
+    """For mapInArrow over (doc, raw, copy): rows of SENT. Of a copy only the document is sent, its set comes with another."""
 
     def pieces(kind: int, to: np.ndarray, node: np.ndarray, size: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
         order = np.lexsort((node, to))
@@ -98,7 +103,7 @@ def send_shingles(words: int, buckets: int):
             rows: list[tuple] = []
             if docs:
                 doc, node, n = (np.array(c, t) for c, t in zip(zip(*docs, strict=True), (I8, U8, I4), strict=True))
-                to = (mix(node) % np.uint64(buckets)).astype(np.int64)
+                to = (mix(doc.view(U8)) % np.uint64(buckets)).astype(np.int64)
                 rows += [(int(b), 2, doc[to == b].tobytes(), n[to == b].tobytes(), b"", node[to == b].tobytes()) for b in np.unique(to)]
             if sets:
                 lengths = np.array([len(s) for s in sets.values()])
@@ -117,15 +122,15 @@ def send_shingles(words: int, buckets: int):
             return batch(rows, SENT)
 
         for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, raw, copy in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = shingle_set(raw.lower(), words, BLANKS)
                 with np.errstate(over="ignore"):
                     node = int(mix(np.array([mix(s).sum(dtype=U8) + np.uint64(len(s) + 1)], U8))[0]) if len(s) else NOBODY
                 docs.append((doc, node, len(s)))
-                if len(s) and node not in sets:
+                if len(s) and not copy and node not in sets:
                     sets[node] = s
                     held += len(s)
-                if held >= FLUSH:
+                if held >= FLUSH or len(docs) >= FLUSH:
                     yield flush()
         yield flush()
 
@@ -264,7 +269,9 @@ class Links:
         ids, h = ids[order], h[order]
         edges = runs_of(h)
         several = np.flatnonzero(np.diff(edges) > 1)
-        self.lists: list[list[int]] = [ids[edges[k] : edges[k + 1]].tolist() for k in several]
+        self.arrays = [ids[edges[k] : edges[k + 1]] for k in several]
+        self.lists: list[list[int]] = [a.tolist() for a in self.arrays]
+        self.all_sizes = np.array(sizes)
         self.of: list[list[int]] = [[] for _ in sets]  # the lists that hold a set
         for k, members in enumerate(self.lists):
             for i in members:
@@ -310,11 +317,21 @@ class Links:
                     heapq.heappush(heap, (lists[k][at], k, at))
 
     def partners(self, i: int) -> Iterator[int]:
-        """The sets that link with set i, but for those already connected with it."""
-        n, own = self.sizes[i], sorted((self.lists[k] for k in self.of[i]), key=len)
-        least = needed(n, self.percent)
-        if len(own) < least:
+        """The sets that link with set i, but for those already connected with it.
+
+        Where the lists are so dense that a heap would pass most sets again and again, occurrences are counted in an array
+        instead; the result is the same.
+        """
+        n, least = self.sizes[i], needed(self.sizes[i], self.percent)
+        if len(self.of[i]) < least:
+            return
+        if sum(len(self.lists[k]) for k in self.of[i]) > DENSE * len(self.sizes):
+            count = np.bincount(np.concatenate([self.arrays[k] for k in self.of[i]]), minlength=len(self.sizes))
+            for j in np.flatnonzero(100 * count >= self.percent * (n + self.all_sizes - count)).tolist():
+                if j != i and self.find(i) != self.find(j):
+                    yield j
             return
+        own = sorted((self.lists[k] for k in self.of[i]), key=len)
         aside = max(0, min(least - 1, int(least / (0.01 * math.log2(len(own[-1]) + 1) + 1))))
         short, long = own[: len(own) - aside], own[len(own) - aside :]
         for j, count in self.candidates(short, least - aside):
@@ -390,6 +407,19 @@ def search_tasks(ordered: DataFrame, coarse: DataFrame, percent: int) -> DataFra
     return placed.select("root", "node", "n", "hashes", F.inline(F.when(whole, F.array(task(minus, minus, minus, minus))).otherwise(tasks)))
 
 
+def marked_copies(keyed: DataFrame) -> DataFrame:
+    """keyed with copy: whether the row repeats one of the most frequent texts and another doc_id stands for that text.
+
+    The frequent texts are found by a heavy-hitter search of their digests; at most COPY_COUNTERS of them are broadcast.
+    """
+    digest = F.sha2("raw", 256)
+    digests = cut(keyed.select("doc", digest.alias("digest")))
+    winners = digests.join(F.broadcast(frequent(digests, "digest", COPY_COUNTERS)), "digest").groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
+    winners = cut(winners.filter("n > 1").select("digest", "first"))
+    joined = keyed.withColumn("digest", digest).join(F.broadcast(winners), "digest", "left")
+    return joined.select("doc", "raw", F.coalesce(F.col("doc") != F.col("first"), F.lit(False)).alias("copy"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, buckets: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
@@ -401,7 +431,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bucke
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     buckets = buckets or max(1, -(-input_bytes(docs) // BUCKET_BYTES))
-    told = stored(keyed.mapInArrow(send_shingles(words, buckets), SENT).groupBy("bucket").applyInArrow(answer, TOLD))
+    told = stored(marked_copies(keyed).mapInArrow(send_shingles(words, buckets), SENT).groupBy("bucket").applyInArrow(answer, TOLD))
     documents = told.filter("kind = 2").select("doc", "node", "n")
     shared = told.filter("kind = 1").groupBy("node").agg(F.max("n").alias("n"), F.sum(F.length("hashes") / 6).alias("found"), F.collect_list("hashes").alias("hashes"))
     able = shared.filter(F.col("found") * 100 >= percent * F.col("n")).select("node", "n", "hashes")

@@ -193,7 +193,9 @@ def test_jaccard_null_ids_and_no_rows(spark):
     assert jaccard_components(table(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_search_finds_all_links():
+@pytest.mark.parametrize("dense", [0, 4, 10_000])
+def test_search_finds_all_links(monkeypatch, dense):
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
     rng = np.random.default_rng(0)
     base = rng.integers(1, 1 << 40, 60).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(60) > 0.06], rng.integers(1, 1 << 40, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(60)]
