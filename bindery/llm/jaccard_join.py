@@ -76,23 +76,30 @@ def runs_of(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]])
 
 
+def pieces(kind: int, to: np.ndarray, node: np.ndarray, size: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
+    """Shingles (of a node with so large a set) as packed rows: to, kind, nodes, their sizes and counts, hashes."""
+    order = np.lexsort((node, to))
+    to, node, size, h = to[order], node[order], size[order], h[order]
+    edges = runs_of(to)
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        cuts = runs_of(node[i:j])
+        yield int(to[i]), kind, node[i:j][cuts[:-1]].tobytes(), size[i:j][cuts[:-1]].astype(I4).tobytes(), np.diff(cuts).astype(I4).tobytes(), short48(h[i:j])
+
+
+def owner(node: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket where a node's shared shingles meet."""
+    return (mix(node) % np.uint64(buckets)).astype(np.int64)
+
+
 #: kind 0: shingles whose bucket has to answer; 1: shingles known to be shared; 2: documents. For 0 and 1, ids are nodes,
 #: sizes their sets' sizes, counts how many of the hashes are each one's; for 2 ids are doc_ids, hashes nodes.
 SENT = "bucket int, kind int, ids binary, sizes binary, counts binary, hashes binary"
-TOLD = "kind int, doc long, node long, n long, hashes binary"
+TOLD = "kind int, doc long, node long, n long, owner int, ids binary, sizes binary, counts binary, hashes binary"
 
 
 def send_shingles(words: int, buckets: int):
     """For mapInArrow over (doc, raw, copy): rows of SENT. Of a copy only the document is sent, its set comes with another."""
 
-    def pieces(kind: int, to: np.ndarray, node: np.ndarray, size: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
-        order = np.lexsort((node, to))
-        to, node, size, h = to[order], node[order], size[order], h[order]
-        edges = runs_of(to)
-        for i, j in zip(edges[:-1], edges[1:], strict=True):
-            cuts = runs_of(node[i:j])
-            yield int(to[i]), kind, node[i:j][cuts[:-1]].tobytes(), size[i:j][cuts[:-1]].astype(I4).tobytes(), np.diff(cuts).astype(I4).tobytes(), short48(h[i:j])
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[tuple[int, int, int]] = []
         sets: dict[int, np.ndarray] = {}
@@ -116,7 +123,7 @@ def send_shingles(words: int, buckets: int):
                 asked_node = np.append(node[~shared], np.full(len(asked_h) - (~shared).sum(), NOBODY, U8))
                 asked_size = np.append(size[~shared], np.zeros(len(asked_h) - (~shared).sum(), size.dtype))
                 rows += pieces(0, bucket_of(asked_h, buckets), asked_node, asked_size, asked_h)
-                rows += pieces(1, (mix(node[shared]) % np.uint64(buckets)).astype(np.int64), node[shared], size[shared], h[shared])
+                rows += pieces(1, owner(node[shared], buckets), node[shared], size[shared], h[shared])
             docs.clear(), sets.clear()
             held = 0
             return batch(rows, SENT)
@@ -141,66 +148,67 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(I8)
 
 
-def answer(t: pa.Table) -> pa.Table:
-    """For a bucket's rows of SENT: rows of TOLD, the documents and each node's shingles that other nodes hold too."""
-    rows: list[tuple] = []
-    ids, sizes, counts, hashes = [], [], [], []
-    for r in t.to_pylist():
-        if r["kind"] == 2:
-            doc, n, node = np.frombuffer(r["ids"], I8), np.frombuffer(r["sizes"], I4), signed(np.frombuffer(r["hashes"], U8))
-            rows += [(2, d, v, k, None) for d, v, k in zip(doc.tolist(), node.tolist(), n.tolist(), strict=True)]
-            continue
-        node, size, count = np.frombuffer(r["ids"], U8), np.frombuffer(r["sizes"], I4), np.frombuffer(r["counts"], I4)
-        if r["kind"] == 1:
-            ends = np.cumsum(count) * 6
-            rows += [(1, None, v, n, r["hashes"][e - c * 6 : e]) for v, n, c, e in zip(signed(node).tolist(), size.tolist(), count.tolist(), ends.tolist(), strict=True)]
-        else:
-            ids.append(np.repeat(node, count)), sizes.append(np.repeat(size, count)), hashes.append(long48(r["hashes"]))
-    if ids:
-        node, size, h = np.concatenate(ids), np.concatenate(sizes), np.concatenate(hashes)
-        order = np.lexsort((node, h))
-        node, size, h = node[order], size[order], h[order]
-        # a shingle is shared if two nodes hold it; NOBODY stands for several of another task
-        new_pair = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
-        node, size, h = node[new_pair], size[new_pair], h[new_pair]
-        edges = runs_of(h)
-        several = (np.diff(edges) > 1) | (node[edges[:-1]] == NOBODY)
-        shared = np.repeat(several, np.diff(edges)) & (node != NOBODY)
-        node, size, h = node[shared], size[shared], h[shared]
-        order = np.argsort(node, kind="stable")
-        node, size, h = node[order], size[order], h[order]
-        cuts = runs_of(node)
-        packed = short48(h)
-        rows += [(1, None, v, n, packed[i * 6 : j * 6]) for v, n, i, j in zip(signed(node)[cuts[:-1]].tolist(), size[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    return pa.Table.from_batches([batch(rows, TOLD)])
+def answer(buckets: int):
+    """For a bucket's rows of SENT: rows of TOLD, its documents one by one, and packed by their nodes' owners the shingles
+    that other nodes hold too."""
+
+    def told(t: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        ids, sizes, hashes = [], [], []
+        for r in t.to_pylist():
+            if r["kind"] == 2:
+                doc, n, node = np.frombuffer(r["ids"], I8), np.frombuffer(r["sizes"], I4), signed(np.frombuffer(r["hashes"], U8))
+                rows += [(2, d, v, k, None, None, None, None, None) for d, v, k in zip(doc.tolist(), node.tolist(), n.tolist(), strict=True)]
+            elif r["kind"] == 1:
+                rows.append((1, None, None, None, r["bucket"], r["ids"], r["sizes"], r["counts"], r["hashes"]))
+            else:
+                count = np.frombuffer(r["counts"], I4)
+                ids.append(np.repeat(np.frombuffer(r["ids"], U8), count)), sizes.append(np.repeat(np.frombuffer(r["sizes"], I4), count)), hashes.append(long48(r["hashes"]))
+        if ids:
+            node, size, h = np.concatenate(ids), np.concatenate(sizes), np.concatenate(hashes)
+            order = np.lexsort((node, h))
+            node, size, h = node[order], size[order], h[order]
+            # a shingle is shared if two nodes hold it; NOBODY stands for several of another task
+            new_pair = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
+            node, size, h = node[new_pair], size[new_pair], h[new_pair]
+            edges = runs_of(h)
+            several = (np.diff(edges) > 1) | (node[edges[:-1]] == NOBODY)
+            shared = np.repeat(several, np.diff(edges)) & (node != NOBODY)
+            node, size, h = node[shared], size[shared], h[shared]
+            if len(node):
+                rows += [(1, None, None, None, to, *packed) for to, _, *packed in pieces(1, owner(node, buckets), node, size, h)]
+        return pa.Table.from_batches([batch(rows, TOLD)])
+
+    return told
 
 
 BLOCKS = "block long, shingles long, nodes binary, sizes binary, counts binary, hashes binary"
 
 
 def blocks_of(percent: int):
-    """For mapInArrow over (node, n, hashes): rows of BLOCKS, of nodes that can link."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray]] = []
-        total = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal total
-            rows = [(held[0][0], total, np.array([x[0] for x in held], I8).tobytes(), np.array([x[1] for x in held], I4).tobytes(), np.array([len(x[2]) for x in held], I4).tobytes(), short48(np.concatenate([x[2] for x in held])))] if held else []
-            held.clear()
-            total = 0
-            return batch(rows, BLOCKS)
-
-        for b in batches:
-            for node, n, blobs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = np.unique(long48(b"".join(blobs)))
-                if len(h) >= needed(n, percent):
-                    held.append((node, n, h))
-                    total += len(h)
-                    if total >= BLOCK:
-                        yield flush()
-        yield flush()
+    """For an owner's rows: rows of BLOCKS, of the nodes that have enough shared shingles to link."""
+
+    def gather(t: pa.Table) -> pa.Table:
+        counts = [np.frombuffer(x, I4) for x in t["counts"].to_pylist()]
+        node = np.concatenate([np.repeat(np.frombuffer(x, U8), c) for x, c in zip(t["ids"].to_pylist(), counts, strict=True)])
+        size = np.concatenate([np.repeat(np.frombuffer(x, I4), c) for x, c in zip(t["sizes"].to_pylist(), counts, strict=True)])
+        h = np.concatenate([long48(x) for x in t["hashes"].to_pylist()])
+        order = np.lexsort((h, node))
+        node, size, h = node[order], size[order], h[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
+        node, size, h = node[new], size[new], h[new]
+        edges = runs_of(node)
+        count, size = np.diff(edges), size[edges[:-1]]
+        able = count >= -(-percent * size.astype(np.int64) // 100)
+        h, node, size, count = h[np.repeat(able, count)], node[edges[:-1]][able], size[able], count[able]
+        ends = np.cumsum(count)
+        rows, i = [], 0
+        while i < len(node):
+            start = int(ends[i] - count[i])
+            j = max(i + 1, int(np.searchsorted(ends, start + BLOCK, "right")))
+            rows.append((int(signed(node[i : i + 1])[0]), int(ends[j - 1]) - start, node[i:j].tobytes(), size[i:j].astype(I4).tobytes(), count[i:j].astype(I4).tobytes(), short48(h[start : int(ends[j - 1])])))
+            i = j
+        return pa.Table.from_batches([batch(rows, BLOCKS)])
 
     return gather
 
@@ -431,11 +439,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bucke
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     buckets = buckets or max(1, -(-input_bytes(docs) // BUCKET_BYTES))
-    told = stored(marked_copies(keyed).mapInArrow(send_shingles(words, buckets), SENT).groupBy("bucket").applyInArrow(answer, TOLD))
+    told = stored(marked_copies(keyed).mapInArrow(send_shingles(words, buckets), SENT).groupBy("bucket").applyInArrow(answer(buckets), TOLD))
     documents = told.filter("kind = 2").select("doc", "node", "n")
-    shared = told.filter("kind = 1").groupBy("node").agg(F.max("n").alias("n"), F.sum(F.length("hashes") / 6).alias("found"), F.collect_list("hashes").alias("hashes"))
-    able = shared.filter(F.col("found") * 100 >= percent * F.col("n")).select("node", "n", "hashes")
-    blocks = stored(able.mapInArrow(blocks_of(percent), BLOCKS))
+    shared = told.filter("kind = 1").select("owner", "ids", "sizes", "counts", "hashes")
+    blocks = stored(shared.groupBy("owner").applyInArrow(blocks_of(percent), BLOCKS))
     total = blocks.agg(F.sum("shingles")).first()[0] or 0
     counts = blocks.select("block", "hashes").mapInArrow(send_counts(max(1, -(-total // BLOCK))), COUNTED).groupBy("bucket").applyInArrow(sum_counts, FREQUENT)
     ordered = stored(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(order_shingles(percent), ORDERED))
