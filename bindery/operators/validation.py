@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindery.functions.frames import settled
 from bindery.functions.text import image_targets, link_targets, trim_space
 
 #: Messages, and the keys that a log must hold.
@@ -96,6 +97,7 @@ def warnings(files: DataFrame) -> DataFrame:
 
 def reports(files: DataFrame, jobs: DataFrame) -> DataFrame:
     """job_id, level, warnings (in order of check, name, place), err, for each of `jobs`. An invalid bundle has no warnings."""
+    files = settled(files)  # each check reads them
     listed = warnings(files).groupBy("job_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("check", "name", "ord", "message"))), lambda w: w["message"]).alias("warnings"))
     joined = jobs.select("job_id").join(errors(files, jobs), "job_id", "left").join(listed, "job_id", "left")
     level = F.when(F.col("err").isNotNull(), "invalid").when(F.size("warnings") > 0, "valid_with_warnings").otherwise("valid")

@@ -80,7 +80,7 @@ def publish(jobs: DataFrame, canceled: DataFrame | None = None) -> Published:
     named = assets_.named_assets(parts.assets).select(F.col("doc_id").alias("job_id"), "name", "content")
     failed = parts.errors.withColumnRenamed("doc_id", "job_id")
     good = jobs.join(failed.select("job_id"), "job_id", "left_anti")
-    files = settled(bundles.bundle_files(done, good, named))
+    files = settled(bundles.bundle_files(done, good, named))  # written, and read by the validation
     text = files.withColumn("content", F.when(F.col("path").endswith(".md"), as_text(F.col("content"))))
     reports = validation.reports(text, good)
     keep = validation.publishable(reports).select("job_id")
