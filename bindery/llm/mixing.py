@@ -91,7 +91,8 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     leaf = ["domain", "lang", "source"]
     planned = base.join(leaf_plan(base, mixture), leaf)
     key = F.md5(F.concat_ws("|", F.lit(str(mixture.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    planned = planned.withColumn("key", key).withColumn("slice", F.substring("key", 1, SLICE))
+    # a leaf's slices go to different tasks: the join may have left a whole leaf in one
+    planned = planned.withColumn("key", key).withColumn("slice", F.substring("key", 1, SLICE)).repartition(*leaf, "slice")
     within = Window.partitionBy(*leaf, "slice").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = planned.withColumn("within", F.sum("n_tokens").over(within))
     slices = planned.groupBy(*leaf, "slice").agg(F.sum("n_tokens").alias("slice_tokens"))
