@@ -1,6 +1,7 @@
 """Operator 1, substring dedup by unit hashing.
 
-Texts are cut into sentence-like units; their normalised digests meet in buckets, where the earliest occurrence by
+Texts are cut into units of a few words whose cuts depend on the words around them alone, so a passage is cut alike wherever
+it stands; digests of the units with their neighbouring words meet in buckets, where the earliest occurrence by
 (doc_id, place) is kept. Later ones are removed where they form runs of enough words, with their offsets in the original.
 
 Digests travel as packed arrays, a few rows for each task and bucket. A task sends only its own first occurrence of a
@@ -9,47 +10,92 @@ digest: its other ones can't be the earliest, however frequent the unit, so no b
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import input_bytes
+from bindery.llm.words import BLANKS, CHUNK, MARKS, mix, powers, word_bounds, word_hashes
 
-#: A unit has this many words at least, unless its line ends; a removed run has this many.
-UNIT_WORDS, RUN_WORDS = 4, 25
+#: A cut is at the word with the smallest hash of WINDOW words; a digest covers CONTEXT words more on both sides. Both end at
+#: line ends, and where sentences of SENTENCE_WORDS or more meet. A removed run has RUN_WORDS.
+WINDOW, CONTEXT, SENTENCE_WORDS, RUN_WORDS = 5, 4, 4, 25
 #: Bytes of text for a bucket; units that a task gathers before it sends them.
-BUCKET_BYTES, FLUSH_UNITS = 24_000_000, 400_000
+BUCKET_BYTES, FLUSH_UNITS = 8_000_000, 400_000
 NULL_ID = -(1 << 63)
 
-#: Units end at line ends, after sentence ends, and before a capitalised word.
-CUT = re.compile(r"\n+|(?<=[.!?…])[ \t]+|(?<=[。！？])|[ \t]+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][a-zß-öø-ÿα-ωа-я])")
-WORDS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+#: Sentence ends without white space after them, and the ellipsis, as ASCII of the same length in bytes.
+ENDS = (("。", b" . "), ("！", b" . "), ("？", b" . "), ("…", b"  ."))
 COLUMNS = (("digest", "<u8"), ("doc", "<i8"), ("sha", "<u8"), ("place", "<i4"), ("start", "<i4"), ("length", "<i4"), ("words", "<i4"))
 UNIT = np.dtype(list(COLUMNS))
 
 
+def cut_words(h: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Where units begin, in words: at each segment's first word, and at the smallest of any WINDOW words within one.
+
+    Only the WINDOW - 1 words on both sides of a word and the segment's bounds decide whether it is a cut.
+    """
+    first = np.append(True, segment[1:] != segment[:-1])
+    if (n := len(h) - WINDOW + 1) > 0:
+        best, at = h[:n].copy(), np.arange(n)
+        for k in range(1, WINDOW):
+            lower = h[k : n + k] <= best
+            best[lower] = h[k : n + k][lower]
+            at[lower] = np.flatnonzero(lower) + k
+        first[at[segment[:n] == segment[WINDOW - 1 :]]] = True
+    return np.flatnonzero(first)
+
+
+def unit_rows(text: str) -> np.ndarray:
+    """The units of a text as UNIT rows without doc and sha, in order; place counts words, start and length code points."""
+    original = text.encode("utf-8", "surrogatepass").lower()
+    raw = original
+    for mark, ascii_mark in ENDS:
+        raw = raw.replace(mark.encode(), ascii_mark)
+    a, start, end = word_bounds(raw, MARKS)
+    if not len(start):
+        return np.zeros(0, UNIT)
+    h = word_hashes(raw, MARKS)
+
+    # segments: lines, cut where sentences meet, unless another sentence ends near by
+    line = np.cumsum(a == 10)[start]
+    ends = np.zeros(len(a), bool)
+    ends[:-1] = ((a[:-1] == 33) | (a[:-1] == 46) | (a[:-1] == 63)) & ((a[1:] == 32) | (a[1:] == 9))
+    sentence = np.cumsum(ends)[start]
+    new_line = np.append(True, line[1:] != line[:-1])
+    at = np.flatnonzero(new_line | np.append(True, sentence[1:] != sentence[:-1]))
+    words = np.diff(np.append(at, len(h)))
+    apart = new_line[at] | ((np.append(0, words[:-1]) >= SENTENCE_WORDS) & (words >= SENTENCE_WORDS))
+    bounds = np.append(at[apart], len(h))
+    segment = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+    first = cut_words(h, segment)
+    last = np.append(first[1:], len(h))
+    low, high = np.maximum(first - CONTEXT, bounds[segment[first]]), np.minimum(last + CONTEXT, bounds[segment[first] + 1])
+    up, down = powers(max(CHUNK + 1, 1 << len(h).bit_length()))
+    sums = np.append(np.uint64(0), np.cumsum(h * up[: len(h)]))
+
+    # a unit has whole tokens: the marks that touch its first and its last word go with it
+    blank = np.flatnonzero(BLANKS[np.frombuffer(original, np.uint8)])
+    stop = np.minimum(np.append(blank, len(a))[np.searchsorted(blank, end)], np.append(start[1:], len(a)))
+    begin = np.maximum(np.append(-1, blank)[np.searchsorted(blank, start)] + 1, np.append(0, stop[:-1]))
+    points = np.append(0, np.cumsum((np.frombuffer(original, np.uint8) & 0xC0) != 0x80))
+
+    out = np.zeros(len(first), UNIT)
+    out["digest"] = mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
+    out["place"], out["words"] = first, last - first
+    out["start"] = points[begin[first]]
+    out["length"] = points[stop[last - 1]] - out["start"]
+    return out
+
+
 def units(text: str) -> Iterator[tuple[int, int, int, int]]:
     """digest, start, end (code points) and number of words of each unit, in order. Units without a word are left out."""
-    at, first, held = 0, 0, []
-    for m in CUT.finditer(text):
-        words = text[at : m.start()].encode("utf-8", "surrogatepass").lower().translate(WORDS).split()
-        if words and not held:
-            first = at
-        held += words
-        if held and (len(held) >= UNIT_WORDS or text[m.start() : m.start() + 1] == "\n"):
-            yield xxhash.xxh3_64_intdigest(b" ".join(held)), first, m.start(), len(held)
-            held = []
-        at = m.end()
-    words = text[at:].encode("utf-8", "surrogatepass").lower().translate(WORDS).split()
-    if words and not held:
-        first = at
-    if held := held + words:
-        yield xxhash.xxh3_64_intdigest(b" ".join(held)), first, len(text), len(held)
+    for u in unit_rows(text):
+        yield int(u["digest"]), int(u["start"]), int(u["start"] + u["length"]), int(u["words"])
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -90,11 +136,13 @@ def later_units(docs: DataFrame, buckets: int) -> DataFrame:
     """doc, sha, units: packed units of a document that stand earlier elsewhere; several rows for a document."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held, n = [np.zeros(0, UNIT)], 0
 
         def flush() -> pa.RecordBatch:
-            first, later = split_first(np.array(held, UNIT))
-            held.clear()
+            nonlocal n
+            first, later = split_first(np.concatenate(held))
+            del held[1:]
+            n = 0
             to = ((first["digest"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             first = first[order := np.lexsort((first["place"], first["doc"], to))]
             edges = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -105,8 +153,10 @@ def later_units(docs: DataFrame, buckets: int) -> DataFrame:
 
         for b in batches:
             for doc, sha, text in zip(b.column(0).to_pylist(), b.column(1).to_numpy().view(np.uint64).tolist(), b.column(2).to_pylist(), strict=True):
-                held += [(d, doc, sha, k, start, end - start, n) for k, (d, start, end, n) in enumerate(units(text))]
-                if len(held) >= FLUSH_UNITS:
+                held.append(own := unit_rows(text))
+                own["doc"], own["sha"] = doc, sha
+                n += len(own)
+                if n >= FLUSH_UNITS:
                     yield flush()
         yield flush()
 
@@ -125,7 +175,7 @@ def runs(x: np.ndarray, run_words: int) -> list[tuple[int, int, int]]:
     """start, end and number of words of each run of adjacent units that has run_words or more."""
     x = np.unique(x[["place", "start", "length", "words"]])
     out = []
-    for part in np.split(x, np.flatnonzero(np.diff(x["place"]) != 1) + 1) if len(x) else ():
+    for part in np.split(x, np.flatnonzero(x["place"][1:] != x["place"][:-1] + x["words"][:-1]) + 1) if len(x) else ():
         if (n := int(part["words"].sum())) >= run_words:
             out.append((int(part["start"][0]), int(part["start"][-1] + part["length"][-1]), n))
     return out

@@ -133,6 +133,22 @@ def test_substring_dedup_repeated_rows_stay(spark):
     assert substring_dedup(table(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_substring_dedup_inside_lines(spark):
+    def plain(n, seed):
+        return prose(n, seed).lower().replace(".", "")
+
+    texts = []
+    for s in range(100, 130):
+        passage = plain(51 + s % 3 * 20, s)
+        texts += [f"{plain(10 + s % 7, s + 200)} {passage} {plain(9, s + 300)}", f"{plain(8, s + 400)} {passage} {plain(10 + s % 5, s + 500)}"]
+    rows = {r.doc_id: r for r in substring_dedup(table(spark, texts), buckets=3).collect()}
+    for i in range(0, len(texts), 2):
+        assert rows[i].n_removed == 0 and rows[i].text == texts[i]
+        n = 51 + (100 + i // 2) % 3 * 20
+        assert n - 24 <= rows[i + 1].n_removed <= n  # some words at the edges stay
+        assert all(texts[i + 1][x.start : x.end] in texts[i] for x in rows[i + 1].removed)
+
+
 # n-gram Jaccard join
 
 
