@@ -149,6 +149,16 @@ def test_substring_dedup_inside_lines(spark):
         assert all(texts[i + 1][x.start : x.end] in texts[i] for x in rows[i + 1].removed)
 
 
+def test_substring_dedup_removes_short_lines_that_repeat(spark):
+    line, short = "Please read our nine word notice before you go.", "All rights reserved"
+    texts = [f"{prose(30, s)}\n{line}\n{short}\n{prose(30, s + 40)}" for s in range(700, 720)] + [f"{prose(12, 800)} {line} {prose(12, 801)}", f"{line}\n{prose(30, 802)}\n{line}"]
+    rows = {r.doc_id: r for r in substring_dedup(table(spark, texts), buckets=3).collect()}
+    for i, t in enumerate(texts[:20]):
+        assert (rows[i].text, rows[i].n_removed) == ((t, 0) if i == 0 else (t.replace(line, ""), 9))
+    assert rows[20].text == texts[20]  # no line of its own, and less than a run
+    assert (rows[21].text, rows[21].n_removed) == (texts[21].replace(line, ""), 18)
+
+
 # n-gram Jaccard join
 
 
