@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.words import MARKS, chain, mix, word_hashes
 
-CHAIN, SKETCH, EXTRA, RATIO = 2, 128, 8, 0.8
+CHAIN, EXTRA, RATIO = 2, 8, 0.8
 
 #: Common words of English, French, German and Spanish.
 COMMON = """
@@ -63,12 +63,12 @@ def signatures(text: str) -> np.ndarray:
 
 
 def sketch(sigs: np.ndarray) -> tuple[int, np.ndarray]:
-    """The size of the set, and its SKETCH smallest members; they are the whole set unless it is larger."""
-    return len(sigs), sigs[:SKETCH]
+    """The size of the set, and all its members."""
+    return len(sigs), sigs
 
 
 def fingerprint(s: tuple[int, np.ndarray]) -> str:
-    """The sketch as text: size and members as little-endian 32-bit numbers in base 64. Equal texts have equal ones."""
+    """The set as text: size and members as little-endian 32-bit numbers in base 64. Equal texts have equal ones."""
     return base64.b64encode(np.append(np.array([s[0]], "<u4"), s[1]).astype("<u4").tobytes()).decode()
 
 
@@ -83,7 +83,7 @@ def length_partition(size: int, ratio: float = RATIO) -> int:
 
 
 def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], floor: float = 0.0) -> float:
-    """Jaccard of two sets from their sketches, exact for sets of up to SKETCH members, an estimate beyond.
+    """Jaccard of two sets, exact at every size.
 
     Two empty sets are alike (1); an empty one and another aren't (0). Below `floor`, where set, 0: sizes decide first.
     """
@@ -92,12 +92,8 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], floor: float
         return 1.0
     if small == 0 or small / large < floor or (floor and length_partition(large, floor) - length_partition(small, floor) > 1):
         return 0.0
-    both = np.intersect1d(a[1], b[1], assume_unique=True)
-    if large <= SKETCH:
-        j = len(both) / (small + large - len(both))
-    else:
-        lowest = np.union1d(a[1], b[1])[:SKETCH]
-        j = len(np.intersect1d(lowest, both, assume_unique=True)) / len(lowest)
+    both = len(np.intersect1d(a[1], b[1], assume_unique=True))
+    j = both / (small + large - both)
     return j if j >= floor else 0.0
 
 
@@ -160,7 +156,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # run, doc_id, text, sketch of the row that waits for its next
+        held = None  # run, doc_id, text, signatures of the row that waits for its next
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:

@@ -13,7 +13,7 @@ from bindery.llm.components import components
 from bindery.llm.exact_dedup import deduplicated, exact_dedup, misra_gries
 from bindery.llm.jaccard_join import Links, jaccard_components
 from bindery.llm.quality import quality_scores
-from bindery.llm.spot_signatures import fingerprints, from_fingerprint, likeness, signatures, sketch
+from bindery.llm.spot_signatures import fingerprint, fingerprints, from_fingerprint, likeness, signatures, sketch
 from bindery.llm.substring_dedup import substring_dedup, units
 from bindery.llm.token_output import CapacityTree, packed_ids
 from bindery.llm.tokens import Encoder, default_path
@@ -373,6 +373,20 @@ def test_likeness_prunes_by_length():
     assert likeness(a, b) == 0.5 and likeness(a, b, 0.6) == 0.0 and likeness((0, a[1][:0]), (0, a[1][:0])) == 1.0 and likeness(a, (0, a[1][:0])) == 0.0
 
 
+def test_likeness_of_long_texts_is_exact(spark):
+    words = [w.capitalize() for w in vocabulary(3000, 6)]
+    text = " ".join(f"the {w}" for w in words)
+    own = signatures(text)
+    rows = {r.doc_id: r for r in fingerprints(table(spark, [text, " ".join(text.split()[:4800]) + " of nothing else"])).collect()}
+    following = signatures(" ".join(text.split()[:4800]) + " of nothing else")
+    assert len(own) > 2000 and rows[0].near_next == len(set(own.tolist()) & set(following.tolist())) / len(set(own.tolist()) | set(following.tolist()))
+    size, members = from_fingerprint(rows[0].fingerprint)
+    assert size == len(members) and members.tolist() == own.tolist()
+    # sets that differ in their largest members only
+    a, b = np.arange(400, dtype="<u4"), np.append(np.arange(300, dtype="<u4"), np.arange(500, 600, dtype="<u4"))
+    assert likeness(sketch(a), sketch(b)) == 300 / 500 and fingerprint(sketch(a)) != fingerprint(sketch(b))
+
+
 # classifiers
 
 
