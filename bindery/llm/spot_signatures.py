@@ -1,8 +1,8 @@
 """Operator 10, document fingerprints by spot signatures.
 
 Each common word is an anchor; the chain of content words that follows it, with the anchor, is a signature. A text's
-signatures form a set; sets are placed in length partitions, and likeness is the Jaccard of two sets, which is not
-computed where the lengths alone rule it out.
+signatures form a set, and likeness is the Jaccard of two sets. A document is compared with its edited text and its next one;
+its length partition is given, but sets are not matched within or across partitions here.
 """
 
 from __future__ import annotations
