@@ -47,6 +47,19 @@ def job(jobs: DataFrame, job_id: str) -> DataFrame:
     return jobs.filter(F.col("id") == job_id).withColumn("error_message", F.coalesce("error_message", F.lit("")))
 
 
+def bundle(bundles: DataFrame, job_id: str) -> DataFrame:
+    return bundles.filter(F.col("job_id") == job_id)
+
+
+def user(users: DataFrame, user_id: str) -> DataFrame:
+    return users.filter(F.col("id") == user_id)
+
+
+def user_by_email(users: DataFrame, email: str) -> DataFrame:
+    """Upper and lower case differ."""
+    return users.filter(F.col("email") == email)
+
+
 def user_jobs(jobs: DataFrame, user_id: str | None = None) -> DataFrame:
     """A user's jobs (or each user's), the latest first; ids break ties. place: the position in the list."""
     rows = jobs if user_id is None else jobs.filter(F.col("user_id") == user_id)

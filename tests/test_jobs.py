@@ -37,6 +37,14 @@ def some_jobs(spark):
     return out.withColumns({"created_at": F.timestamp_seconds("a"), "updated_at": F.timestamp_seconds("b"), "object_key": F.lit("k"), "error_message": F.lit(None).cast("string")})
 
 
+def test_bundle_and_user_lookups(spark):
+    bundles = spark.createDataFrame([("1", "a"), ("2", "b"), (None, "c")], "job_id string, path string")
+    users = spark.createDataFrame([("1", "a@b.c"), ("2", "A@b.c"), ("3", None)], "id string, email string")
+    assert [r.path for r in jobs.bundle(bundles, "2").collect()] == ["b"] and jobs.bundle(bundles, "3").count() == 0
+    assert [r.email for r in jobs.user(users, "2").collect()] == ["A@b.c"]
+    assert [r.id for r in jobs.user_by_email(users, "a@b.c").collect()] == ["1"]
+
+
 def test_lookups(spark):
     found = some_jobs(spark)
     assert [(r.retry_of, r.id) for r in jobs.latest_retry(found).collect()] == [("1", "5")]
