@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: A key with more than one in so many rows is hot: there are fewer such keys than this.
+HOT_SHARE = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without the setting."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bindery-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="bindery-"))
     return sc.getCheckpointDir()
 
 
@@ -33,6 +39,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def meet(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with facts, which has a row per key and how many of the `total` rows have it as `count`.
+
+    Keys of over a thousandth of the rows, fewer than a thousand, are broadcast, so that their rows stay where they lie;
+    only the others are shuffled. facts is read three times, so it should be stored.
+    """
+    hot = F.col(count) * HOT_SHARE > total
+    heavy = F.broadcast(facts.filter(hot))
+    light = rows.join(heavy.select(key), key, "left_anti").join(facts.filter(~hot), key)
+    return rows.join(heavy, key).unionByName(light)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; null for a null doc_id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -5,14 +5,18 @@
    from a task once, so no bucket gathers the sets of a frequent shingle. Equal sets are one node; the set of a text with
    very many copies is sent for one of them.
 2. Only nodes with enough shared shingles can link. Their shingles are ordered by how many of those nodes hold them; if
-   two nodes link, their prefixes in this order share a shingle (prefix filter). Nodes that are connected by prefixes form
-   a coarse group; no link leaves it. A large group is cut by length class, then by hash into blocks, and each pair of
-   blocks that can hold a link is a task.
-3. A task holds the inverted lists of its sets. For a set, the longest lists are put aside, the others are merged on a heap
-   that skips ids which can't reach the count, and the candidates are looked up in the long lists by binary search. Sets
-   that are known to be connected aren't verified, and once one component holds the rest, only sets outside are queried,
-   so a group of near copies costs few queries.
-4. The links found make the components.
+   two nodes link, their prefixes in this order share a shingle (prefix filter).
+3. Rough search: nodes with the same least shingle hash meet in blocks, each node in one; where they need several blocks, a
+   few of them that hold the most frequent shingles go to every block, so a group of near copies is connected there.
+4. Search of the rest: a list of the nodes whose prefixes hold a shingle matters only where it has nodes of several
+   components. First one node of each such component meets those of the others. Where several components remain, short
+   lists are a task each; of long ones, blocks of the nodes outside the list's largest component meet blocks of all, as a
+   link between components has an end outside the largest one. So no link is lost, and what is sent grows with the nodes,
+   not with the pairs of a group.
+5. A search task holds the inverted lists of its sets. For a set, the longest lists are put aside, the others are merged on
+   a heap that skips ids which can't reach the count, and the candidates are looked up in the long lists by binary search
+   (DivideSkip). Sets that are known to be connected aren't verified.
+6. Links lie within components, so their numbers are counted there, in pairs of blocks where a component needs several.
 """
 
 from __future__ import annotations
@@ -24,18 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import cut, input_bytes, stored
+from bindery.llm.common import cut, input_bytes, meet, stored
 from bindery.llm.components import components
 from bindery.llm.exact_dedup import frequent
 from bindery.llm.words import BLANKS, mix, shingle_set
 
 #: Bytes of text for a bucket; shingles that a task gathers before it sends them, and of a block of sets.
 BUCKET_BYTES, FLUSH, BLOCK = 8_000_000, 500_000, 500_000
-#: Sets and shingles of a search task's half; a group of up to twice as many is one task.
-HALF_SETS, HALF_SHINGLES = 256, 500_000
+#: Sets and shingles of a block, of which a search task holds two; and how many sets go to every block of a large group.
+HALF_SETS, HALF_SHINGLES, CENTRAL = 1024, 500_000, 8
 COPY_COUNTERS = 16_384
 #: So many times the number of sets make lists dense.
 DENSE = 4
@@ -215,7 +219,7 @@ def blocks_of(percent: int):
 
 COUNTED = "bucket int, block long, hashes binary, counts binary"
 FREQUENT = "block long, hashes binary, counts binary"
-ORDERED = "node long, n long, shingles long, prefix array<long>, hashes binary"
+ORDERED = "node long, n long, shingles long, least long, central long, prefix array<long>, hashes binary"
 
 
 def send_counts(buckets: int):
@@ -245,7 +249,9 @@ def sum_counts(t: pa.Table) -> pa.Table:
 
 
 def order_shingles(percent: int):
-    """For a block and its rows of FREQUENT: rows of ORDERED, with each set's prefix by (count, hash)."""
+    """For a block and its rows of FREQUENT: rows of ORDERED, with each set's prefix by (count, hash), its least mixed hash,
+    and how often its shingles stand in all nodes' sets, a shingle on average.
+    """
 
     def order(blocks: pa.Table, told: pa.Table) -> pa.Table:
         h = np.concatenate([long48(x) for x in told["hashes"].to_pylist()] or [np.zeros(0, U8)])
@@ -261,7 +267,7 @@ def order_shingles(percent: int):
                 x, count = x[h[at] == x], n_sets[at[h[at] == x]]
                 if len(x) >= (least := needed(n, percent)):
                     prefix = x[np.lexsort((x, count))][: len(x) - least + 1]  # the shingles of no other set come before these
-                    rows.append((node, n, len(x), signed(prefix.astype(U8)).tolist(), short48(x)))
+                    rows.append((node, n, len(x), int(signed(mix(x)).min()), int(count.mean()), signed(prefix.astype(U8)).tolist(), short48(x)))
         return pa.Table.from_batches([batch(rows, ORDERED)])
 
     return order
@@ -270,7 +276,8 @@ def order_shingles(percent: int):
 class Links:
     """The sets of a search task, their inverted lists, and which are connected so far."""
 
-    def __init__(self, sizes: list[int], sets: list[np.ndarray], percent: int) -> None:
+    def __init__(self, sizes: list[int], sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> None:
+        """known: sets with the same number here are connected."""
         self.sizes, self.percent = sizes, percent
         ids, h = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
         order = np.argsort(h, kind="stable")
@@ -285,6 +292,9 @@ class Links:
             for i in members:
                 self.of[i].append(k)
         self.parent, self.members = list(range(len(sets))), [1] * len(sets)
+        first: dict[int, int] = {}
+        for i, k in enumerate(known or ()):
+            self.join(first.setdefault(k, i), i)
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -324,8 +334,8 @@ class Links:
                 if at < len(lists[k]):
                     heapq.heappush(heap, (lists[k][at], k, at))
 
-    def partners(self, i: int) -> Iterator[int]:
-        """The sets that link with set i, but for those already connected with it.
+    def partners(self, i: int, again: bool = False) -> Iterator[int]:
+        """The sets that link with set i, but for those already connected with it unless they are asked for again.
 
         Where the lists are so dense that a heap would pass most sets again and again, occurrences are counted in an array
         instead; the result is the same.
@@ -336,7 +346,7 @@ class Links:
         if sum(len(self.lists[k]) for k in self.of[i]) > DENSE * len(self.sizes):
             count = np.bincount(np.concatenate([self.arrays[k] for k in self.of[i]]), minlength=len(self.sizes))
             for j in np.flatnonzero(100 * count >= self.percent * (n + self.all_sizes - count)).tolist():
-                if j != i and self.find(i) != self.find(j):
+                if j != i and (again or self.find(i) != self.find(j)):
                     yield j
             return
         own = sorted((self.lists[k] for k in self.of[i]), key=len)
@@ -344,7 +354,7 @@ class Links:
         short, long = own[: len(own) - aside], own[len(own) - aside :]
         for j, count in self.candidates(short, least - aside):
             m = self.sizes[j]
-            if 100 * min(n, m) < self.percent * max(n, m) or self.find(i) == self.find(j):
+            if j == i or 100 * min(n, m) < self.percent * max(n, m) or not (again or self.find(i) != self.find(j)):
                 continue
             enough = -(-self.percent * (n + m) // (100 + self.percent))
             for left, members in zip(range(len(long), 0, -1), long, strict=True):
@@ -377,42 +387,110 @@ class Links:
 
 
 def search(percent: int):
-    """For a search task's rows: links between nodes."""
+    """For a search task's rows: links between nodes of different components. A node may be there more than once."""
 
     def link(t: pa.Table) -> pa.Table:
-        nodes, sizes = t["node"].to_pylist(), t["n"].to_pylist()
-        links = Links(sizes, [long48(x) for x in t["hashes"].to_pylist()], percent)
+        own = {node: k for k, node in enumerate(t["node"].to_pylist())}
+        t = t.take(list(own.values()))
+        nodes = list(own)
+        links = Links(t["n"].to_pylist(), [long48(x) for x in t["hashes"].to_pylist()], percent, t["component"].to_pylist())
         return pa.Table.from_batches([batch([(nodes[i], nodes[j]) for i, j in links.all()], "a long, b long")])
 
     return link
 
 
-TASK = ["root", "low", "low_block", "high", "high_block"]
+def count_links(percent: int):
+    """For the rows of a pair of blocks: for its nodes, how many documents of the other block (of the same one, if there is
+    only one) they link with.
+    """
+
+    def count(t: pa.Table) -> pa.Table:
+        nodes, low, copies = t["node"].to_pylist(), t["low"].to_pylist(), t["copies"].to_pylist()
+        one, is_low = t["low_block"][0] == t["high_block"][0], [x == 1 for x in low]
+        links = Links(t["n"].to_pylist(), [long48(x) for x in t["hashes"].to_pylist()], percent)
+        rows = [(node, sum(copies[j] for j in links.partners(i, True) if one or is_low[i] != is_low[j])) for i, node in enumerate(nodes)]
+        return pa.Table.from_batches([batch(rows, "node long, links long")])
+
+    return count
+
 
+def blocks_needed(sets: str, shingles: str) -> Column:
+    return F.ceil(F.greatest(F.col(sets) / HALF_SETS, F.col(shingles) / HALF_SHINGLES)).cast("int")
 
-def search_tasks(ordered: DataFrame, coarse: DataFrame, percent: int) -> DataFrame:
-    """TASK, node, n, hashes: each set in every task that can hold one of its links."""
-    # sets that link are in the same or in neighbouring length classes
-    length = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100 - 0.005)).cast("int")
-    sets = ordered.join(coarse, "node").select("root", "node", "n", "shingles", "hashes", length.alias("length"))
-    by_length = sets.groupBy("root", "length").agg(F.count("*").alias("sets"), F.sum("shingles").alias("shingles"))
-    halves = F.ceil(F.greatest(F.col("sets") / HALF_SETS, F.col("shingles") / HALF_SHINGLES)).cast("int")
-    groups = by_length.groupBy("root").agg(F.sum("sets").alias("all_sets"), F.sum("shingles").alias("all_shingles"), F.map_from_entries(F.collect_list(F.struct("length", halves.alias("blocks")))).alias("blocks"))
-    whole = (F.col("all_sets") <= 2 * HALF_SETS) & (F.col("all_shingles") <= 2 * HALF_SHINGLES)
 
-    def task(low: Column, low_block: Column, high: Column, high_block: Column) -> Column:
-        return F.struct(*[c.cast("int").alias(name) for c, name in zip((low, low_block, high, high_block), TASK[1:], strict=True)])
+def block_of(blocks: str, salt: int = 0) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(blocks).cast("long")).cast("int")
 
-    def across(other: int, pair) -> Column:
-        n = F.coalesce(F.element_at("blocks", F.col("length") + other), F.lit(0))
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), pair)).otherwise(F.array().cast("array<struct<low:int,low_block:int,high:int,high_block:int>>"))
 
-    mine, at = F.col("block"), F.col("length")
-    same = F.filter(across(0, lambda j: task(at, F.least(mine, j), at, F.greatest(mine, j))), lambda t: (t["low_block"] != t["high_block"]) | (F.element_at("blocks", at) == 1))
-    tasks = F.concat(same, across(1, lambda j: task(at, mine, at + 1, j)), across(-1, lambda j: task(at - 1, j, at, mine)))
-    minus = F.lit(-1)
-    placed = sets.join(groups, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.element_at("blocks", at).cast("long")).cast("int"))
-    return placed.select("root", "node", "n", "hashes", F.inline(F.when(whole, F.array(task(minus, minus, minus, minus))).otherwise(tasks)))
+def others(blocks: str, own: str) -> Column:
+    return F.explode(F.filter(F.sequence(F.lit(0), F.col(blocks) - 1), lambda k: k != F.col(own)))
+
+
+def rough_links(ordered: DataFrame, nodes: int, percent: int) -> DataFrame:
+    """a, b: links within groups of nodes that have the same least hash; each node is sent to one block, of large groups
+    CENTRAL nodes to all.
+    """
+    groups = cut(ordered.groupBy("least").agg(F.count("*").alias("sets"), F.sum("shingles").alias("all_shingles")).filter("sets > 1"))
+    groups = groups.withColumn("blocks", blocks_needed("sets", "all_shingles"))
+    dealt = meet(ordered.select("least", "node", "n", "central", "hashes"), groups, "least", "sets", nodes).withColumn("block", block_of("blocks"))
+    best = F.row_number().over(Window.partitionBy("least").orderBy(F.desc("central"), "node"))
+    central = dealt.filter("blocks > 1").select("least", "node", "central", "block", "blocks").withColumn("best", best).filter(F.col("best") <= CENTRAL)
+    central = central.select("least", "node", others("blocks", "block").alias("block")).join(ordered.select("node", "n", "hashes"), "node")
+    columns = ["least", "block", "node", "n", "hashes", F.col("node").alias("component")]
+    return dealt.select(*columns).unionByName(central.select(*columns)).groupBy("least", "block").applyInArrow(search(percent), "a long, b long")
+
+
+def contested(posts: DataFrame) -> DataFrame:
+    """shingle, all, node, component, central: of posts those whose shingle has nodes of several components."""
+    lists = posts.groupBy("shingle").agg(F.count("*").alias("all"), F.min("component").alias("low"), F.max("component").alias("high"))
+    lists = cut(lists.filter("low < high").select("shingle", "all"))
+    return stored(meet(posts, lists, "shingle", "all", posts.count()).select("shingle", "all", "node", "component", "central"))
+
+
+def grown(components_: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root: the components that further links (a, b) make of components."""
+    return components(links.unionByName(components_.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def remaining(ordered: DataFrame, rough: DataFrame, percent: int) -> DataFrame:
+    """node, root: the components, given those of the rough search.
+
+    First the most central node of each component in a contested list meets those of the others, each once a list; what is
+    contested after that is searched in full.
+    """
+    sets = ordered.select("node", "n", "hashes")
+    posts = stored(ordered.select("node", "central", F.explode("prefix").alias("shingle")).join(rough, "node", "left").select("shingle", "node", "central", F.coalesce("root", "node").alias("component")))
+    posts = contested(posts)
+    best = cut(posts.groupBy("shingle", "component").agg(F.max(F.struct("central", "node"))["node"].alias("node")))
+    lists = cut(best.groupBy("shingle").agg(F.count("*").alias("several"))).withColumn("blocks", F.ceil(F.col("several") / (2 * HALF_SETS)))
+    best = meet(best, lists, "shingle", "several", best.count()).withColumn("block", block_of("blocks"))
+    linked = grown(rough, best.join(sets, "node").groupBy("shingle", "block").applyInArrow(search(percent), "a long, b long"))
+    root = linked.select(F.col("node").alias("component"), "root")
+    posts = contested(posts.drop("all").join(root, "component", "left").select("shingle", "node", "central", F.coalesce("root", "component").alias("component")))
+    tasks = posts.filter(F.col("all") <= 2 * HALF_SETS).select("shingle", F.lit(0).alias("outer"), F.lit(0).alias("inner"), "node", "component")
+    long = posts.filter(F.col("all") > 2 * HALF_SETS)
+    if long.limit(1).count():
+        parts = long.groupBy("shingle", "all", "component").agg(F.count("*").alias("sets")).groupBy("shingle", "all")
+        parts = cut(parts.agg(F.max(F.struct("sets", "component")).alias("main")).select("shingle", "all", F.col("main.component").alias("main"), (F.col("all") - F.col("main.sets")).alias("outside")))
+        parts = parts.withColumn("inners", F.ceil(F.col("all") / HALF_SETS).cast("int")).withColumn("outers", F.ceil(F.col("outside") / HALF_SETS).cast("int"))
+        dealt = meet(long.drop("all"), parts, "shingle", "all", long.count())
+        every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+        as_inner = dealt.select("shingle", every("outers").alias("outer"), block_of("inners").alias("inner"), "node", "component")
+        as_outer = dealt.filter("component != main").select("shingle", block_of("outers", 1).alias("outer"), every("inners").alias("inner"), "node", "component")
+        tasks = tasks.unionByName(as_inner).unionByName(as_outer)
+    return grown(linked, tasks.join(sets, "node").groupBy("shingle", "outer", "inner").applyInArrow(search(percent), "a long, b long"))
+
+
+def links_of_nodes(ordered: DataFrame, linked: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """node, links: for the nodes of components (node, root), the number of documents of other nodes that they link with."""
+    sets = stored(ordered.select("node", "n", "shingles", "hashes").join(linked, "node").join(copies, "node"))
+    groups = cut(sets.groupBy("root").agg(F.count("*").alias("sets"), F.sum("shingles").alias("all_shingles")))
+    groups = groups.withColumn("blocks", blocks_needed("sets", "all_shingles"))
+    dealt = meet(sets, groups, "root", "sets", sets.count()).withColumn("block", block_of("blocks"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low = F.col("block") <= F.col("other")
+    pairs = pairs.select("root", F.least("block", "other").alias("low_block"), F.greatest("block", "other").alias("high_block"), low.cast("int").alias("low"), "node", "n", "hashes", "copies")
+    return pairs.groupBy("root", "low_block", "high_block").applyInArrow(count_links(percent), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def marked_copies(keyed: DataFrame) -> DataFrame:
@@ -428,14 +506,18 @@ def marked_copies(keyed: DataFrame) -> DataFrame:
     return joined.select("doc", "raw", F.coalesce(F.col("doc") != F.col("first"), F.lit(False)).alias("copy"))
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, buckets: int | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, buckets: int | None = None, count: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included),
+    and, unless count is False, n_links: how many other documents the document links with, its equals among them.
 
     Texts are lower-cased in A-Z; words stand between ASCII white space; a set holds the distinct runs of `words` words, or
     the whole sequence if it is shorter. Two documents link when 100 * intersection >= percent * union. Null and empty
     texts and those without words have no shingle and link with nothing. Equal sets link. A null doc_id counts as the
     smallest: its component_id is null. Rows that repeat a doc_id are documents of their own. Other columns are ignored;
     an empty table gives no row.
+
+    Counting verifies each pair of different sets that may link, so it takes time by the number of links; the components
+    alone don't.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     buckets = buckets or max(1, -(-input_bytes(docs) // BUCKET_BYTES))
@@ -446,14 +528,16 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bucke
     total = blocks.agg(F.sum("shingles")).first()[0] or 0
     counts = blocks.select("block", "hashes").mapInArrow(send_counts(max(1, -(-total // BLOCK))), COUNTED).groupBy("bucket").applyInArrow(sum_counts, FREQUENT)
     ordered = stored(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(order_shingles(percent), ORDERED))
-    prefixes = ordered.select("node", F.explode("prefix").alias("shingle"))
-    heads = prefixes.groupBy("shingle").agg(F.min("node").alias("head"), F.count("*").alias("nodes")).filter("nodes > 1").select("shingle", "head")
-    coarse = components(prefixes.join(heads, "shingle").select(F.col("node").alias("a"), F.col("head").alias("b")))
-    links = search_tasks(ordered, coarse, percent).groupBy(*TASK).applyInArrow(search(percent), "a long, b long")
-    linked = components(links)
-    classes = documents.filter("n > 0").groupBy("node").agg(F.min("doc").alias("first"))
+    linked = remaining(ordered, components(rough_links(ordered, ordered.count(), percent)), percent)
+    classes = cut(documents.filter("n > 0").groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("copies")))
     smallest = classes.join(linked, "node").groupBy("root").agg(F.min("first").alias("smallest"))
-    labels = classes.join(linked, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("smallest", "first").alias("label"))
-    found = documents.join(labels, "node", "left")
+    labels = classes.join(linked.join(smallest, "root"), "node", "left").select("node", "copies", F.coalesce("smallest", "first").alias("label"))
+    if count:
+        labels = labels.join(links_of_nodes(ordered, linked, classes.select("node", "copies"), percent), "node", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1)
+    else:
+        labels = labels.withColumn("links", F.lit(0).cast("long"))
+    apart = documents.filter("n = 0").select("doc", "n", F.col("doc").alias("label"), F.lit(0).cast("long").alias("links"))
+    found = meet(documents.filter("n > 0"), stored(labels), "node", "copies", documents.count()).select("doc", "n", "label", "links").unionByName(apart)
     null_back = lambda c: F.when(c != NULL_ID, c)
-    return found.select(null_back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), null_back(F.coalesce("label", "doc")).alias("component_id"))
+    columns = [null_back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), null_back(F.col("label")).alias("component_id")]
+    return found.select(*columns, *[F.col("links").alias("n_links")] * count)

@@ -184,6 +184,11 @@ def components_by_hand(texts, k, percent):
     return {i: find(i) for i in range(len(texts))}, [len(s) for s in sets]
 
 
+def links_by_hand(texts, k, percent):
+    sets = [shingles(t, k) for t in texts]
+    return {i: sum(1 for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= percent * len(a | b)) for i, a in enumerate(sets)}
+
+
 def near_copies(base, n, seed, edits):
     rng, w = random.Random(seed), base.split()
     out = []
@@ -210,6 +215,33 @@ def test_jaccard_components(spark, monkeypatch, half_sets, flush, block):
     rows = jaccard_components(table(spark, texts), buckets=5).collect()
     assert {r.doc_id: r.component_id for r in rows} == by_hand
     assert {r.doc_id: r.n_shingles for r in rows} == dict(enumerate(sizes))
+    assert {r.doc_id: r.n_links for r in rows} == links_by_hand(texts, 4, 85)
+    rows = jaccard_components(table(spark, texts), words=5, percent=80, buckets=3, count=False).collect()
+    assert {r.doc_id: r.component_id for r in rows} == components_by_hand(texts, 5, 80)[0] and "n_links" not in rows[0]
+
+
+def test_jaccard_sends_rows_by_the_nodes(spark, monkeypatch):
+    """A group of near copies of one text is sent to search tasks in rows by its size, not by its pairs."""
+    monkeypatch.setattr(jaccard_join, "HALF_SETS", 16)
+    sent, task = [], jaccard_join.search
+    counter = spark.sparkContext.accumulator(0)
+
+    def counted(percent):
+        link = task(percent)
+
+        def run(t):
+            counter.add(t.num_rows)
+            return link(t)
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "search", counted)
+    for n in (200, 400, 800):
+        before = counter.value
+        rows = jaccard_components(table(spark, near_copies(prose(150, 9), n, 9, 1)), buckets=2, count=False).collect()
+        assert {r.component_id for r in rows} == {0}
+        sent.append(counter.value - before)
+    assert sent[0] <= 4 * 200 and sent[2] <= 5 * sent[0]
 
 
 def test_jaccard_null_ids_and_no_rows(spark):
@@ -231,12 +263,13 @@ def test_search_finds_all_links(monkeypatch, dense):
         assert {j for j in links.partners(i) if j != i} == exact
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(0, 30)] + [(100, 90), (90, 95), (200, 201)]
+@pytest.mark.parametrize("in_one_task", [1_000_000, 3])
+def test_components(spark, in_one_task):
+    edges = [(i, i + 1) for i in range(0, 30)] + [(100, 90), (90, 95), (200, 201), (7, 7), (-5, -9)] + [(500, 500 + i) for i in range(1, 40)]
     random.Random(1).shuffle(edges)
-    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {**{i: 0 for i in range(31)}, 90: 90, 95: 90, 100: 90, 200: 200, 201: 200}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3), in_one_task).collect()}
+    assert found == {**{i: 0 for i in range(31)}, 90: 90, 95: 90, 100: 90, 200: 200, 201: 200, -5: -9, -9: -9, **{500 + i: 500 for i in range(40)}}
+    assert components(spark.createDataFrame([], "a long, b long"), in_one_task).count() == 0
 
 
 def test_word_hashes():
