@@ -9,10 +9,11 @@
 3. Rough search: nodes with the same least shingle hash meet in blocks, each node in one; where they need several blocks, a
    few of them that hold the most frequent shingles go to every block, so a group of near copies is connected there.
 4. Search of the rest: a list of the nodes whose prefixes hold a shingle matters only where it has nodes of several
-   components. First one node of each such component meets those of the others. Where several components remain, short
-   lists are a task each; of long ones, blocks of the nodes outside the list's largest component meet blocks of all, as a
-   link between components has an end outside the largest one. So no link is lost, and what is sent grows with the nodes,
-   not with the pairs of a group.
+   components, and no link leaves a group of components that such lists connect. A group that fits a task is searched
+   there. In larger ones, one node of each component of a list meets those of the others first. Where several components
+   remain, short lists are a task each; of long ones, blocks of the nodes outside the list's largest component meet blocks
+   of all, as a link between components has an end outside the largest one. So no link is lost, and what is sent grows
+   with the nodes, not with the pairs of a group.
 5. A search task holds the inverted lists of its sets. For a set, the longest lists are put aside, the others are merged on
    a heap that skips ids which can't reach the count, and the candidates are looked up in the long lists by binary search
    (DivideSkip). Sets that are known to be connected aren't verified.
@@ -441,10 +442,13 @@ def rough_links(ordered: DataFrame, nodes: int, percent: int) -> DataFrame:
 
 
 def contested(posts: DataFrame) -> DataFrame:
-    """shingle, all, node, component, central: of posts those whose shingle has nodes of several components."""
-    lists = posts.groupBy("shingle").agg(F.count("*").alias("all"), F.min("component").alias("low"), F.max("component").alias("high"))
-    lists = cut(lists.filter("low < high").select("shingle", "all"))
-    return stored(meet(posts, lists, "shingle", "all", posts.count()).select("shingle", "all", "node", "component", "central"))
+    """posts (shingle, node, component, central, shingles) with all (the list's length) and low (its least component): those
+    whose shingle has nodes of several components; of lists that hold the same nodes, as 128 bits of their hashes tell, one.
+    """
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in range(2)]
+    lists = posts.groupBy("shingle").agg(F.count("*").alias("all"), F.min("component").alias("low"), F.max("component").alias("high"), *same)
+    lists = cut(lists.filter("low < high").groupBy("all", "low", "same0", "same1").agg(F.min("shingle").alias("shingle")).select("shingle", "all", "low"))
+    return stored(meet(posts, lists, "shingle", "all", posts.count()).select("shingle", "all", "low", "node", "component", "central", "shingles"))
 
 
 def grown(components_: DataFrame, links: DataFrame) -> DataFrame:
@@ -455,18 +459,35 @@ def grown(components_: DataFrame, links: DataFrame) -> DataFrame:
 def remaining(ordered: DataFrame, rough: DataFrame, percent: int) -> DataFrame:
     """node, root: the components, given those of the rough search.
 
-    First the most central node of each component in a contested list meets those of the others, each once a list; what is
-    contested after that is searched in full.
+    No link leaves a group of components that contested lists connect. A group that fits a task is searched there, each
+    node sent once; lists of larger groups are searched one by one.
     """
     sets = ordered.select("node", "n", "hashes")
-    posts = stored(ordered.select("node", "central", F.explode("prefix").alias("shingle")).join(rough, "node", "left").select("shingle", "node", "central", F.coalesce("root", "node").alias("component")))
-    posts = contested(posts)
+    posts = ordered.select("node", "central", "shingles", F.explode("prefix").alias("shingle")).join(rough, "node", "left")
+    posts = contested(stored(posts.select("shingle", "node", "central", "shingles", F.coalesce("root", "node").alias("component"))))
+    groups = components(posts.select(F.col("component").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("component"), F.col("root").alias("task"))
+    nodes = stored(posts.select("node", "component", "shingles").distinct().join(groups, "component"))
+    size = cut(nodes.groupBy("task").agg(F.count("*").alias("sets"), F.sum("shingles").alias("all_shingles")).withColumn("small", (F.col("all_shingles") <= 2 * HALF_SHINGLES) & (F.col("sets") <= 2 * HALF_SETS)))
+    nodes = meet(nodes, size, "task", "sets", nodes.count())
+    links = nodes.filter("small").select("task", "node", "component").join(sets, "node").groupBy("task").applyInArrow(search(percent), "a long, b long")
+    if size.filter("NOT small").limit(1).count():
+        large = nodes.filter("NOT small").select("node").distinct()
+        links = links.unionByName(links_by_lists(stored(posts.join(large, "node", "left_semi")), sets, rough, percent))
+    return grown(rough, links)
+
+
+def links_by_lists(posts: DataFrame, sets: DataFrame, rough: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect whatever links connect between components of contested lists.
+
+    First the most central node of each component in a list meets those of the others; what is contested after that is
+    searched in full.
+    """
     best = cut(posts.groupBy("shingle", "component").agg(F.max(F.struct("central", "node"))["node"].alias("node")))
     lists = cut(best.groupBy("shingle").agg(F.count("*").alias("several"))).withColumn("blocks", F.ceil(F.col("several") / (2 * HALF_SETS)))
     best = meet(best, lists, "shingle", "several", best.count()).withColumn("block", block_of("blocks"))
-    linked = grown(rough, best.join(sets, "node").groupBy("shingle", "block").applyInArrow(search(percent), "a long, b long"))
-    root = linked.select(F.col("node").alias("component"), "root")
-    posts = contested(posts.drop("all").join(root, "component", "left").select("shingle", "node", "central", F.coalesce("root", "component").alias("component")))
+    first = cut(best.join(sets, "node").groupBy("shingle", "block").applyInArrow(search(percent), "a long, b long"))
+    root = grown(rough, first).select(F.col("node").alias("component"), "root")
+    posts = contested(stored(posts.drop("all", "low").join(root, "component", "left").select("shingle", "node", "central", "shingles", F.coalesce("root", "component").alias("component"))))
     tasks = posts.filter(F.col("all") <= 2 * HALF_SETS).select("shingle", F.lit(0).alias("outer"), F.lit(0).alias("inner"), "node", "component")
     long = posts.filter(F.col("all") > 2 * HALF_SETS)
     if long.limit(1).count():
@@ -478,7 +499,7 @@ def remaining(ordered: DataFrame, rough: DataFrame, percent: int) -> DataFrame:
         as_inner = dealt.select("shingle", every("outers").alias("outer"), block_of("inners").alias("inner"), "node", "component")
         as_outer = dealt.filter("component != main").select("shingle", block_of("outers", 1).alias("outer"), every("inners").alias("inner"), "node", "component")
         tasks = tasks.unionByName(as_inner).unionByName(as_outer)
-    return grown(linked, tasks.join(sets, "node").groupBy("shingle", "outer", "inner").applyInArrow(search(percent), "a long, b long"))
+    return first.unionByName(tasks.join(sets, "node").groupBy("shingle", "outer", "inner").applyInArrow(search(percent), "a long, b long"))
 
 
 def links_of_nodes(ordered: DataFrame, linked: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
