@@ -25,7 +25,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from bindery.llm.exact_dedup import frequent
 from bindery.llm.words import BLANKS, mix, shingle_set
 
 #: Bytes of text for a bucket; shingles that a task gathers before it sends them, and of a block of sets.
-BUCKET_BYTES, FLUSH, BLOCK = 8_000_000, 500_000, 500_000
+BUCKET_BYTES, FLUSH, BLOCK = 8_000_000, 250_000, 500_000
 #: Sets and shingles of a block, of which a search task holds two; and how many sets go to every block of a large group.
 HALF_SETS, HALF_SHINGLES, CENTRAL = 1024, 500_000, 8
 COPY_COUNTERS = 16_384
@@ -102,7 +102,7 @@ SENT = "bucket int, kind int, ids binary, sizes binary, counts binary, hashes bi
 TOLD = "kind int, doc long, node long, n long, owner int, ids binary, sizes binary, counts binary, hashes binary"
 
 
-def send_shingles(words: int, buckets: int):
+def send_shingles(elements: Callable[[bytes], np.ndarray], buckets: int):
     """For mapInArrow over (doc, raw, copy): rows of SENT. Of a copy only the document is sent, its set comes with another."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +134,9 @@ def send_shingles(words: int, buckets: int):
             return batch(rows, SENT)
 
         for b in batches:
-            for doc, raw, copy in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = shingle_set(raw.lower(), words, BLANKS)
+            ids, texts, copies = b.columns
+            for doc, raw, copy in zip(ids.to_pylist(), texts, copies.to_pylist(), strict=True):
+                s = elements(raw.as_py())
                 with np.errstate(over="ignore"):
                     node = int(mix(np.array([mix(s).sum(dtype=U8) + np.uint64(len(s) + 1)], U8))[0]) if len(s) else NOBODY
                 docs.append((doc, node, len(s)))
@@ -456,14 +457,23 @@ def grown(components_: DataFrame, links: DataFrame) -> DataFrame:
     return components(links.unionByName(components_.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
-def remaining(ordered: DataFrame, rough: DataFrame, percent: int) -> DataFrame:
+def length_class(n: Column, percent: int) -> Column:
+    """Of two sets that link, the classes are the same or neighbours."""
+    return F.floor(F.log(n.cast("double")) / -math.log(percent / 100 - 0.005)).cast("int")
+
+
+def remaining(ordered: DataFrame, rough: DataFrame, percent: int, by_length: bool) -> DataFrame:
     """node, root: the components, given those of the rough search.
 
     No link leaves a group of components that contested lists connect. A group that fits a task is searched there, each
     node sent once; lists of larger groups are searched one by one.
     """
     sets = ordered.select("node", "n", "hashes")
-    posts = ordered.select("node", "central", "shingles", F.explode("prefix").alias("shingle")).join(rough, "node", "left")
+    posts = ordered.select("node", "n", "central", "shingles", F.explode("prefix").alias("shingle"))
+    if by_length:
+        length = length_class(F.col("n"), percent)
+        posts = posts.withColumn("length", F.explode(F.array(length, length + 1))).withColumn("shingle", F.xxhash64("length", "shingle"))
+    posts = posts.join(rough, "node", "left")
     posts = contested(stored(posts.select("shingle", "node", "central", "shingles", F.coalesce("root", "node").alias("component"))))
     groups = components(posts.select(F.col("component").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("component"), F.col("root").alias("task"))
     nodes = stored(posts.select("node", "component", "shingles").distinct().join(groups, "component"))
@@ -527,7 +537,7 @@ def marked_copies(keyed: DataFrame) -> DataFrame:
     return joined.select("doc", "raw", F.coalesce(F.col("doc") != F.col("first"), F.lit(False)).alias("copy"))
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, buckets: int | None = None, count: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, buckets: int | None = None, count: bool = True, elements: Callable[[bytes], np.ndarray] | None = None, by_length: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included),
     and, unless count is False, n_links: how many other documents the document links with, its equals among them.
 
@@ -537,19 +547,22 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bucke
     smallest: its component_id is null. Rows that repeat a doc_id are documents of their own. Other columns are ignored;
     an empty table gives no row.
 
+    elements gives a text's set otherwise, from its bytes to sorted distinct 64-bit hashes. With by_length, a list of nodes is
+    kept for each length class of the sets, and a node is in those of its own and of the next class.
+
     Counting verifies each pair of different sets that may link, so it takes time by the number of links; the components
     alone don't.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
     buckets = buckets or max(1, -(-input_bytes(docs) // BUCKET_BYTES))
-    told = stored(marked_copies(keyed).mapInArrow(send_shingles(words, buckets), SENT).groupBy("bucket").applyInArrow(answer(buckets), TOLD))
+    told = stored(marked_copies(keyed).mapInArrow(send_shingles(elements or (lambda raw: shingle_set(raw.lower(), words, BLANKS)), buckets), SENT).groupBy("bucket").applyInArrow(answer(buckets), TOLD))
     documents = told.filter("kind = 2").select("doc", "node", "n")
     shared = told.filter("kind = 1").select("owner", "ids", "sizes", "counts", "hashes")
     blocks = stored(shared.groupBy("owner").applyInArrow(blocks_of(percent), BLOCKS))
     total = blocks.agg(F.sum("shingles")).first()[0] or 0
     counts = blocks.select("block", "hashes").mapInArrow(send_counts(max(1, -(-total // BLOCK))), COUNTED).groupBy("bucket").applyInArrow(sum_counts, FREQUENT)
     ordered = stored(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(order_shingles(percent), ORDERED))
-    linked = remaining(ordered, components(rough_links(ordered, ordered.count(), percent)), percent)
+    linked = remaining(ordered, components(rough_links(ordered, ordered.count(), percent)), percent, by_length)
     classes = cut(documents.filter("n > 0").groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("copies")))
     smallest = classes.join(linked, "node").groupBy("root").agg(F.min("first").alias("smallest"))
     labels = classes.join(linked.join(smallest, "root"), "node", "left").select("node", "copies", F.coalesce("smallest", "first").alias("label"))
