@@ -54,51 +54,59 @@ def votes(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("uid"), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)).alias("words"))
     words = words.withColumn("n_words", F.size("words"))
-    hashes = F.when(F.col("n_words") >= K, F.transform(F.sequence(F.lit(0), F.col("n_words") - K), lambda i: F.xxhash64(*[F.get(F.col("words"), i + j) for j in range(K)]))).otherwise(F.array().cast("array<bigint>"))
-    grams = words.select("doc_id", "uid", "n_words", "words", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), hashes)).alias("place", "hash"))
+    none = F.array().cast("array<array<string>>")
+    grams = F.when(F.col("n_words") >= K, F.transform(F.sequence(F.lit(1), F.col("n_words") - K + 1), lambda i: F.slice(F.col("words"), i, K))).otherwise(none)
+    # each row carries its own gram only: with the text's words it would take time by the square of the text
+    grams = words.select("doc_id", "uid", "n_words", F.posexplode(F.concat(F.array(F.array().cast("array<string>")), grams)).alias("place", "own"))
+    grams = grams.withColumn("hash", F.when(F.col("place") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(*[F.get("own", F.lit(j)) for j in range(K)])))
     met = grams.join(F.broadcast(gram_table(docs.sparkSession)), "hash")
-    same = F.when(F.col("template") < 0, F.col("place") == 0).otherwise((F.col("place") > 0) & (F.slice("words", F.greatest("place", F.lit(1)), K) == F.col("gram")))
+    same = F.when(F.col("template") < 0, F.col("place") == 0).otherwise((F.col("place") > 0) & (F.col("own") == F.col("gram")))
     return met.filter(same).select("doc_id", "uid", F.col("n_words").cast("long").alias("n_words"), "template", "label", "base", "n_grams", (F.col("place") - 1 - F.col("t")).alias("diagonal"), "t")
 
 
 def spans(voted: DataFrame) -> DataFrame:
-    """The verified spans: doc_id, uid, n_words, label, base, start, stop, share; rows of template -1 stay, with label ''."""
+    """The verified spans: doc_id, uid, n_words, label, base, start, stop, share; rows of template -1 stay, with label '' and
+    the number of the document's rows as n_rows.
+    """
     doc = ["doc_id", "uid", "n_words"]
     template = [*doc, "template", "label", "base", "n_grams"]
-    diagonals = voted.repartition("doc_id", "uid").groupBy(*template, "diagonal").agg(F.collect_set("t").alias("hits"))
+    diagonals = voted.repartition("doc_id", "uid").groupBy(*template, "diagonal").agg(F.collect_set("t").alias("hits"), F.count("*").alias("n_rows"))
     order = Window.partitionBy(*template).orderBy("diagonal")
     # a base phrase has a place for each diagonal: only others are merged
     apart = F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT), F.lit(True))
     islands = diagonals.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(order))
     merged = islands.groupBy(*template, "island").agg(
+        F.max("n_rows").alias("n_rows"),
         F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("covered"),
         F.min(F.col("diagonal") + F.array_min("hits")).alias("start"),
         F.max(F.col("diagonal") + F.array_max("hits") + K).alias("stop"),
     )
     share = F.col("covered") / F.col("n_grams")
     enough = F.when(F.col("n_grams") < LONG, share == 1).otherwise((share >= SHARE) & (F.col("stop") - F.col("start") <= 2 * (F.col("n_grams") + K)))
-    return merged.withColumn("share", share).filter(enough).select(*doc, "label", "base", "start", "stop", "share")
+    return merged.withColumn("share", share).filter(enough).select(*doc, "label", "base", "start", "stop", "share", F.when(F.col("template") < 0, F.col("n_rows")).alias("n_rows"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts all places of base phrases; score is the largest share of a template that a verified span covers, 0
-    without one. A null text is an empty one: no words, no labels. A null doc_id is kept. Repeated rows count once. Other
-    columns are ignored; an empty table gives no row.
+    without one. A null text is an empty one: no words, no labels. A null doc_id is kept. Rows that repeat doc_id and text
+    (told by 64 bits of its hash) get equal rows. Other columns are ignored; an empty table gives no row.
     """
     found = spans(votes(docs))
     own = F.col("label") != ""
     base = F.when(F.col("base"), F.col("start"))
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
-    return found.groupBy("doc_id", "uid", "n_words").agg(
+    scanned = found.groupBy("doc_id", "uid", "n_words").agg(
+        F.max("n_rows").cast("int").alias("n_rows"),
         F.count(base).alias("n_base"),
         F.min(base).cast("long").alias("first_word"),
         F.max(base).cast("long").alias("last_word"),
         labels(F.col("base")).alias("base_labels"),
         labels(own).alias("labels"),
         F.coalesce(F.max(F.when(own, F.col("share"))), F.lit(0.0)).alias("score"),
-    ).drop("uid")
+    )
+    return scanned.withColumn("row", F.explode(F.array_repeat(F.lit(1), F.col("n_rows")))).drop("uid", "n_rows", "row")
 
 
 def oracle() -> str:
