@@ -39,7 +39,7 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def meet(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def meet(rows: DataFrame, facts: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """rows joined with facts, which has a row per key and how many of the `total` rows have it as `count`.
 
     Keys of over a thousandth of the rows, fewer than a thousand, are broadcast, so that their rows stay where they lie;

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import cut
+from bindery.llm.common import cut, meet
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: Hexadecimal digits of a document's place in an epoch that name its slice of the leaf: 4096 slices share a hot leaf.
@@ -22,7 +22,9 @@ SLICE = 3
 
 @dataclass(frozen=True)
 class Mixture:
-    """share: of all tokens, the budget. Children that have no weight here get `other`; every source weighs the same."""
+    """share: of all tokens, the budget. Children that have no weight here get `other`; every source weighs the same. What
+    weighs 0 gets nothing, whatever others leave.
+    """
 
     share: float = 0.6
     max_epochs: int = 2
@@ -50,21 +52,24 @@ def dealt(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 
     In order of capacity by weight, children are full as long as their part of what is left covers their capacity.
     """
-    order = Window.partitionBy(*parent).orderBy(F.col("capacity") / F.col("weight"), name)
+    order = Window.partitionBy(*parent).orderBy(F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(F.lit(0.0)), name)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     out = children.withColumn("used", F.coalesce(F.sum("capacity").over(before), F.lit(0))).withColumn("weights", F.sum("weight").over(onward))
-    full = F.col("capacity") <= F.col("weight") * (F.col("budget") - F.col("used")) / F.col("weights")
+    # without any weight from here on, all are full of nothing
+    full = F.when(F.col("weights") > 0, F.col("capacity") <= F.col("weight") * (F.col("budget") - F.col("used")) / F.col("weights")).otherwise(F.lit(True))
     out = out.withColumn("full", full)
     group = Window.partitionBy(*parent)
     out = out.withColumn("full_sum", F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(group), F.lit(0))).withColumn("open_weight", F.sum(F.when(~F.col("full"), F.col("weight"))).over(group))
-    part = F.floor(F.col("weight") * (F.col("budget") - F.col("full_sum")) / F.col("open_weight")).cast("long")
+    part = F.floor(F.when(F.col("open_weight") > 0, F.col("weight") * (F.col("budget") - F.col("full_sum")) / F.col("open_weight")).otherwise(F.lit(0.0))).cast("long")
     return out.withColumn("given", F.when(F.col("full"), F.col("capacity")).otherwise(part)).drop("used", "weights", "full", "full_sum", "open_weight")
 
 
 def leaf_plan(base: DataFrame, mixture: Mixture) -> DataFrame:
-    """domain, lang, source, available, given, whole (epochs), part (tokens of one more), for every leaf."""
-    leaves = cut(base.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("available")).withColumn("capacity", F.col("available") * mixture.max_epochs))
+    """domain, lang, source, docs, available, given, whole (epochs), part (tokens of one more), for every leaf."""
+    weighs = (weight_of(F.col("domain"), mixture.domains, mixture.other) > 0) & (weight_of(F.col("lang"), mixture.langs, mixture.other) > 0)
+    leaves = base.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("available"), F.count("*").alias("docs")).withColumn("weighs", weighs)
+    leaves = cut(leaves.withColumn("capacity", F.when(F.col("weighs"), F.col("available") * mixture.max_epochs).otherwise(F.lit(0).cast("long"))))
     total = leaves.agg(F.sum("available")).first()[0] or 0
     budget = int(total * mixture.share)
     top = leaves.groupBy("domain").agg(F.sum("capacity").alias("capacity")).withColumn("root", F.lit(0)).withColumn("budget", F.lit(budget).cast("long")).withColumn("weight", weight_of(F.col("domain"), mixture.domains, mixture.other))
@@ -72,8 +77,8 @@ def leaf_plan(base: DataFrame, mixture: Mixture) -> DataFrame:
     middle = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity")).join(top, "domain").withColumn("weight", weight_of(F.col("lang"), mixture.langs, mixture.other))
     middle = dealt(middle, ["domain"], "lang").select("domain", "lang", F.col("given").alias("budget"))
     plan = dealt(leaves.join(middle, ["domain", "lang"]).withColumn("weight", F.lit(1.0)), ["domain", "lang"], "source")
-    whole = F.when(F.col("available") > 0, F.floor(F.col("given") / F.col("available"))).otherwise(F.lit(1)).cast("long")
-    return plan.select("domain", "lang", "source", "available", "given", whole.alias("whole"), (F.col("given") - whole * F.col("available")).alias("part"))
+    whole = F.when(~F.col("weighs"), F.lit(0)).when(F.col("available") > 0, F.floor(F.col("given") / F.col("available"))).otherwise(F.lit(1)).cast("long")
+    return plan.select("domain", "lang", "source", "docs", "available", "given", whole.alias("whole"), (F.col("given") - whole * F.col("available")).alias("part"))
 
 
 def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
@@ -89,9 +94,9 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of(F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("domain"), name("lang"), name("source"), F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("n_tokens"))
     base = cut(base)
     leaf = ["domain", "lang", "source"]
-    planned = base.join(leaf_plan(base, mixture), leaf)
+    planned = meet(base, cut(leaf_plan(base, mixture)), leaf, "docs", base.count())
     key = F.md5(F.concat_ws("|", F.lit(str(mixture.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    # a leaf's slices go to different tasks: the join may have left a whole leaf in one
+    # a leaf's slices go to different tasks
     planned = planned.withColumn("key", key).withColumn("slice", F.substring("key", 1, SLICE)).repartition(*leaf, "slice")
     within = Window.partitionBy(*leaf, "slice").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = planned.withColumn("within", F.sum("n_tokens").over(within))
