@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import cut, fold, sampled
 
-#: At most so many labelled rows are fitted, chosen by a hash of doc_id; the only bound here, all else covers every row.
+#: At most so many labelled rows are fitted, chosen by a hash of doc_id, and the model has so many word features at most,
+#: those that tell most: the model's size, as with any linear model. All else covers every row and every word.
 FIT_ROWS = 40_000
 VOCABULARY, LEAST_Z, STEPS, RATE, SHRINK = 1024, 5.0, 300, 0.15, 5e-5
 PREFIXES, CACHED = (3, 5, 7), 500_000
@@ -158,10 +159,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
         offending = []
         if len(z) and z.max() >= 0:
             ends = np.cumsum([len(s) + 1 for s in sentences(raw)])
+            points = np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))  # code points before each byte
             for k, x in zip(places, z, strict=True):
                 if x >= 0:
                     start, end = (int(ends[k - 1]) if k else 0), int(ends[k]) - 1
-                    offending.append({"start": len(raw[:start].decode("utf-8", "replace")), "end": len(raw[:end].decode("utf-8", "replace")), "score": float(1 / (1 + np.exp(-x)))})
+                    offending.append({"start": int(points[start]), "end": int(points[end]), "score": float(1 / (1 + np.exp(-x)))})
         return noisy_or(z, total - len(z), bias), total, offending
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
