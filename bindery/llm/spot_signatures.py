@@ -1,8 +1,8 @@
 """Operator 10, document fingerprints by spot signatures.
 
 Each common word is an anchor; the chain of content words that follows it, with the anchor, is a signature. A text's
-signatures form a set, and likeness is the Jaccard of two sets. A document is compared with its edited text and its next one;
-its length partition is given, but sets are not matched within or across partitions here.
+signatures form a set, and likeness is the Jaccard of two sets. fingerprints() compares each document with its edited text
+and its next one; matched() finds all documents that are alike, by length partitions and pruned Jaccard.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindery.llm.jaccard_join import jaccard_components
 from bindery.llm.words import MARKS, chain, mix, word_hashes
 
 CHAIN, EXTRA, RATIO = 2, 8, 0.8
@@ -38,17 +39,17 @@ def common_hashes() -> np.ndarray:
 COMMON_HASHES = common_hashes()
 
 
-def signatures(text: str) -> np.ndarray:
-    """The text's sorted distinct signatures as 32-bit numbers.
+def spots(raw: bytes) -> np.ndarray:
+    """A text's sorted distinct signatures as 64-bit numbers, from its bytes in UTF-8.
 
     Anchors are the common words, one other word in EXTRA by its hash (for texts with few common words), and the text's
     beginning. Content words are the others; if there are none, all are. Without words the text itself is the signature;
     an empty text has none.
     """
-    raw = text.encode("utf-8", "surrogatepass").lower()
+    raw = raw.lower()
     h = word_hashes(raw, MARKS)
     if not len(h):
-        return np.frombuffer(hashlib.sha256(raw).digest()[:4], "<u4") if raw else np.zeros(0, "<u4")
+        return np.frombuffer(hashlib.sha256(raw).digest()[:8], "<u8") if raw else np.zeros(0, "<u8")
     common = COMMON_HASHES[np.minimum(np.searchsorted(COMMON_HASHES, h), len(COMMON_HASHES) - 1)] == h
     content = np.flatnonzero(~common)
     if not len(content):
@@ -57,9 +58,25 @@ def signatures(text: str) -> np.ndarray:
     first = np.searchsorted(content, anchors, "right")
     anchors, first = anchors[first < len(content)], first[first < len(content)]
     following = np.append(h[content], np.zeros(CHAIN, np.uint64))
-    spots = chain(h[anchors], *[following[first + i] for i in range(CHAIN)])
+    chains = chain(h[anchors], *[following[first + i] for i in range(CHAIN)])
     start = chain(*[following[i : i + 1] for i in range(CHAIN)])
-    return np.unique((np.append(spots, start) >> np.uint64(32)).astype("<u4"))
+    return np.unique(np.append(chains, start))
+
+
+def signatures(text: str) -> np.ndarray:
+    """The text's sorted distinct signatures as 32-bit numbers."""
+    return np.unique((spots(text.encode("utf-8", "surrogatepass")) >> np.uint64(32)).astype("<u4"))
+
+
+def matched(docs: DataFrame, percent: int = 80, count: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, n_signatures, component_id (the smallest doc_id reachable by links, itself included),
+    and, unless count is False, n_links. Two texts link when the Jaccard of their signature sets is percent or more.
+
+    Sets are listed by length class, and a set meets those of its own and the neighbouring classes only; in a class they
+    are compared through inverted lists, and sizes that can't reach the Jaccard aren't. Null and empty texts have no
+    signature and link with nothing. Null doc_ids, repeated rows, other columns and empty tables are as in the n-gram join.
+    """
+    return jaccard_components(docs, percent=percent, count=count, elements=spots, by_length=True).withColumnRenamed("n_shingles", "n_signatures")
 
 
 def sketch(sigs: np.ndarray) -> tuple[int, np.ndarray]:
