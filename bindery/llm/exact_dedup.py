@@ -81,4 +81,7 @@ def deduplicated(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]) & (digest == kept["_keep_sha"]), "left_semi")
     # such rows meet in the same group above; only where there are any do texts have to be compared again
     repeated = found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count()
-    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
+    if not repeated:
+        return rows
+    same = next(name for k in range(len(rows.columns) + 1) if (name := f"same_{k}") not in rows.columns)
+    return rows.withColumn(same, F.coalesce(F.col("text"), F.lit(""))).dropDuplicates(["doc_id", same]).drop(same)

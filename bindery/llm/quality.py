@@ -59,16 +59,17 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the statistics of its text, for every row."""
+def with_statistics(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, row_key (the column key, a long) and x, the statistics of its text, for every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t) for t in b.column(1).to_pylist()], float).reshape(-1)
             offsets = np.arange(0, len(x) + 1, len(NAMES), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(x))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(offsets, pa.array(x))], ["doc_id", "row_key", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, x array<double>")
+    row_key = (F.col(key) if key else F.lit(None)).cast("long").alias("row_key")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key).mapInArrow(rows, "doc_id long, row_key long, x array<double>")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -123,20 +124,21 @@ def features(model: dict, x: np.ndarray) -> np.ndarray:
     return fourier_features(z, model["weights"], model["phases"])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score (0 to 1, higher is better), predicted (1 if score >= threshold).
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS, key: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score (0 to 1, higher is better), predicted (1 if score >= threshold), and
+    the column `key` of docs, a number that tells rows with one doc_id apart, if it is named.
 
     Learns from labels.quality of rows whose crc32(doc_id) mod 4 is not 2. Null and empty texts are scored as texts of no
     bytes; a null doc_id is not held out. Repeated rows each get their (equal) score. With no labels every score is 0.5.
     Other columns of either table are ignored.
     """
-    stats = cut(with_statistics(docs))
+    stats = cut(with_statistics(docs, key))
     model = fit(stats, labels, "quality", fit_rows)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": calibrated(features(model, matrix(b.column(1))) @ model["beta"], model["knots"])})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "row_key": b.column(1), "score": calibrated(features(model, matrix(b.column(2))) @ model["beta"], model["knots"])})
 
-    scored = stats.mapInArrow(rows, "doc_id long, score double")
+    scored = stats.mapInArrow(rows, "doc_id long, row_key long, score double")
     held = F.coalesce(fold(F.col("doc_id"), FOLD[0]) == FOLD[1], F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col("row_key").alias(str(key))] * bool(key))
