@@ -2,23 +2,25 @@
 
 import collections
 import hashlib
+import math
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 
-from bindery.llm import jaccard_join, license_scan, mixing, words
+from bindery.llm import jaccard_join, license_scan, mixing, regression, toxicity, words
 from bindery.llm.components import components
 from bindery.llm.exact_dedup import deduplicated, exact_dedup, misra_gries
 from bindery.llm.jaccard_join import Links, jaccard_components
 from bindery.llm.quality import quality_scores
-from bindery.llm.spot_signatures import fingerprint, fingerprints, from_fingerprint, likeness, signatures, sketch
+from bindery.llm.spot_signatures import fingerprint, fingerprints, from_fingerprint, likeness, matched, signatures, sketch, spots
 from bindery.llm.substring_dedup import substring_dedup, units
 from bindery.llm.token_output import CapacityTree, packed_ids
 from bindery.llm.tokens import Encoder, default_path
 from bindery.llm.toxicity import toxicity_scores
-from bindery.llm.vector_packing import Packer, pack
+from bindery.llm.vector_packing import Packer, answers, pack, pack_conversations
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, keep_id string, node string, kept string"
 
@@ -328,7 +330,7 @@ def test_packer_keeps_all_limits():
         packer.add(i, np.arange(n, dtype="<u4"), rng.choice([0, 0, n // 2, n]))
     packer.finish()
     by = collections.defaultdict(list)
-    for doc, start, n, _, _, sequence, offset, loss in packer.rows:
+    for doc, start, n, _, _, sequence, offset, loss, _ in packer.rows:
         by[sequence].append((offset, n, loss, doc, start))
     for own in by.values():
         assert sum(x[1] for x in own) <= 64 and len(own) <= 4 and sum(x[2] for x in own) <= 40
@@ -340,6 +342,98 @@ def test_packer_keeps_all_limits():
     assert [tokens[i] for i in range(200)] == lengths
 
 
+def packed_by_hand(docs, capacity, segments, loss, pool):
+    """(doc, start, length, sequence) of dot-product packing, piece by piece, of (tokens, first that bears loss) documents."""
+    out, waiting, sequence = [], [], 0
+    bears = lambda p, n: sum(1 for i in range(p[1], p[1] + n) if i >= p[3])
+
+    def close(placed):
+        nonlocal sequence
+        total, at, rest = sum(n for _, n in placed), 0, []
+        room = total if total == capacity else 2 ** int(math.log2(total))
+        for p, n in placed:
+            n = min(n, room - at)
+            if n:
+                out.append((p[0], p[1], n, sequence))
+            at += n
+            rest.append((p[0], p[1] + n, p[2] - n, p[3]))
+        sequence += 1
+        return [p for p in rest if p[2]]
+
+    def fill():
+        left, placed = [capacity, segments, loss], []
+        while waiting and left[0] and left[1]:
+            fitting = [k for k, p in enumerate(waiting) if p[2] <= left[0] and bears(p, p[2]) <= left[2]] if left[1] > 1 else []
+            if fitting:
+                dot = lambda k: sum(a / m * b / m for a, b, m in zip((waiting[k][2], 1, bears(waiting[k], waiting[k][2])), left, (capacity, segments, loss), strict=True))
+                k = max(fitting, key=lambda k: (round(dot(k), 12), -k))
+                n = waiting[k][2]
+            else:
+                most = [max((n for n in range(min(p[2], left[0]) + 1) if bears(p, n) <= left[2]), default=0) for p in waiting]
+                n = max(most)
+                k = most.index(n)
+                if not n:
+                    break
+            p = waiting[k]
+            waiting[k] = waiting[-1]
+            waiting.pop()
+            placed.append((p, n))
+            left = [left[0] - n, left[1] - 1, left[2] - bears(p, n)]
+        waiting.extend(close(placed))
+
+    for doc, (n, loss_from) in enumerate(docs):
+        p = (doc, 0, n, loss_from)
+        while p[2] >= capacity:
+            p = next(iter(close([(p, min(capacity, max(0, loss_from - p[1]) + loss))])), (doc, n, 0, loss_from))
+        if p[2]:
+            waiting.append(p)
+            while len(waiting) >= pool:
+                fill()
+    while waiting:
+        fill()
+    return out
+
+
+@pytest.mark.parametrize(("segments", "loss"), [(4, 40), (16, 64), (3, 20)])
+def test_packer_agrees_with_packing_by_hand(segments, loss):
+    rng = random.Random(segments)
+    docs = [(n := rng.choice([1, 2, 5, 9, 20, 45, 130]), rng.choice([0, n // 2, n])) for _ in range(150)]
+    packer = Packer(0, 64, segments, loss, 12)
+    for i, (n, loss_from) in enumerate(docs):
+        packer.add(i, np.arange(n, dtype="<u4"), loss_from)
+    packer.finish()
+    assert [(r[0], r[1], r[2], r[5]) for r in packer.rows] == packed_by_hand(docs, 64, segments, loss, 12)
+
+
+def test_short_texts_are_packed_without_padding(spark):
+    texts = [" ".join(["word"] * (i % 5)) for i in range(20_000)]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    lengths = collections.Counter()
+    for r in rows:
+        lengths[r.sequence_id] += r.length
+    assert all(n & (n - 1) == 0 for n in lengths.values()) and max(lengths.values()) <= 2048
+    assert sum(lengths.values()) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+
+
+def test_conversations_are_packed_by_their_answers(spark):
+    turns = [(c, t, "assistant" if t % 2 else "user", prose(1 + (c * 7 + t * 13) % 60, c * 10 + t)) for c in range(80) for t in range(6)]
+    turns += [(90, 0, "assistant", None), (90, 1, None, "asks"), (None, 0, "user", ""), (None, 1, "assistant", "yes"), (91, 0, "user", "a"), (91, 1, "system", "b"), (91, 2, "assistant", "c"), (91, 2, "assistant", "d")]
+    table_ = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    examples = {(r.doc_id, r.turn, r.text): r.prompt for r in answers(table_).collect()}
+    assert examples[91, 2, "c"] == "a\nb" and examples[91, 2, "d"] == "" and examples[90, 0, ""] == "" and examples[90, 1, ""] == "asks" and examples[None, 1, "yes"] == ""
+    encoder, expected = Encoder(default_path()), collections.Counter()
+    for (doc, turn, text), _ in examples.items():
+        expected[doc, turn] += len(encoder.document(text))
+    rows = pack_conversations(table_.coalesce(1), loss=300).collect()
+    bear, tokens, by_doc = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in rows:
+        bear[r.sequence_id] += r.loss_tokens
+        tokens[r.sequence_id] += r.length
+        by_doc[r.doc_id, r.part] += r.loss_tokens
+    assert by_doc == expected and max(bear.values()) <= 300 and max(tokens.values()) <= 2048 and any(b == 300 for b in bear.values())
+    assert pack_conversations(table_.limit(0)).count() == 0
+
+
 # token output
 
 
@@ -401,6 +495,22 @@ def test_fingerprints_of_one_row_repeated_ids_and_no_rows(spark):
     assert fingerprints(table(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_matched_against_all_pairs(spark):
+    texts = [*ODD, "!!!"]
+    for s in range(5):
+        texts += near_copies(prose(150, 900 + s), 6, 900 + s, 1 + s)
+        texts += [" ".join(prose(150, 900 + s).split()[:n]) for n in (100, 120, 130, 140)]
+    sets = [set(spots((t or "").encode()).tolist()) for t in texts]
+    alike = {i: [j for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= 80 * len(a | b)] for i, a in enumerate(sets)}
+    rows = {r.doc_id: r for r in matched(table(spark, texts)).collect()}
+    assert {i: r.n_links for i, r in rows.items()} == {i: len(x) for i, x in alike.items()} and sum(map(len, alike.values())) > 100
+    for i, r in rows.items():
+        seen, left = {i}, [i]
+        while left:
+            left = [j for k in left for j in alike[k] if j not in seen and not seen.add(j)]
+        assert r.component_id == min(seen) and r.n_signatures == len(sets[i])
+
+
 def test_likeness_prunes_by_length():
     a, b = (10, np.arange(10, dtype="<u4")), (5, np.arange(5, dtype="<u4"))
     assert likeness(a, b) == 0.5 and likeness(a, b, 0.6) == 0.0 and likeness((0, a[1][:0]), (0, a[1][:0])) == 1.0 and likeness(a, (0, a[1][:0])) == 0.0
@@ -452,6 +562,56 @@ def test_toxicity_held_out_accuracy_and_places(spark):
             assert any(w in texts[r.doc_id][s.start : s.end] for w in ("vilest", "nastiest", "foulest", "thing", "you"))
 
 
+def test_toxicity_places_are_code_points_and_linear(spark, labels):
+    rng, kinds = random.Random(3), vocabulary(80)
+    texts = []
+    for i in range(400):
+        parts = [" ".join(rng.choice(kinds) for _ in range(6)) for _ in range(5)]
+        if i % 4 == 0:
+            parts[2] = "you vilest thing é " + parts[2]
+        texts.append(". ".join(parts) + ".")
+    long = "Größe ist é. Nothing here! You vilest thing é. " * 20_000
+    began = time.time()
+    rows = {r.doc_id: r for r in toxicity_scores(table(spark, [*texts, long]), labels).collect()}
+    found = rows[400].offending
+    assert len(found) >= 20_000 and all("vilest" in long[s.start : s.end] for s in found[::997]) and time.time() - began < 90
+    assert found[0].end == long.index(".", long.index("vilest"))
+
+
+def test_noisy_or_and_its_training():
+    z = np.array([-1.0, 0.5])
+    assert toxicity.noisy_or(z, 3, -2.0) == pytest.approx(1 - (1 - 1 / (1 + math.exp(1))) * (1 - 1 / (1 + math.exp(-0.5))) * (1 - 1 / (1 + math.exp(2))) ** 3)
+    # two words in bags of two sentences: word 0 is in every positive bag, word 1 anywhere
+    ids = np.array([0, 1, 1, 1, 0, 1])
+    sentence_of, bag_of = np.arange(6), np.array([0, 0, 1, 1, 2, 3])
+    plain, y = np.array([0.0, 0, 1, 1]), np.array([1.0, 0, 1, 0])
+    weights, bias = toxicity.train_weights(ids, sentence_of, bag_of, plain, y, 2)
+    loss = lambda w, b: -sum(math.log(max(1e-12, p if t else 1 - p)) for t, p in zip(y, [toxicity.noisy_or(b + w[ids[bag_of == k]], plain[k], b) for k in range(4)], strict=True)) / 4
+    assert weights[0] > 3 > weights[1] and loss(weights, bias) < 0.05 < loss(np.zeros(2), -6.0)
+
+
+def test_ridge_minimises_its_loss():
+    rng = np.random.default_rng(1)
+    x, y = np.hstack([rng.normal(size=(200, 6)), np.ones((200, 1))]), rng.integers(0, 2, 200).astype(float)
+    w = regression.ridge(x.T @ x, x.T @ y, 0.3)
+    loss = lambda v: ((x @ v - y) ** 2).sum() + 0.3 * (v[:-1] ** 2).sum()
+    assert all(loss(w) < loss(w + step) for step in rng.normal(size=(500, 7)) * 0.01)
+    assert abs((x @ w - y).sum()) < 1e-6  # the constant isn't shrunk
+
+
+def test_isotonic_knots_by_the_formula():
+    rng = np.random.default_rng(2)
+    score, n = np.arange(60) / 60, rng.integers(1, 9, 60).astype(float)
+    p = np.minimum(n, np.floor(n * np.clip(score + rng.normal(size=60) * 0.4, 0, 1)))
+    mean = lambda i, j: p[i : j + 1].sum() / n[i : j + 1].sum()
+    fitted = [max(min(mean(i, j) for j in range(k, 60)) for i in range(k + 1)) for k in range(60)]
+    groups = [[k for k in range(60) if abs(fitted[k] - v) < 1e-12] for v in sorted({round(f, 12) for f in fitted})]
+    groups = [g for g in groups if g]
+    x, y = regression.isotonic_knots(score, p, n)
+    assert np.allclose(x, [(score[g] * n[g]).sum() / n[g].sum() for g in groups])
+    assert np.allclose(y, np.maximum.accumulate([(p[g].sum() + 0.5) / (n[g].sum() + 1) for g in groups]))
+
+
 def test_classifiers_without_labels_or_rows(spark, labels):
     docs = table(spark, [*ODD, "text"], [*range(len(ODD)), None])
     none = labels.limit(0)
@@ -476,10 +636,19 @@ def test_license_scan(spark):
     assert got == [(1, 1, 1, "mit", "mit"), (2, 0, 4, "mit", "mit"), (2, 0, 6, "apache-2,cc-by-nc", "apache-2,cc-by-nc"), (0, None, None, "", ""), (0, None, None, "", "bsd"), (0, None, None, "", "gpl-3"), (0, None, None, "", ""), (0, None, None, "", "")]
     assert rows[1].n_words == 0 and rows[8].n_words == 3000
     repeated = license_scan.license_scan(table(spark, ["under the mit license"] * 2 + ["cc by nc"], [1, 1, None])).collect()
-    assert sorted((str(r.doc_id), r.n_base) for r in repeated) == [("1", 1), ("None", 1)]
+    assert sorted((str(r.doc_id), r.n_base) for r in repeated) == [("1", 1), ("1", 1), ("None", 1)]  # a row for a row, as the SQL gives
     assert license_scan.license_scan(table(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_license_scan_takes_time_by_the_words(spark):
+    text = " ".join(f"w{i % 977}" for i in range(400_000)) + " under the mit license"
+    docs = table(spark, [text]).coalesce(1).cache()
+    assert docs.count() == 1
+    began = time.time()
+    (row,) = license_scan.license_scan(docs).collect()
+    assert time.time() - began < 15 and (row.n_words, row.n_base, row.first_word) == (400_004, 1, 400_000)
+
+
 # mixing
 
 
@@ -532,4 +701,13 @@ def test_mixing_budgets(spark):
 def test_mixing_odd_cases(spark):
     assert mixing.mix(table(spark, ["a"]).limit(0)).count() == 0
     rows = mixing.mix(table(spark, ["a b", "a b", None, ""], [1, 1, None, 2]), mixing.Mixture(share=1.0)).collect()
-    assert len(rows) >= 2
+    # a leaf without tokens comes once, whole; the twice repeated row fills its leaf's capacity
+    assert sorted((str(r.doc_id), r.n_tokens, r.epochs) for r in rows) == [("1", 2, 1), ("1", 2, 1), ("2", 0, 1), ("None", 0, 1)]
+
+
+def test_mixing_without_weight(spark):
+    docs = table(spark, [prose(40, i) for i in range(60)] + [None, ""])
+    domains = {"web": 0, "books": 30, "code": 0, "reference": 10}
+    rows = mixing.mix(docs, mixing.Mixture(share=1.0, domains=domains, langs={"en": 1, "unknown": 0}, other=3)).collect()
+    assert rows and {r.domain for r in rows} == {"books", "reference"} and {r.lang for r in rows} == {"en"}
+    assert mixing.mix(docs, mixing.Mixture(domains={}, other=0)).count() == 0

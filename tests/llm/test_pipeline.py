@@ -5,6 +5,7 @@ import zlib
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from bindery.llm.common import stored
@@ -69,3 +70,26 @@ def test_stages_bear_odd_rows(spark, k, rows):
         assert sorted(r.text or "" for r in found) == sorted({r[1] or "" for r in rows})
     if k == 4:
         assert sum(r.length for r in found) >= len(rows)
+
+
+def test_rows_that_share_an_id_are_decided_for_by_themselves(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    scores = {r.doc_id: r.predicted for r in __spark_entry__.queries()["op2_quality_classifier"](spark, DATA).collect()}
+    good, bad = (next(r for r in docs.orderBy("doc_id").collect() if scores[r.doc_id] == k and r.text) for k in (1, 0))
+    shared = spark.createDataFrame([(7, good.text), (7, bad.text), (None, good.text), (None, bad.text)], "doc_id long, text string")
+    shared = docs.filter("doc_id <> 7").unionByName(shared.withColumns({"lang": F.lit("en"), "source": F.lit("src1"), "n_chars": F.length("text")}))
+    out = stages["quality"](spark, shared, DATA).filter("doc_id = 7 OR doc_id IS NULL").collect()
+    assert sorted((str(r.doc_id), r.text == good.text) for r in out) == [("7", True), ("None", True)]
+
+    words = [f"word{i}" for i in range(60)]
+    near, near2, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"other{i}" for i in range(60))
+    rows = [(7, near, 1), (7, near2, 2), (7, other, 3), (None, near2 + " more", 4), (None, "", 5), (None, None, 6), (9, near, 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row_0 long").withColumns({"lang": F.lit("en"), "source": F.lit("src1"), "n_chars": F.length("text")})
+    out = stages["near copies"](spark, table, DATA)
+    assert sorted(r.row_0 for r in out.collect()) == [3, 4, 5, 6] and out.columns == table.columns
+    exact = stages["exact copies"](spark, table, DATA).collect()
+    assert sorted(r.row_0 for r in exact)[:3] == [2, 3, 4] and len(exact) == 5 and 7 in {r.row_0 for r in exact}
+    assert {r.row_0 for r in stages["mixture"](spark, table, DATA).collect()} <= set(range(1, 8))
+    pieces = stages["packing"](spark, table, DATA).collect()
+    assert sum(r.doc_id is None for r in pieces) >= 3
