@@ -76,6 +76,22 @@ def canceled(jobs: DataFrame) -> DataFrame:
     return jobs.filter("status = 'canceled'").select("id")
 
 
+def created(uploads: DataFrame, now: Column) -> DataFrame:
+    """The first, pending job of each upload (id, user_id, original_name, format, object_key): attempt 1, no retry of any."""
+    return uploads.select(
+        F.col("id").cast("string").alias("id"), "user_id", "original_name", "format", "object_key", F.lit("pending").alias("status"), F.lit("").alias("error_message"),
+        F.lit(None).cast("string").alias("retry_of"), F.lit(1).alias("attempt"), now.alias("created_at"), now.alias("updated_at"),
+    )
+
+
+def new_users(users: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of wanted (id, email, ...) the users that can be added: no user has the email yet, and the first by id if several
+    want it. Emails are compared as they are.
+    """
+    first = Window.partitionBy("email").orderBy("id")
+    return wanted.join(users.select("email"), "email", "left_anti").withColumn("place", F.row_number().over(first)).filter("place = 1").select(wanted.columns)
+
+
 def new_retries(jobs: DataFrame, now: Column) -> DataFrame:
     """A pending job, attempt one higher, for each failed or canceled one that has no retry yet."""
     able = jobs.filter(F.col("status").isin(*RETRYABLE))

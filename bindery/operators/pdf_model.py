@@ -45,7 +45,7 @@ def visual_lines(runs: DataFrame, images: DataFrame | None = None) -> DataFrame:
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         out, line = [], None
-        for r in pdf.sort_values(["page", "top", "left", "ord"], kind="stable").itertuples(index=False):
+        for r in pdf.sort_values(["page", "top", "left", "ord", "text"], kind="stable").itertuples(index=False):
             if r.img_src:
                 out.append([r.doc_id, len(out), r.page, r.top, r.left, 0.0, "", [], [], r.img_src])
                 line = None

@@ -16,11 +16,13 @@ TRACE_KEYS = ("SHA-256", "Formato", "Conceptos generados")
 
 
 def resolved(path: Column) -> Column:
-    """A relative path without '.' and '..' steps."""
-    out = F.regexp_replace(path, r"(?:^|(?<=/))\./", "")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"(?:^|(?<=/))(?!\.\./)[^/]+/\.\./", "")
-    return F.regexp_replace(out, r"/{2,}", "/")
+    """A relative path without empty, '.' and '..' steps; those that lead out of it stay in front."""
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), done), -1) != "..")
+        return F.when(part.isin("", "."), done).when(up, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
 def base_name(path: Column) -> Column:

@@ -11,6 +11,7 @@ from bindery.functions.frames import settled
 from bindery.functions.text import promote_headings
 from bindery.operators import assets as assets_
 from bindery.operators import bundles, pdf_model, validation
+from bindery.operators import jobs as jobs_
 from bindery.operators.segments import segments, written
 from bindery.sources import archives, html, pdf
 from bindery.sources.files import as_text
@@ -48,10 +49,14 @@ def convert(docs: DataFrame) -> Converted:
 
     found = settled(pdf.items(of("pdf")))
     lines = pdf_model.visual_lines(pdf.runs(found), pdf.images(found))
-    pages = pdf_model.segments(lines, pdf.bookmarks(of("pdf").filter("outline IS NOT NULL")))
-    pages = pages.select("doc_id", "ord", "title", written(F.col("title"), F.col("content")).alias("body"))
+    given = of("pdf").filter("outline IS NOT NULL")
+    marks = pdf.bookmarks(given).unionByName(pdf.own_bookmarks(found).join(given.select("doc_id"), "doc_id", "left_anti"))
+    pages = pdf_model.segments(lines, marks)
+    pages = settled(pages.select("doc_id", "ord", "title", written(F.col("title"), F.col("content")).alias("body")))
 
     media = parsed.filter("kind = 'asset'").select("doc_id", "ord", F.col("path").alias("src"), "content")
+    # of a PDF's pictures those that its segments show
+    media = media.unionByName(pdf.pictures(found).join(assets_.local_references(pages).select("doc_id", "src"), ["doc_id", "src"], "left_semi").select("doc_id", "ord", "src", "content"))
     unknown = docs.filter(F.col("format").isNull() | ~F.col("format").isin("md", "txt", "html", "docx", "epub", "pdf"))
     failed = parsed.filter("kind = 'error'").select("doc_id", "error").unionByName(found.filter("kind = 'error'").select("doc_id", "error"))
     failed = failed.unionByName(unknown.select("doc_id", F.format_string("unknown format: %s", F.coalesce("format", F.lit(""))).alias("error")))
@@ -87,6 +92,27 @@ def publish(jobs: DataFrame, canceled: DataFrame | None = None) -> Published:
     return Published(files.join(keep, "job_id", "left_semi"), reports, failed)
 
 
-def write_bundles(files: DataFrame, path: str) -> None:
-    """One folder a job; a job's files are together, so a bundle is read without a scan of the others."""
-    files.write.mode("overwrite").partitionBy("job_id").parquet(path)
+def write_bundles(files: DataFrame, path: str, jobs: DataFrame | None = None, canceled: DataFrame | None = None) -> None:
+    """Writes bundles in order of their jobs, so a bundle is read from few row groups; with jobs (job_id, user_id), by folders
+    of users. Tasks hold ranges of jobs, so there are about as many part files as tasks, however many jobs there are.
+
+    canceled (job_id) is read now, after the build: what was canceled meanwhile isn't written.
+    """
+    if canceled is not None:
+        files = files.join(canceled.select("job_id").distinct(), "job_id", "left_anti")
+    by = ["job_id"]
+    if jobs is not None:
+        files, by = files.join(jobs.select("job_id", "user_id"), "job_id"), ["user_id", "job_id"]
+    writer = files.repartitionByRange(*by).sortWithinPartitions(*by, "path").write.mode("overwrite")
+    (writer if jobs is None else writer.partitionBy("user_id")).parquet(path)
+
+
+def register(out: Published, jobs: DataFrame, path: str) -> DataFrame:
+    """job_id, path, validation, warnings of the bundles that stand in path: a job whose files weren't all written is not
+    registered, so a run that breaks off between the two leaves no bundle that is only half there.
+    """
+    spark = jobs.sparkSession
+    written = spark.read.parquet(path).groupBy("job_id").agg(F.count("*").alias("files"))
+    whole = out.files.groupBy("job_id").agg(F.count("*").alias("files")).join(written, ["job_id", "files"]).select("job_id")
+    done = jobs.select(F.col("job_id").alias("id"), "user_id", F.lit("completed").alias("status"))
+    return jobs_.registered(done, out.reports.join(whole, "job_id"))

@@ -72,19 +72,26 @@ def retry_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.retries(D.jobs(spark, sf_dir))
 
 
-@query(f"""WITH {D.JOBS}, {D.BUNDLES}, part AS (
+PARTS = f"""part AS (
   SELECT 0 AS family, status AS label, 'bindery_jobs_total{{status="' || status || '"}} ' || count(*) AS line FROM jobs GROUP BY status
   UNION ALL SELECT 1, format, 'bindery_jobs_by_format_total{{format="' || format || '"}} ' || count(*) FROM jobs GROUP BY format
   UNION ALL SELECT 2, validation, 'bindery_bundles_total{{validation="' || validation || '"}} ' || count(*) FROM bundles GROUP BY validation
   UNION ALL SELECT 3, '', 'bindery_job_duration_seconds ' || printf('%.3f', coalesce(avg(epoch_us(updated_at) - epoch_us(created_at)) / 1e6, 0)) FROM jobs WHERE status IN ('completed', 'failed')
   UNION ALL SELECT 4, '', 'bindery_retries_total ' || count(*) FROM jobs WHERE retry_of IS NOT NULL
-) SELECT * FROM part""")
+)"""
+
+
+@query(f"WITH {D.JOBS}, {D.BUNDLES}, {PARTS} SELECT * FROM part")
 def prometheus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = D.jobs(spark, sf_dir)
     return metrics.prometheus(found, D.bundles(found))
 
 
-@query()
+HEADS = ", ".join(f"({k}, '# HELP bindery_{name} {help_}' || chr(10) || '# TYPE bindery_{name} {kind}' || chr(10))" for k, (name, help_, kind, _) in enumerate(metrics.FAMILIES))
+
+
+@query(f"""WITH {D.JOBS}, {D.BUNDLES}, {PARTS}, body AS (SELECT family, string_agg(line, chr(10) ORDER BY label, line) AS body FROM part GROUP BY family), head(family, head) AS (VALUES {HEADS})
+SELECT string_agg(head || body, chr(10) ORDER BY family) || chr(10) AS text FROM body JOIN head USING (family)""")
 def prometheus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = D.jobs(spark, sf_dir)
     return metrics.prometheus_text(found, D.bundles(found))
@@ -127,6 +134,63 @@ def job_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.fold_states(D.job_events(spark, sf_dir)).select("job_id", "status", "n_events")
 
 
+APPLIES = " ".join(f"WHEN b.event = '{e}' THEN {f'a.event IN {g!r}'.replace(',)', ')') if g else 'true'}" for e, (g, _) in jobs.TRANSITIONS.items())
+LEADS = " ".join(f"WHEN '{e}' THEN '{to}'" for e, (_, to) in jobs.TRANSITIONS.items())
+
+
+@query(f"""WITH {D.JOB_EVENTS}, folded AS (
+  SELECT job_id, list_reduce(list_prepend({{'event': 'pending', 'error': '', 'n': 0}}, list({{'event': event, 'error': coalesce(error_message, ''), 'n': 0}} ORDER BY ts, seq)),
+    lambda a, b: CASE WHEN CASE {APPLIES} ELSE false END THEN {{'event': CASE b.event {LEADS} END, 'error': CASE WHEN b.event = 'fail' THEN b.error ELSE a.error END, 'n': a.n + 1}} ELSE a END) AS s
+  FROM job_events GROUP BY job_id
+) SELECT job_id, s.error AS error_message, CAST(s.n AS BIGINT) AS applied FROM folded""")
+def job_fold_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.fold_states(D.job_events(spark, sf_dir)).select("job_id", "error_message", "applied")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(source, '') AS user_id, 'originals/' || doc_id AS object_key, 'pending' AS status, '' AS error_message, 1 AS attempt, retry_of FROM documents, (SELECT CAST(NULL AS VARCHAR) AS retry_of)")
+def created_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    uploads = D.table(spark, sf_dir, "documents").select(n.alias("id"), F.coalesce("source", F.lit("")).alias("user_id"), F.concat(n, F.lit(".txt")).alias("original_name"), F.lit("txt").alias("format"), F.concat(F.lit("originals/"), n).alias("object_key"))
+    return jobs.created(uploads, F.lit("2024-06-01 00:00:00").cast("timestamp")).select("id", "user_id", "object_key", "status", "error_message", "attempt", "retry_of")
+
+
+@query(f"WITH {D.JOBS}, {D.BUNDLES} SELECT job_id, validation FROM bundles WHERE job_id = '12'")
+def bundle_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.bundle(D.bundles(D.jobs(spark, sf_dir)), "12")
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"))
+
+
+USERS = "users AS (SELECT CAST(c_custkey AS VARCHAR) AS id, lower(c_name) || '@example.com' AS email FROM customer)"
+
+
+@query(f"WITH {USERS} SELECT id, email FROM users WHERE id = '7'")
+def user_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.user(users(spark, sf_dir), "7")
+
+
+@query(f"WITH {USERS} SELECT id, email FROM users WHERE email = (SELECT lower(c_name) || '@example.com' FROM customer WHERE c_custkey = 9)")
+def user_email_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = D.table(spark, sf_dir, "customer").filter("c_custkey = 9").select("c_name").first()
+    return jobs.user_by_email(users(spark, sf_dir), f"{name[0].lower()}@example.com" if name else "")
+
+
+@query(f"""WITH {USERS}, wanted AS (SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN (SELECT min(email) FROM users) ELSE 'supplier' || s_suppkey // 4 || '@example.com' END AS email FROM supplier)
+SELECT min(id) AS id, email FROM wanted WHERE email NOT IN (SELECT email FROM users) GROUP BY email""")
+def new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, n = users(spark, sf_dir), F.col("s_suppkey")
+    email = F.when(n % 2 == 0, F.col("email")).otherwise(F.concat(F.lit("supplier"), F.floor(n / 4).cast("string"), F.lit("@example.com")))
+    wanted = D.table(spark, sf_dir, "supplier").join(F.broadcast(found.agg(F.min("email").alias("email")))).select(F.concat(F.lit("s"), n.cast("string")).alias("id"), email.alias("email"))
+    return jobs.new_users(found, wanted)
+
+
+@query("SELECT p_partkey AS id, strlen(p_name) >= 8 AS valid FROM part")
+def valid_passwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.valid_password(F.col("p_name")).alias("valid"))
+
+
 @query(f"""WITH {D.JOBS} SELECT id || '-r' AS id, user_id, format, 'pending' AS status, id AS retry_of, greatest(attempt, 1) + 1 AS attempt FROM jobs
 WHERE status IN ('failed', 'canceled') AND id NOT IN (SELECT retry_of FROM jobs WHERE retry_of IS NOT NULL)""")
 def new_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,6 +380,27 @@ def bundle_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundles.export_file(D.chat_bundles(spark, sf_dir), "3", "index.md")
 
 
+@query(f"WITH {D.FILES} SELECT job_id, 'chat-' || job_id || '-bindery.zip' AS name, path, md5(content) AS digest FROM files")
+def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the bundles' archives hold, read from them again."""
+    return bundles.archive_entries(bundle_archives(spark, sf_dir)).select("job_id", "name", "path", F.md5("content").alias("digest"))
+
+
+EDGES = ("antes\n\n# Uno\n````\n# no\n```\n# no\n````\n> ```\n> # no\n> ```\n", "#\ntexto ", "> Cita ", "\n> ===\n\n", "\nmás\n---\n\n~~~~\n## no\n~~~\n~~~~~\nfin")
+
+
+@query(r"""WITH n AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS n FROM documents), one(ord, title, body) AS (VALUES
+  (1, 'Uno', E'# Uno\n\nantes\n\n# Uno\n````\n# no\n```\n# no\n````\n> ```\n> # no\n> ```\n'), (2, 'Sección 2', E'#\ntexto @\n'), (3, 'Cita @', E'# Cita @\n\n> Cita @\n> ===\n'), (4, E'@\nmás', E'# @\nmás\n\n@\nmás\n---\n\n~~~~\n## no\n~~~\n~~~~~\nfin\n'))
+SELECT doc_id, ord, replace(title, '@', n) AS title, replace(body, '@', n) AS body FROM n, one WHERE doc_id % 4 <> 0
+UNION ALL SELECT doc_id, 1, 'Documento completo', E'# Documento completo\n\nsolo ' || n || chr(10) FROM n WHERE doc_id % 4 = 0""")
+def segment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fences within longer ones and within quotes, an untitled heading, headings by underline, quoted too; or none at all."""
+    n = F.col("doc_id").cast("string")
+    a, b, c, d, e = map(F.lit, EDGES)
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("solo "), n)).otherwise(F.concat(a, b, n, F.lit("\n\n"), c, n, d, n, e))
+    return segments.segments(D.table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+
+
 @query()
 def bundle_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = D.chat_bundles(spark, sf_dir).withColumn("content", F.col("content").cast("binary"))
@@ -400,6 +485,30 @@ def validate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("job_id", "level", F.size("warnings").cast("long").alias("n_warnings"), "err")
 
 
+@query(f"""WITH {D.FILES}, {CONCEPTS}, {LINKS}, {POOR}, warned AS (
+  SELECT job_id, 4 AS kind, name, 0 AS ord, 'el concepto "' || name || '" no está enlazado desde index.md' AS message FROM concepts c WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.job_id = c.job_id AND l.target = 'conceptos/' || c.name)
+  UNION ALL SELECT job_id, 5, name, ord, message FROM poor
+  UNION ALL SELECT job_id, 6, name, 0, 'el concepto "' || name || '" referencia un recurso inexistente: "../assets/x.png"' FROM concepts c WHERE contains(content, '](../assets/x.png)') AND NOT EXISTS (SELECT 1 FROM files f WHERE f.job_id = c.job_id AND f.path = 'assets/x.png')
+  UNION ALL SELECT job_id, 7, '', 1, 'log.md sin el campo de trazabilidad "Formato"' FROM files WHERE path = 'log.md' AND NOT contains(content, 'Formato')
+) SELECT job_id, string_agg(message, chr(10) ORDER BY kind, name, ord, message) AS messages FROM warned
+WHERE job_id IN (SELECT job_id FROM files WHERE path = 'log.md') AND job_id NOT IN (SELECT job_id FROM links WHERE target = 'conceptos/none.md') GROUP BY job_id""")
+def validate_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = D.chat_bundles(spark, sf_dir)
+    found = validation.reports(files, files.select("job_id").distinct())
+    return found.filter(F.size("warnings") > 0).select("job_id", F.array_join("warnings", "\n").alias("messages"))
+
+
+@query("""WITH job AS (SELECT DISTINCT conv_id AS c FROM conversations)
+SELECT CAST(c AS VARCHAR) AS job_id, CASE WHEN c % 23 = 0 THEN 'bundle incompleto: falta index.md' WHEN c % 13 = 0 THEN 'bundle incompleto: falta log.md' WHEN c % 19 = 0 THEN 'bundle incompleto: falta conceptos/'
+  WHEN c % 7 = 0 THEN 'bundle inválido: conceptos/ vacío' END AS err FROM job WHERE c % 23 = 0 OR c % 13 = 0 OR c % 19 = 0 OR c % 7 = 0""")
+def validate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles that lack their index, log, folder of concepts, or concepts."""
+    files, c, path = D.chat_bundles(spark, sf_dir), F.col("job_id").cast("long"), F.col("path")
+    concept = path.startswith("conceptos/")
+    damaged = files.filter(~((c % 23 == 0) & (path == "index.md") | (c % 19 == 0) & concept)).withColumn("path", F.when((c % 7 == 0) & concept, F.concat(path, F.lit(".txt"))).otherwise(path))
+    return validation.errors(damaged, files.select("job_id").distinct()).filter(~F.col("err").startswith("link"))
+
+
 @query(f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS words FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '\\S+')) < 3")
 def short_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)\S+"), F.lit(0))).cast("long")
@@ -429,12 +538,31 @@ def headings_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf_model.headings(D.font_lines(spark, sf_dir))
 
 
-@query()
+@query("""WITH image AS (SELECT l_orderkey // 100 AS doc_id, l_linenumber AS page, l_orderkey * 10 + l_linenumber AS ord, l_quantity * 4 AS width, 16 + l_quantity AS height FROM lineitem),
+fit AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, ord) AS n FROM image WHERE width >= 32 AND height >= 32 AND width * height < 0.95 * 12000 AND ord % 9 <> 0) SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(ord AS INTEGER) AS ord FROM fit WHERE n <= 200""")
+def accepted_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    ord_ = (order * 10 + line).cast("int")
+    images = D.table(spark, sf_dir, "lineitem").select(F.floor(order / 100).cast("string").alias("doc_id"), line.alias("page"), ord_.alias("ord"), F.lit(200.0).alias("page_w"), F.lit(60.0).alias("page_h"), (F.col("l_quantity") * 4).alias("width"), (F.col("l_quantity") + 16).alias("height"), F.when(ord_ % 9 != 0, "i.png").alias("src"))
+    return pdf_model.accepted_images(images).select("doc_id", "ord")
+
+
+RUN_LINES = """run AS (
+  SELECT CAST(l_orderkey // 50 AS VARCHAR) AS doc_id, CAST(l_orderkey % 50 // 10 + 1 AS INTEGER) AS page, l_orderkey % 10 AS o, (l_linenumber + 1) // 2 AS pair, l_linenumber AS line,
+         l_orderkey % 10 * 80 + (l_linenumber + 1) // 2 * 12 + CASE WHEN l_linenumber % 4 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS top, (CASE WHEN l_linenumber % 2 = 1 THEN 40.0 ELSE 300.0 END)::DOUBLE + l_tax * 10 AS x,
+         CASE WHEN l_linenumber = 1 AND l_orderkey % 7 = 0 THEN 20.0 ELSE 11.0 END::DOUBLE AS size, l_orderkey || '. ' || CASE WHEN l_returnflag = 'N' THEN 'neu-' ELSE 'Alt' END || ' ' || l_linestatus AS text FROM lineitem
+), line AS (
+  SELECT doc_id, page, o, pair, max(top) AS top, min(x) AS x, max(size) AS size, string_agg(text, ' ' ORDER BY top, x, line, text) AS text, list(x ORDER BY top, x, line, text) AS cols, list(text ORDER BY top, x, line, text) AS cells FROM run GROUP BY doc_id, page, o, pair
+), placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, o, pair) - 1 AS INTEGER) AS idx FROM line)"""
+
+
+@query(f"WITH {RUN_LINES} SELECT doc_id, idx, page, top, x AS \"left\", size, text, cols, cells, '' AS img_src FROM placed")
 def visual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf_model.visual_lines(D.pdf_runs(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {RUN_LINES}, island AS (SELECT *, idx - row_number() OVER (PARTITION BY doc_id, page, cols[1] > 200 ORDER BY idx) AS island FROM placed WHERE len(cells) >= 2),
+blocked AS (SELECT *, min(idx) OVER same AS block, count(*) OVER same AS n FROM island WINDOW same AS (PARTITION BY doc_id, page, cols[1] > 200, island)) SELECT doc_id, idx, block, cells FROM blocked WHERE n >= 2""")
 def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf_model.table_blocks(pdf_model.visual_lines(D.pdf_runs(spark, sf_dir)), ["doc_id"]).filter("block IS NOT NULL").select("doc_id", "idx", "block", "cells")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,17 @@ def accepted(raw: DataFrame) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """The paths below a folder; contents aren't read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").filter(F.col("path").contains(prefix))
+    """path, key of each file below a folder whose key, its path from there, begins with prefix; contents aren't read."""
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    folder = re.sub(scheme, "", path).rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    key = F.substring(F.regexp_replace("path", scheme, ""), len(folder) + 1, 1 << 30)
+    return files.select("path", key.alias("key")).filter(F.col("key").startswith(prefix.lstrip("/")))
+
+
+def upload(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The file of that very key below a folder, as `accepted` gives it: only this file is listed and read."""
+    return accepted(spark.read.format("binaryFile").load(f"{path.rstrip('/')}/{key.lstrip('/')}"))
 
 
 def as_text(content: Column) -> Column:

@@ -24,16 +24,28 @@ def message_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
 def run_claims(messages: DataFrame, convert, claims_path: str, dead_path: str, checkpoint: str, forget_after: str = "1 day") -> StreamingQuery:
     """Writes convert(claims) and the dead letters of each micro-batch; a repeated job_id within forget_after is dropped.
 
+    What is no message goes to the dead letters as it is and enters no state. Where convert gives a column `error`, the
+    messages of its rows that have one go there too, after the job_id, and the others of their batch go on.
     A batch that is run again after a failure writes to the same folders, so its results replace what it left behind.
     """
-    known = messages.withWatermark("read_at", forget_after).withColumn("dedup", F.when(F.col("dead"), F.concat(F.lit("dead:"), F.expr("uuid()"))).otherwise(F.col("msg.job_id")))
-    once = known.dropDuplicatesWithinWatermark(["dedup"])
+    known = messages.withWatermark("read_at", forget_after)
+    live = known.filter("NOT dead").withColumn("job_id", F.col("msg.job_id")).dropDuplicatesWithinWatermark(["job_id"])
+    once = live.unionByName(known.filter("dead").withColumn("job_id", F.lit(None).cast("string")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            convert(batch.filter("NOT dead").select("msg.*")).write.mode("overwrite").parquet(f"{claims_path}/batch={batch_id}")
-            batch.filter("dead").select("value").write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
+            done = convert(batch.filter("NOT dead").select("msg.*"))
+            dead = batch.filter("dead").select("value")
+            if "error" in done.columns:
+                done = done.persist()
+                failed = done.filter("error IS NOT NULL").select("job_id").distinct()
+                dead = dead.unionByName(batch.filter("NOT dead").join(failed, "job_id").select("value"))
+                done.filter("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{claims_path}/batch={batch_id}")
+            else:
+                done.write.mode("overwrite").parquet(f"{claims_path}/batch={batch_id}")
+            dead.write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
+            done.unpersist()
         finally:
             batch.unpersist()
 

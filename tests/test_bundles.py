@@ -36,6 +36,23 @@ def test_fences_setext_and_boxes(spark):
     assert [t for t, _ in cut(spark, "> # Cita\n\n- ## Lista\n\n#sin\n")[0]] == ["Cita", "Lista"]
 
 
+def test_long_fences_quotes_and_long_headings(spark):
+    titles = lambda text: [t for t, _ in cut(spark, text)[0]]
+    assert titles("# A\n````\n```\n# no\n````\n# B\n") == ["A", "B"]
+    assert titles("# A\n> ```\n> # no\n> ```\n# B\n") == ["A", "B"]
+    assert titles("# A\n> ~~~\n> # no\n\n# B\n") == ["A", "B"]  # a quoted fence ends with its quote
+    assert titles("> Cita\n> ===\n\ntexto\n") == ["Cita"] and titles("> > Dos\n> > ---\n") == ["Dos"]
+    long = "\n".join(f"línea {i}" for i in range(150))
+    assert titles(f"{long}\n===\nfin\n") == [long]
+    assert titles("> " * 60 + "# hondo\n") == ["hondo"]
+
+
+def test_resolved_paths(spark):
+    paths = {"conceptos/a/b/c/d/e/../../../../../../assets/x.png": "assets/x.png", "a/./b//c": "a/b/c", "../x": "../x", "a/../../b": "../b", "../../c/..": "../..", "": "", "a/..": "", "...": "..."}
+    found = spark.createDataFrame(list(paths.items()), "path string, expected string").select("expected", validation.resolved(F.col("path")).alias("got")).collect()
+    assert all(r.got == r.expected for r in found), found
+
+
 def test_long_texts(spark):
     many = "\n\n".join(f"# t{i}\n\n" + "línea de texto\n" * 30 for i in range(400))
     assert len(cut(spark, many, "- " * 50_000, "x" * 300_000, "a\n" * 50_000)[0]) == 400

@@ -35,3 +35,10 @@ def test_publish(spark, tmp_path):
     assert ("epub", "assets/a.png") in paths and ("docx", "assets/i.png") in paths and ("pdf", "conceptos/fragmento-02.md") in paths and not [p for p in paths if p[0] in ("gone", "bad", "exe")]
     convert.write_bundles(out.files, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).filter("job_id = 'md'").count() == 4
+    jobs = some_docs(spark).select("job_id", F.when(F.col("job_id").isin("md", "txt"), "u1").otherwise("u2").alias("user_id"))
+    late = spark.createDataFrame([("txt",)], "job_id string")
+    convert.write_bundles(out.files, str(tmp_path / "users"), jobs, late)
+    written = spark.read.parquet(str(tmp_path / "users"))
+    assert {(r.user_id, r.job_id) for r in written.select("user_id", "job_id").distinct().collect()} >= {("u1", "md"), ("u2", "pdf")} and written.filter("job_id = 'txt'").count() == 0
+    found = {r.job_id: r.path for r in convert.register(out, jobs, str(tmp_path / "users")).collect()}
+    assert found["md"] == "bundles/u1/md" and "txt" not in found and "bad" not in found

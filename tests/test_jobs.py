@@ -83,6 +83,17 @@ def test_message_stream(spark, tmp_path):
     assert claims == ["1", "2", "3"] and "{broken" in dead
 
 
+def test_failed_conversions_are_dead_letters(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    message = lambda k: json.dumps({"job_id": k, "user_id": "u", "format": "md", "object_key": "o", "attempt": 1})
+    (source / "a.json").write_text("\n".join([message("1"), message("2"), "{broken", "{broken"]))
+    failing = lambda df: df.withColumn("error", F.when(F.col("job_id") == "2", "it fails"))
+    streams.run_claims(streams.message_stream(spark, str(source)), failing, str(tmp_path / "claims"), str(tmp_path / "dead"), str(tmp_path / "check")).awaitTermination()
+    assert [r.job_id for r in spark.read.parquet(str(tmp_path / "claims")).collect()] == ["1"]
+    assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "dead")).collect()) == sorted([message("2"), "{broken", "{broken"])
+
+
 def test_state_stream(spark, tmp_path):
     found = events(spark, ["claim", "complete"], ["claim", "cancel", "complete"], ["claim", "fail"])
     found.write.parquet(str(tmp_path / "in"))

@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("events", "documents", "pages", "conversations", "lineitem", "customer"):
+    for t in ("events", "documents", "pages", "conversations", "lineitem", "customer", "supplier", "part"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
 

@@ -7,6 +7,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from bindery.operators import pdf_model
+from bindery.plans import convert
 from bindery.sources import archives, files, html, pdf
 
 
@@ -69,6 +70,10 @@ def test_uploads(spark, tmp_path):
     rows = files.uploads(spark, str(tmp_path / "u")).collect()
     assert sorted((r.name, r.format, r.length) for r in rows) == [("a.md", "md", 4), ("b.HTM", "html", 4)]
     assert files.listing(spark, str(tmp_path / "u"), "/v/").count() == 1
+    (tmp_path / "u" / "x" / "v").mkdir(parents=True)
+    (tmp_path / "u" / "x" / "v" / "e.md").write_text("no")
+    assert [r.key for r in files.listing(spark, f"file://{tmp_path}/u", "v/").collect()] == ["v/b.HTM"]
+    assert [(r.name, bytes(r.content)) for r in files.upload(spark, str(tmp_path / "u"), "x/v/e.md").collect()] == [("e.md", b"no")]
 
 
 def pdf_file(pages):
@@ -102,6 +107,49 @@ def test_pdf_outline_and_tools(spark):
     assert pdf.raster_size(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (40).to_bytes(4, "big") + (30).to_bytes(4, "big")) == (40, 30) and pdf.raster_size(b"GIF89a\x05\0\x06\0") == (5, 6) and pdf.raster_size(b"") is None
 
 
+def full_pdf():
+    """A file with a page tree, an outline, an object stream, a composite font, and pictures of three kinds."""
+
+    def packed(head, data):
+        return b"<< %s /Filter /FlateDecode /Length 1 >>\nstream\n%s\nendstream" % (head, zlib.compress(data))
+
+    cmap = b"beginbfchar <0001> <0041> endbfchar beginbfrange <0002> <0004> <0062> <0005> <0006> [<00F1> <00660069>] endbfrange"
+    jpeg = b"\xff\xd8\xff\xc0\x00\x11\x08\x00\x40\x00\x50\x03" + b"x" * 20
+    raster = b"<< /Type /XObject /Subtype /Image /Width 40 /Height 2 /BitsPerComponent 8 /ColorSpace /DeviceRGB"
+    inside = {20: b"<< /Title (Cap\xedtulo uno) /Dest [4 0 R /Fit] /First 21 0 R /Next 22 0 R >>", 21: b"<< /Title <FEFF0041> /A << /S /GoTo /D /fin >> >>", 22: b"<< /Title (Nada) /Dest /falta >>"}
+    places, body = [], b""
+    for k, x in inside.items():
+        places.append(b"%d %d" % (k, len(body)))
+        body += x + b" "
+    head = b" ".join(places) + b" "
+    first = b"q 100 0 0 80 50 600 cm /Im1 Do Q BT /F1 11 Tf 1 0 0 1 50 500 Tm <000100020003> Tj ET q 90 0 0 90 50 300 cm /Im2 Do Q"
+    second = b"q 2 0 0 2 10 0 cm BT /F2 10 Tf 20 300 Td (dos) Tj 0 -10 TD (tres) Tj ET Q q 99 0 0 70 50 100 cm /Im3 Do Q BT /F1 9 Tf <000500060009> Tj ET"
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R /Outlines 3 0 R /Dests << /fin [5 0 R /Fit] >> >>", 2: b"<< /Type /Pages /Kids [9 0 R 5 0 R] /MediaBox [0 0 600 800] /Resources 6 0 R >>",
+        9: b"<< /Type /Pages /Kids [4 0 R] >>", 3: b"<< /Type /Outlines /First 20 0 R >>", 5: b"<< /Type /Page /Contents [8 0 R] >>", 4: b"<< /Type /Page /Contents 7 0 R >>",
+        6: b"<< /Font << /F1 10 0 R /F2 11 0 R >> /XObject << /Im1 12 0 R /Im2 13 0 R /Im3 14 0 R >> >>", 7: packed(b"", first), 8: packed(b"", second),
+        10: b"<< /Type /Font /Subtype /Type0 /ToUnicode 15 0 R >>", 11: b"<< /Type /Font /Subtype /Type1 >>", 15: packed(b"", cmap),
+        12: b"<< /Subtype /Image /Filter /DCTDecode >>\nstream\n" + jpeg + b"\nendstream", 13: packed(raster[3:], bytes(range(240))), 14: b"<< /Subtype /Image /Filter /JPXDecode >>\nstream\nx\nendstream",
+        30: packed(b"/Type /ObjStm /N 3 /First %d" % len(head), head + body),
+    }
+    return b"%PDF-1.5\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % x for x in objects.items()) + b"\n%%EOF", jpeg
+
+
+def test_plain_pdf_files(spark):
+    data, jpeg = full_pdf()
+    found = pdf.items(spark.createDataFrame([("p", data, None)], "doc_id string, content binary, xml string"))
+    assert [(r.page, r.top, r.left, r.text) for r in pdf.runs(found).orderBy("page", "ord").collect()] == [(1, 300.0, 50.0, "Abc"), (2, 200.0, 50.0, "dos"), (2, 220.0, 50.0, "tres"), (2, 800.0, 0.0, "ñfi")]
+    assert [(r.page, r.top, r.left, r.width, r.height, r.src) for r in pdf.images(found).orderBy("page", "ord").collect()] == [(1, 120.0, 50.0, 100.0, 80.0, "image-12.jpg"), (1, 410.0, 50.0, 90.0, 90.0, "image-13.png")]
+    assert [(r.depth, r.title, r.page) for r in pdf.own_bookmarks(found).orderBy("ord").collect()] == [(1, "Capítulo uno", 1), (2, "A", 2)]
+    files_ = {r.src: bytes(r.content) for r in pdf.pictures(found).collect()}
+    assert files_["image-12.jpg"] == jpeg and pdf.raster_size(files_["image-13.png"]) == (40, 2) and set(files_) == {"image-12.jpg", "image-13.png"}
+    parts = convert.convert(spark.createDataFrame([("p", "pdf", data)], "doc_id string, format string, content binary"))
+    bodies = {r.title: r.body for r in parts.segments.collect()}
+    assert list(bodies) == ["Capítulo uno", "A"] and "![imagen](../assets/image-13.png)" in bodies["Capítulo uno"] and "tres" in bodies["A"]
+    # the first line of page 1, a picture, is where the bookmark begins
+    assert {r.src for r in parts.assets.collect()} == {"image-13.png"}
+
+
 RUN = "doc_id string, page int, ord int, top double, left double, width double, size double, text string"
 PICTURE = "doc_id string, page int, ord int, page_w double, page_h double, top double, left double, width double, height double, src string"
 
