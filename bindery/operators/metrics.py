@@ -50,23 +50,26 @@ FAMILIES = (
 )
 
 
+def totals(jobs: DataFrame) -> DataFrame:
+    """avg_seconds and retries of all jobs, in one pass; one row for an empty table too."""
+    ended = F.when(F.col("status").isin("completed", "failed"), seconds_between(F.col("created_at"), F.col("updated_at")))
+    return jobs.agg(F.coalesce(F.avg(ended), F.lit(0.0)).alias("avg_seconds"), F.count("retry_of").alias("retries"))
+
+
 def prometheus(jobs: DataFrame, bundles: DataFrame, product: str = PRODUCT) -> DataFrame:
     """family, label, line: the metrics as lines of text; families and labels give their order."""
 
-    def counted(k: int, rows: DataFrame, label: str) -> DataFrame:
-        return rows.select(F.lit(k).alias("family"), F.col(label).alias("label"), F.format_string(f'{product}_{FAMILIES[k][0]}{{{FAMILIES[k][3]}="%s"}} %d', F.col(label), F.col("n")).alias("line"))
+    def counted(k: int, label: Column) -> Column:
+        line = F.format_string(f'{product}_{FAMILIES[k][0]}{{{FAMILIES[k][3]}="%s"}} %d', label, F.col("n"))
+        return F.struct(F.lit(k).alias("family"), label.alias("label"), line.alias("line"))
 
-    def single(k: int, rows: DataFrame, line: Column) -> DataFrame:
-        return rows.select(F.lit(k).alias("family"), F.lit("").alias("label"), line.alias("line"))
+    def single(k: int, form: str, value: str) -> Column:
+        return F.struct(F.lit(k).alias("family"), F.lit("").alias("label"), F.format_string(f"{product}_{FAMILIES[k][0]} {form}", value).alias("line"))
 
-    parts = [
-        counted(0, jobs_by(jobs, "status"), "status"), counted(1, jobs_by(jobs, "format"), "format"), counted(2, bundles_by_validation(jobs, bundles), "validation"),
-        single(3, average_duration(jobs), F.format_string(f"{product}_{FAMILIES[3][0]} %.3f", "avg_seconds")), single(4, retries(jobs), F.format_string(f"{product}_{FAMILIES[4][0]} %d", "n")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    both = jobs_by_both(jobs).select(F.when(F.col("kind") == "status", counted(0, F.col("name"))).otherwise(counted(1, F.col("name"))).alias("m"))
+    levels = bundles_by_validation(jobs, bundles).select(counted(2, F.col("validation")).alias("m"))
+    rest = totals(jobs).select(F.explode(F.array(single(3, "%.3f", "avg_seconds"), single(4, "%d", "retries"))).alias("m"))
+    return both.unionByName(levels).unionByName(rest).select("m.*")
 
 
 def prometheus_text(jobs: DataFrame, bundles: DataFrame, product: str = PRODUCT) -> DataFrame:

@@ -74,7 +74,8 @@ def headings(lines: DataFrame) -> DataFrame:
     big = F.col("size") >= F.greatest(F.col("body") * 1.3, F.col("body") + 6)
     numbered = (F.col("size") >= F.col("body") + 1) & text.rlike(NUMBERED)
     fits = (text != "") & (big | numbered) & (F.octet_length(text) <= TITLE_BYTES) & text.rlike(r"\p{L}")
-    return lines.join(body_size(lines), "doc_id").filter(fits).select("doc_id", "idx", "page", clean_title(text).alias("title"))
+    body = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN size > 0 THEN size END DESC) OVER (PARTITION BY doc_id)")
+    return lines.withColumn("body", body).filter(fits).select("doc_id", "idx", "page", clean_title(text).alias("title"))
 
 
 def sections(lines: DataFrame, starts: DataFrame) -> DataFrame:
