@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that this Python worker no longer uses back to the machine: it lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has other ways
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def meet(rows: DataFrame, facts: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """rows joined with facts, which has a row per key and how many of the `total` rows have it as `count`.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import cut, input_bytes, meet, stored
+from bindery.llm.common import cut, input_bytes, meet, release, stored
 from bindery.llm.components import components
 from bindery.llm.exact_dedup import frequent
 from bindery.llm.words import BLANKS, mix, shingle_set
@@ -146,6 +146,7 @@ def send_shingles(elements: Callable[[bytes], np.ndarray], buckets: int):
                 if held >= FLUSH or len(docs) >= FLUSH:
                     yield flush()
         yield flush()
+        release()
 
     return send
 
@@ -159,6 +160,7 @@ def answer(buckets: int):
     that other nodes hold too."""
 
     def told(t: pa.Table) -> pa.Table:
+        release()  # what the group before left
         rows: list[tuple] = []
         ids, sizes, hashes = [], [], []
         for r in t.to_pylist():
@@ -195,6 +197,7 @@ def blocks_of(percent: int):
     """For an owner's rows: rows of BLOCKS, of the nodes that have enough shared shingles to link."""
 
     def gather(t: pa.Table) -> pa.Table:
+        release()  # what the group before left
         counts = [np.frombuffer(x, I4) for x in t["counts"].to_pylist()]
         node = np.concatenate([np.repeat(np.frombuffer(x, U8), c) for x, c in zip(t["ids"].to_pylist(), counts, strict=True)])
         size = np.concatenate([np.repeat(np.frombuffer(x, I4), c) for x, c in zip(t["sizes"].to_pylist(), counts, strict=True)])
@@ -239,6 +242,7 @@ def send_counts(buckets: int):
 
 def sum_counts(t: pa.Table) -> pa.Table:
     """For a bucket's rows of COUNTED: to each block the totals of its shingles that two sets or more hold."""
+    release()
     h = [long48(x) for x in t["hashes"].to_pylist()]
     kinds, place = np.unique(np.concatenate(h), return_inverse=True)
     total = np.bincount(place, np.concatenate([np.frombuffer(x, I8) for x in t["counts"].to_pylist()]), len(kinds)).astype(I8)
@@ -256,6 +260,7 @@ def order_shingles(percent: int):
     """
 
     def order(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        release()  # what the group before left
         h = np.concatenate([long48(x) for x in told["hashes"].to_pylist()] or [np.zeros(0, U8)])
         n_sets = np.concatenate([np.frombuffer(x, I8) for x in told["counts"].to_pylist()] or [np.zeros(0, I8)])
         by = np.argsort(h)
