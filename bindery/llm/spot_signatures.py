@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from bindery.llm.jaccard_join import jaccard_components
 from bindery.llm.words import MARKS, chain, mix, word_hashes
 
-CHAIN, EXTRA, RATIO = 2, 8, 0.8
+CHAIN, RATIO = 2, 0.8
 
 #: Common words of English, French, German and Spanish.
 COMMON = """
@@ -42,9 +42,8 @@ COMMON_HASHES = common_hashes()
 def spots(raw: bytes) -> np.ndarray:
     """A text's sorted distinct signatures as 64-bit numbers, from its bytes in UTF-8.
 
-    Anchors are the common words, one other word in EXTRA by its hash (for texts with few common words), and the text's
-    beginning. Content words are the others; if there are none, all are. Without words the text itself is the signature;
-    an empty text has none.
+    Anchors are the common words; in a text without any that a content word follows, every content word is one. Content
+    words are the others; if there are none, all are. Without words the text itself is the signature; an empty text has none.
     """
     raw = raw.lower()
     h = word_hashes(raw, MARKS)
@@ -54,13 +53,13 @@ def spots(raw: bytes) -> np.ndarray:
     content = np.flatnonzero(~common)
     if not len(content):
         content = np.arange(len(h))
-    anchors = np.flatnonzero(common | (h % np.uint64(EXTRA) == 0))
+    anchors = np.flatnonzero(common)
     first = np.searchsorted(content, anchors, "right")
     anchors, first = anchors[first < len(content)], first[first < len(content)]
+    if not len(anchors):
+        anchors, first = content, np.arange(len(content))
     following = np.append(h[content], np.zeros(CHAIN, np.uint64))
-    chains = chain(h[anchors], *[following[first + i] for i in range(CHAIN)])
-    start = chain(*[following[i : i + 1] for i in range(CHAIN)])
-    return np.unique(np.append(chains, start))
+    return np.unique(chain(h[anchors], *[following[first + i] for i in range(CHAIN)]))
 
 
 def signatures(text: str) -> np.ndarray:

@@ -495,6 +495,19 @@ def test_fingerprints_of_one_row_repeated_ids_and_no_rows(spark):
     assert fingerprints(table(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_spots_by_hand():
+    text = "The quick brown fox IS very lazy and the dog"
+    common = {"the", "is", "and"}
+    w = text.lower().split()
+    content = [i for i, x in enumerate(w) if x not in common]
+    by_hand = {(x, *([w[j] for j in content if j > i][:2])) for i, x in enumerate(w) if x in common and any(j > i for j in content)}
+    assert by_hand == {("the", "quick", "brown"), ("is", "very", "lazy"), ("and", "dog"), ("the", "dog")}
+    assert len(spots(text.encode())) == 4 and set(spots(b"the quick brown x").tolist()) <= set(spots(text.encode()).tolist())
+    for plain in ("lonely", "the", "two words", "the of and"):
+        assert len(spots(plain.encode())) > 0
+    assert spots(b"alpha beta gamma").tolist() != spots(b"alpha beta delta").tolist() and not len(spots(b""))
+
+
 def test_matched_against_all_pairs(spark):
     texts = [*ODD, "!!!"]
     for s in range(5):
