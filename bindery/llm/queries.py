@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bindery.llm import license_scan as licenses
 from bindery.llm import mixing
+from bindery.llm.common import LOWER, UPPER
 from bindery.llm.exact_dedup import exact_dedup
 from bindery.llm.jaccard_join import jaccard_components
 from bindery.llm.quality import quality_scores
@@ -74,5 +75,24 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP6_SQL = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS s FROM doc)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), pair AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingle x JOIN shingle y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM pair JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM doc LEFT JOIN size USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.oracle(), "op4_source_mixing": mixing.oracle(), "op7_exact_dedup": OP7_SQL}
+    return {"op6_ngram_jaccard_join": OP6_SQL, "op3_license_scan": licenses.oracle(), "op4_source_mixing": mixing.oracle(), "op7_exact_dedup": OP7_SQL}

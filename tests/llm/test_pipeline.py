@@ -31,7 +31,7 @@ def test_stages(spark):
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
 
 
-@pytest.mark.parametrize("name", ["op3_license_scan", "op4_source_mixing", "op7_exact_dedup"])
+@pytest.mark.parametrize("name", ["op3_license_scan", "op4_source_mixing", "op6_ngram_jaccard_join", "op7_exact_dedup"])
 def test_queries_agree_with_their_sql(spark, name):
     db = duckdb.connect()
     for t in ("documents", "labels"):
