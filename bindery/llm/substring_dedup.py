@@ -94,7 +94,9 @@ def unit_rows(raw: bytes, start: np.ndarray, line_words: int = 0) -> np.ndarray:
 
     def rows(first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         out = np.zeros(len(first), UNIT)
-        out["digest"] = mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
+        # where the unit lies in those words counts too: they may be the same for two units of a short segment
+        around = mix((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
+        out["digest"] = mix(around + ((first - low) << 32 | (last - first)).astype(np.uint64))
         out["place"], out["words"] = first, last - first
         return out
 
