@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import time
 import zlib
 
@@ -15,7 +16,8 @@ from bindery.llm.components import components
 from bindery.llm.exact_dedup import deduplicated, exact_dedup, misra_gries
 from bindery.llm.jaccard_join import Links, jaccard_components
 from bindery.llm.quality import quality_scores
-from bindery.llm.spot_signatures import fingerprint, fingerprints, from_fingerprint, likeness, matched, signatures, sketch, spots
+from bindery.llm.common import LOWER, UPPER
+from bindery.llm.spot_signatures import COMMON, fingerprint, fingerprints, from_fingerprint, likeness, matched, signatures, sketch, spots
 from bindery.llm.substring_dedup import substring_dedup, units
 from bindery.llm.token_output import CapacityTree, packed_ids
 from bindery.llm.tokens import Encoder, default_path
@@ -161,6 +163,24 @@ def test_substring_dedup_removes_short_lines_that_repeat(spark):
     assert (rows[21].text, rows[21].n_removed) == (texts[21].replace(line, ""), 18)
 
 
+def test_substring_dedup_of_lines_by_hand(spark):
+    """Of each line of four words or more all occurrences but the first by (doc_id, place) go, whatever stands around them."""
+    rng = random.Random(11)
+    kinds = [" ".join(f"l{k}w{i}" for i in range(rng.choice([4, 5, 7, 12, 24, 40]))) for k in range(60)]
+    texts = ["\n".join(rng.choices(kinds, [1 / (k + 1) for k in range(60)], k=rng.randrange(1, 15))) for _ in range(80)]
+    seen, expected = set(), []
+    for t in texts:
+        own = []
+        for line in t.split("\n"):
+            own.append("" if len(line.split()) >= 4 and line in seen else line)
+            seen.add(line)
+        expected.append("\n".join(own))
+    rows = {r.doc_id: r for r in substring_dedup(table(spark, texts), buckets=4).collect()}
+    squeezed = lambda t: [x for x in t.split("\n") if x.strip()]
+    assert [squeezed(rows[i].text) for i in range(80)] == [squeezed(t) for t in expected]
+    assert sum(t != e for t, e in zip(texts, expected, strict=True)) > 40
+
+
 # n-gram Jaccard join
 
 
@@ -508,6 +528,27 @@ def test_spots_by_hand():
     assert spots(b"alpha beta gamma").tolist() != spots(b"alpha beta delta").tolist() and not len(spots(b""))
 
 
+def spots_by_hand(text):
+    w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.translate(str.maketrans(UPPER, LOWER)))
+    content = [i for i, x in enumerate(w) if x not in COMMON] or list(range(len(w)))
+    following = lambda i, own: (w[i], *[w[j] for j in content if j > i - own][:2])
+    return {following(i, 0) for i, x in enumerate(w) if x in COMMON and any(j > i for j in content)} or {following(i, 1) for i in content} or ({text} if text else set())
+
+
+def test_fingerprints_by_hand(spark):
+    rng, kinds = random.Random(8), [*vocabulary(30), *sorted(COMMON)[:20], "él", "Größe"]
+    texts = [*ODD, *(" ".join(rng.choice(kinds) for _ in range(n)).capitalize() + "." for n in (1, 2, 5, 30, 80, 300, 301, 40))]
+    texts.append(texts[-2])
+    rows = {r.doc_id: r for r in fingerprints(table(spark, texts)).collect()}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, t in enumerate(texts):
+        t, following = t or "", texts[(i + 1) % len(texts)] or ""
+        edited = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        own = spots_by_hand(t)
+        assert rows[i].near_next == pytest.approx(jaccard(own, spots_by_hand(following))) and rows[i].near_edited == pytest.approx(jaccard(own, spots_by_hand(edited)))
+        assert rows[i].n_signatures == len(own)
+
+
 def test_matched_against_all_pairs(spark):
     texts = [*ODD, "!!!"]
     for s in range(5):
