@@ -19,7 +19,7 @@ from bindery.llm.quality import quality_scores
 from bindery.llm.common import LOWER, UPPER
 from bindery.llm.spot_signatures import COMMON, fingerprint, fingerprints, from_fingerprint, likeness, matched, signatures, sketch, spots
 from bindery.llm.substring_dedup import substring_dedup, units
-from bindery.llm.token_output import CapacityTree, packed_ids
+from bindery.llm.token_output import CapacityTree, best_fit_decreasing, packed_ids
 from bindery.llm.tokens import Encoder, default_path
 from bindery.llm.toxicity import toxicity_scores
 from bindery.llm.vector_packing import Packer, answers, pack, pack_conversations
@@ -488,6 +488,26 @@ def test_capacity_tree_finds_the_tightest():
             tree.put(free[-1], [])
 
 
+@pytest.mark.parametrize("length", [64, 100])
+def test_best_fit_decreasing_by_hand(length):
+    rng, tree = random.Random(length), CapacityTree(length)
+    free: list[int] = []
+    for window in range(4):  # later windows go on with the open sequences of earlier ones
+        lengths = [rng.choice([1, 2, 3, 7, 20, 33, 50, length]) for _ in range(200)]
+        full = best_fit_decreasing([(i, 0, range(n)) for i, n in enumerate(lengths)], tree, length)
+        done = 0
+        for n in sorted(lengths, reverse=True):
+            fits = [f for f in free if f >= n]
+            if fits:
+                free.remove(min(fits))
+            if (left := (min(fits) if fits else length) - n):
+                free.append(left)
+            else:
+                done += 1
+        assert len(full) == done and all(sum(len(p[2]) for p in s) == length for s in full)
+        assert sorted(f for f, _ in tree.all() for _ in (0,)) == sorted(free) and all(f == length - sum(len(p[2]) for p in s) for f, s in tree.all())
+
+
 # fingerprints
 
 
