@@ -416,6 +416,19 @@ def bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundles.bundle_files(of, job)
 
 
+INDEX_SQL = (bundles.INDEX_HEAD % bundles.PRODUCT).replace(chr(10), "' || chr(10) || '")
+
+
+@query(f"""WITH {SEGMENTS}, row AS (SELECT doc_id, ord, printf('fragmento-%02d.md', ord) AS file, replace(title, '|', '\\|') AS title, body FROM titled), n AS (SELECT doc_id, count(*) AS n FROM row GROUP BY doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS job_id, 'conceptos/' || file AS path, md5(body) AS digest FROM row
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'index.md', md5('{INDEX_SQL}' || string_agg('| ' || ord || ' | ' || title || ' | [' || file || '](conceptos/' || file || ') |' || chr(10), '' ORDER BY ord)) FROM row GROUP BY doc_id
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'log.md', md5('# Log de Conversión' || chr(10) || chr(10) || '- **Job ID:** ' || doc_id || chr(10) || '- **Archivo original:** chat-' || doc_id || '.md' || chr(10) || '- **Formato:** MD' || chr(10) || '- **SHA-256 (original):** ' || sha256(text) || chr(10)
+ || '- **Tamaño (bytes):** ' || strlen(text) || chr(10) || '- **Conceptos generados:** ' || n || chr(10) || '- **Recursos extraídos:** 0' || chr(10) || '- **Fecha de conversión:** 2024-06-01T12:00:00Z' || chr(10) || '- **Motor:** bindery-worker' || chr(10)) FROM chats JOIN n USING (doc_id)""")
+def bundle_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file of the chats' bundles by its digest."""
+    return bundle_files(spark, sf_dir).select("job_id", "path", F.md5("content").alias("digest"))
+
+
 # assets
 
 
