@@ -154,9 +154,9 @@ def created_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.created(uploads, F.lit("2024-06-01 00:00:00").cast("timestamp")).select("id", "user_id", "object_key", "status", "error_message", "attempt", "retry_of")
 
 
-@query(f"WITH {D.JOBS}, {D.BUNDLES} SELECT job_id, validation FROM bundles WHERE job_id = '12'")
+@query(f"WITH {D.JOBS}, {D.BUNDLES} SELECT job_id, validation FROM bundles WHERE job_id = '48'")
 def bundle_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.bundle(D.bundles(D.jobs(spark, sf_dir)), "12")
+    return jobs.bundle(D.bundles(D.jobs(spark, sf_dir)), "48")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
