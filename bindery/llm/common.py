@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: The tables that stored() has written and discard() has not removed.
+TABLES: list[str] = []
 #: A key with more than one in so many rows is hot: there are fewer such keys than this.
 HOT_SHARE = 1000
 
@@ -39,9 +41,18 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that stored() wrote. Nothing that is still to be computed may read them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        TABLES.remove(path)
+
+
 def release() -> None:
     """Gives memory that this Python worker no longer uses back to the machine: it lives on for other tasks."""
     pa.default_memory_pool().release_unused()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from bindery.llm.common import stored
+from bindery.llm.common import TABLES, stored
 
 DATA = "/root/testdata/sf0.001"
 
@@ -72,6 +72,12 @@ def test_stages_bear_odd_rows(spark, k, rows):
         assert sum(r.length for r in found) >= len(rows)
 
 
+def test_run_leaves_one_table(spark):
+    before = len(TABLES)
+    pieces = corpus_pipeline.run(spark, DATA)
+    assert len(TABLES) == before + 1 and pieces.count() > 100
+
+
 def test_rows_that_share_an_id_are_decided_for_by_themselves(spark):
     stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
