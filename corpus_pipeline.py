@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import stored
+from bindery.llm.common import TABLES, discard, stored
 from bindery.llm.exact_dedup import deduplicated
 from bindery.llm.jaccard_join import jaccard_components
 from bindery.llm.mixing import Mixture, mix
@@ -100,9 +100,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage wrote for itself, and what it read, is removed once its own rows are written."""
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(TABLES)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            discard(spark, TABLES[done:-1])
     return docs
