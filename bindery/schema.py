@@ -29,3 +29,5 @@ FORMAT_ALIASES = {"md": "md", "markdown": "md", "txt": "txt", "text": "txt", "ht
 STATES = ("pending", "processing", "completed", "failed", "canceled")
 LEVELS = ("valid", "valid_with_warnings", "invalid")
 MAX_UPLOAD = 100 * 1024 * 1024
+#: Seconds that the reading of one document may take.
+DOCUMENT_SECONDS = 1800.0

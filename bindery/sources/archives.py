@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bindery.functions.guard import limited
+from bindery.schema import DOCUMENT_SECONDS
 from bindery.sources.html import to_markdown
 
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -149,21 +151,22 @@ def epub_segments(content: bytes, fragments: bool = False) -> tuple[list[tuple[s
 PARSED = "doc_id string, kind string, ord int, title string, body string, path string, content binary, error string"
 
 
-def parsed(docs: DataFrame, fragments: bool = False) -> DataFrame:
+def parsed(docs: DataFrame, fragments: bool = False, seconds: float = DOCUMENT_SECONDS) -> DataFrame:
     """PARSED rows of DOCX and EPUB documents (doc_id, format, content): kind 'text' (a whole DOCX), 'segment' (an EPUB
-    chapter), 'asset', or 'error' where a document can't be read; its error doesn't stop the others."""
+    chapter), 'asset', or 'error' where a document can't be read, or not within `seconds`; its error doesn't stop the others."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, kind, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows: list[tuple] = []
                 try:
-                    if kind == "docx":
-                        text, media = docx_markdown(content)
-                        rows.append((doc_id, "text", 1, None, text, None, None, None))
-                    else:
-                        found, media = epub_segments(content, fragments)
-                        rows += [(doc_id, "segment", k + 1, t, body, None, None, None) for k, (t, body) in enumerate(found)]
+                    with limited(seconds):
+                        if kind == "docx":
+                            text, media = docx_markdown(content)
+                            rows.append((doc_id, "text", 1, None, text, None, None, None))
+                        else:
+                            found, media = epub_segments(content, fragments)
+                            rows += [(doc_id, "segment", k + 1, t, body, None, None, None) for k, (t, body) in enumerate(found)]
                     rows += [(doc_id, "asset", k + 1, None, None, path, data, None) for k, (path, data) in enumerate(media.items())]
                 except Exception as e:  # noqa: BLE001  any document may be damaged in any way
                     rows = [(doc_id, "error", 0, None, None, None, None, f"{type(e).__name__}: {e}")]

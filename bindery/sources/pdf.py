@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindery.functions.guard import limited
+from bindery.schema import DOCUMENT_SECONDS
+
 ITEMS = "doc_id string, kind string, page int, ord int, top double, left double, width double, height double, size double, text string, page_w double, page_h double, error string, content binary"
 BOOKMARK_JSON = "bookmarks array<struct<title:string,page:int,kids:array<struct<title:string,page:int,kids:array<struct<title:string,page:int,kids:array<struct<title:string,page:int>>>>>>>>"
 
@@ -306,7 +309,7 @@ def file_items(data: bytes) -> Iterator[tuple]:
         yield ("bookmark", page, k, float(depth), 0.0, 0.0, 0.0, 0.0, title, 0.0, 0.0, None)
 
 
-def items(docs: DataFrame) -> DataFrame:
+def items(docs: DataFrame, seconds: float = DOCUMENT_SECONDS) -> DataFrame:
     """ITEMS of PDF documents: (doc_id, content, xml); xml where an extractor gave one, else the file itself is read."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +317,8 @@ def items(docs: DataFrame) -> DataFrame:
         for b in batches:
             for doc_id, content, xml in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 try:
-                    rows = [(doc_id, *r[:11], None, r[11]) for r in (((*x, None) for x in xml_items(xml)) if xml else file_items(content or b""))]
+                    with limited(seconds):
+                        rows = [(doc_id, *r[:11], None, r[11]) for r in (((*x, None) for x in xml_items(xml)) if xml else file_items(content or b""))]
                 except Exception as e:  # noqa: BLE001  any document may be damaged in any way
                     rows = [(doc_id, "error", *[None] * 10, f"{type(e).__name__}: {e}", None)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [f.split()[0] for f in ITEMS.split(", ")])

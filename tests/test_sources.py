@@ -1,11 +1,14 @@
 """Readers of uploads, HTML, DOCX, EPUB and PDF, and the PDF line model."""
 
 import io
+import time
 import zipfile
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from bindery.functions.guard import limited
 from bindery.operators import pdf_model
 from bindery.plans import convert
 from bindery.sources import archives, files, html, pdf
@@ -63,6 +66,17 @@ def test_parsed_keeps_going_after_damage(spark):
     assert sorted((r.doc_id, r.kind) for r in rows) == [("a", "asset"), ("a", "text"), ("b", "asset"), ("b", "segment"), ("b", "segment"), ("c", "error")]
 
 
+def test_reading_ends_in_time(spark):
+    slow = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n<< /Type /Page /Contents %d 0 R >>\nendobj\n" % (k, k) for k in range(1, 20_000))
+    docs = spark.createDataFrame([("slow", slow, None), ("fine", None, XML)], "doc_id string, content binary, xml string").coalesce(1)
+    found = pdf.items(docs, seconds=0.02)
+    assert [(r.doc_id, r.error) for r in found.filter("kind = 'error'").collect()] == [("slow", "TimeoutError: over 0.02 s")] and pdf.runs(found).filter("doc_id = 'fine'").count() == 2
+    with pytest.raises(TimeoutError), limited(0.01):
+        time.sleep(1)
+    with limited(5):
+        pass
+
+
 def test_uploads(spark, tmp_path):
     (tmp_path / "u" / "v").mkdir(parents=True)
     for name in ("a.md", "v/b.HTM", "c.exe", "d"):
