@@ -580,13 +580,32 @@ def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf_model.table_blocks(pdf_model.visual_lines(D.pdf_runs(spark, sf_dir)), ["doc_id"]).filter("block IS NOT NULL").select("doc_id", "idx", "block", "cells")
 
 
+def page_marks(lines: DataFrame) -> DataFrame:
+    """A bookmark for each page of the documents of an even number."""
+    pages = lines.select("doc_id", "page").distinct().filter("CAST(doc_id AS BIGINT) % 2 = 0")
+    return pages.select("doc_id", F.col("page").alias("ord"), F.lit(1).alias("depth"), F.format_string("Parte %d", "page").alias("title"), "page")
+
+
+@query(f"""WITH {RUN_LINES}, page AS (SELECT doc_id, page, count(*) AS lines, count(*) OVER (PARTITION BY doc_id) AS starts FROM placed WHERE CAST(doc_id AS BIGINT) % 2 = 0 GROUP BY doc_id, page)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS INTEGER) AS ord, 'Parte ' || page AS title FROM page WHERE lines > 1 OR starts = 1""")
+def pdf_bookmark_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level 1 of the cascade: a bookmark whose title stands nowhere begins at its page's first line."""
+    lines = pdf_model.visual_lines(D.pdf_runs(spark, sf_dir))
+    return pdf_model.segments_by_bookmarks(lines, page_marks(lines)).select("doc_id", "ord", "title")
+
+
+@query(f"""WITH {RUN_LINES}, chunk AS (SELECT DISTINCT doc_id, (page - 1) // 2 AS c FROM run), n AS (SELECT doc_id, max(page) AS pages FROM run GROUP BY doc_id)
+SELECT doc_id, CAST(c + 1 AS INTEGER) AS ord, 'Páginas ' || (c * 2 + 1) || '–' || least((c + 1) * 2, pages) AS title FROM chunk JOIN n USING (doc_id)""")
+def pdf_page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level 3 of the cascade, two pages at a time."""
+    return pdf_model.segments_by_pages(pdf_model.visual_lines(D.pdf_runs(spark, sf_dir)), 2).select("doc_id", "ord", "title")
+
+
 @query()
 def pdf_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cascade: bookmarks for documents of an even number, font sizes for others, pages for what is left."""
     lines = pdf_model.visual_lines(D.pdf_runs(spark, sf_dir))
-    pages = lines.select("doc_id", "page").distinct()
-    marks = pages.filter("CAST(doc_id AS BIGINT) % 2 = 0").select("doc_id", F.col("page").alias("ord"), F.lit(1).alias("depth"), F.format_string("Parte %d", "page").alias("title"), "page")
-    return pdf_model.segments(lines, marks)
+    return pdf_model.segments(lines, page_marks(lines))
 
 
 @query()
