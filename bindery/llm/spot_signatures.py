@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.jaccard_join import jaccard_components
-from bindery.llm.words import MARKS, chain, mix, word_hashes
+from bindery.llm.words import MARKS, chain, word_hashes
 
 CHAIN, RATIO = 2, 0.8
 
