@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,6 +72,29 @@ def meet(rows: DataFrame, facts: DataFrame, key: str | list[str], count: str, to
     return rows.join(heavy, key).unionByName(light)
 
 
+def numbered(rows: DataFrame, key: list[str], order: list[str | Column], name: str) -> DataFrame:
+    """rows, which should be stored, with the column `name`: each row's place, from 0, among those of its key, by `order`.
+
+    Rows are sorted by ranges, so that a key's rows may lie in many tasks. Where a task's rows of a key begin is broadcast:
+    a row for each task and for each further key that a task holds, so keys should be few. Equal rows come in any order.
+    """
+    tie = F.monotonically_increasing_id()
+    at, part = unused(rows.columns, "at"), unused(rows.columns, "part")
+    in_order = rows.withColumn(at, tie).repartitionByRange(*key, *order, at).sortWithinPartitions(*key, *order, at)
+    placed = stored(in_order.withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(at, 33))
+    begins = placed.groupBy(*key, part).agg(F.min(at).alias("first"), F.count("*").alias("rows"))
+    earlier = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    begins = begins.select(*key, part, (F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    where = [placed[c].eqNullSafe(begins[c]) for c in (*key, part)]
+    return placed.join(F.broadcast(begins), where).select(*[placed[c] for c in rows.columns], (F.col(at) + F.col("shift")).alias(name))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """`name`, or with a number where the columns have it already, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"{name}_{k}") not in taken)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; null for a null doc_id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
