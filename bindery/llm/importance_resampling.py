@@ -1,9 +1,9 @@
 """Operator 11, resampling towards a target distribution by importance weights over hashed n-grams.
 
 Words are numbered by a dictionary, n-grams are tuples of those numbers, and only the distinct tuples' bytes are put
-together and hashed; counts and gains are joined back to the places of each tuple. A dictionary holds for CHUNK bytes of
-a task's texts: one for the whole corpus would send every word to another task and back, twice, where here the texts are
-only read, and what leaves a task is a count for each bucket.
+together and hashed; the buckets are joined back to the places of each tuple and stored, two bytes a feature, so that
+texts are read once; counts and weights come from there. A dictionary holds for CHUNK bytes of a task's texts: one for the
+whole corpus would send every word to another task and back, where here what leaves a task is a count for each bucket.
 """
 
 from __future__ import annotations
@@ -77,47 +77,74 @@ class Grams:
             yield np.fromiter(map(zlib.crc32, grams), np.int64, len(grams)) % n_buckets
 
 
-def count_buckets(longest: int, n_buckets: int):
-    """For mapInArrow over (text): bucket, n, a task's sums."""
+def small(n_buckets: int) -> np.dtype:
+    """The type that buckets are stored as."""
+    return np.dtype("<u2" if n_buckets <= 1 << 16 else "<u4")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_buckets, np.int64)
-        for _, texts in chunks(batches, 0):
+
+def hashed(longest: int, n_buckets: int):
+    """For mapInArrow over (doc_id, text): doc_id, n_words, buckets (those of all features, repeats too, as binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches, 1):
             grams = Grams(texts, longest)
-            for bucket, at in zip(grams.buckets(n_buckets), grams.tuples, strict=True):
-                total += np.bincount(bucket, np.bincount(at, minlength=len(bucket)), n_buckets).astype(np.int64)
+            counts = [np.diff(np.searchsorted(places, grams.bounds)) for places in grams.places]
+            begin = np.append(0, np.cumsum(sum(counts)))
+            out, at = np.zeros(begin[-1], small(n_buckets)), begin[:-1].copy()
+            for bucket, tuples, n in zip(grams.buckets(n_buckets), grams.tuples, counts, strict=True):
+                out[np.arange(len(tuples)) + np.repeat(at - np.cumsum(n) + n, n)] = bucket[tuples]
+                at += n
+            offsets = (begin * out.itemsize).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(grams.words.astype(np.int64)), packed], ["doc_id", "n_words", "buckets"])
+        release()
+
+    return run
+
+
+def values(packed: pa.Array, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets of a column of packed ones, and where each row's begin, with the end."""
+    kind = small(n_buckets)
+    edges = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // kind.itemsize
+    return np.frombuffer(packed.buffers()[2] or b"", kind)[edges[0] : edges[-1]].astype(np.int64), edges - edges[0]
+
+
+def count(n_buckets: int):
+    """For mapInArrow over (buckets): bucket, n, a task's sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_buckets, np.int64)
+        for batch in batches:
+            total += np.bincount(values(batch.column(0), n_buckets)[0], minlength=n_buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
-        release()
 
-    return count
+    return run
 
 
-def weigh(longest: int, gains: np.ndarray):
-    """For mapInArrow over (doc_id, text): doc_id, n_words, n_features, weight (the floored mean of the gains)."""
+def weigh(gains: np.ndarray):
+    """For mapInArrow over (doc_id, n_words, buckets): doc_id, n_words, n_features, weight (the floored mean of the gains)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets, edges = values(batch.column(2), len(gains))
+            features = np.diff(edges).astype(np.int64)
+            weight = np.diff(np.append(0, np.cumsum(gains[buckets]))[edges]) // np.maximum(features, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features), pa.array(weight)], ["doc_id", "n_words", "n_features", "weight"])
+
+    return run
 
-    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in chunks(batches, 1):
-            grams = Grams(texts, longest)
-            total, features = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            for bucket, at, places in zip(grams.buckets(len(gains)), grams.tuples, grams.places, strict=True):
-                sums = np.append(0, np.cumsum(gains[bucket][at]))
-                edges = np.searchsorted(places, grams.bounds)
-                total += np.diff(sums[edges])
-                features += np.diff(edges)
-            columns = [rows.column(0), *map(pa.array, (grams.words.astype(np.int64), features, total // np.maximum(features, 1)))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_features", "weight"])
-        release()
 
-    return weights
+def features(texts: DataFrame, longest: int, n_buckets: int) -> DataFrame:
+    """doc_id, n_words, buckets of every row's text."""
+    raw = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return raw.mapInArrow(hashed(longest, n_buckets), "doc_id long, n_words long, buckets binary")
 
 
-def bucket_counts(texts: DataFrame, longest: int, n_buckets: int) -> np.ndarray:
-    """How many features of all texts fall in each bucket: at most n_buckets numbers reach the driver."""
-    raw = texts.select(F.col("text").cast("string").cast("binary").alias("text"))
-    found = raw.mapInArrow(count_buckets(longest, n_buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+def bucket_counts(found: DataFrame, n_buckets: int) -> np.ndarray:
+    """How many features fall in each bucket: at most n_buckets numbers reach the driver."""
     out = np.zeros(n_buckets, np.int64)
-    for bucket, n in found:
+    for bucket, n in found.select("buckets").mapInArrow(count(n_buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
         out[bucket] = n
     return out
 
@@ -135,11 +162,11 @@ def resampled(docs: DataFrame, target: DataFrame, longest: int = 2, n_buckets: i
     last among equal scores; rows that repeat a doc_id are rows of their own, in any order where their scores tie. Without
     target texts all gains come from docs alone; an empty table gives no row. Other columns are ignored.
     """
-    own, wanted = bucket_counts(docs, longest, n_buckets), bucket_counts(target, longest, n_buckets)
+    found = stored(features(docs, longest, n_buckets))
+    own, wanted = (bucket_counts(x, n_buckets) for x in (found, features(target.select(F.lit(0).alias("doc_id"), "text"), longest, n_buckets)))
     ratio = lambda s, t: (t + 1.0) * (float(own.sum()) + n_buckets) / ((s + 1.0) * (float(wanted.sum()) + n_buckets))
     gains = np.array([math.floor(1000 * math.log(ratio(s, t))) for s, t in zip(own.tolist(), wanted.tolist(), strict=True)], np.int64)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    weighed = texts.mapInArrow(weigh(longest, gains), "doc_id long, n_words long, n_features long, weight long")
+    weighed = found.mapInArrow(weigh(gains), "doc_id long, n_words long, n_features long, weight long")
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     h = F.conv(F.substring(F.sha2(key.cast("binary"), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / HASHES)))
