@@ -84,9 +84,10 @@ def numbered(rows: DataFrame, key: list[str], order: list[str | Column], name: s
     placed = stored(in_order.withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(at, 33))
     begins = placed.groupBy(*key, part).agg(F.min(at).alias("first"), F.count("*").alias("rows"))
     earlier = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    begins = begins.select(*key, part, (F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
-    where = [placed[c].eqNullSafe(begins[c]) for c in (*key, part)]
-    return placed.join(F.broadcast(begins), where).select(*[placed[c] for c in rows.columns], (F.col(at) + F.col("shift")).alias(name))
+    shift = F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("first")
+    own = placed.select(F.struct(*rows.columns).alias("row"), F.struct(*key, part).alias("of"), F.col(at).alias("place"))
+    shifts = F.broadcast(begins.select(F.struct(*key, part).alias("begin"), shift.alias("shift")))
+    return own.join(shifts, F.col("of").eqNullSafe(F.col("begin"))).select("row.*", (F.col("place") + F.col("shift")).alias(name))
 
 
 def unused(columns: list[str], name: str) -> str:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bindery.llm import importance_resampling
+from bindery.llm import hard_negatives, importance_resampling
 from bindery.llm import license_scan as licenses
 from bindery.llm import mixing
 from bindery.llm.common import LOWER, UPPER
@@ -68,8 +69,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op6_ngram_jaccard_join, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints, op11_importance_resampling)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op6_ngram_jaccard_join, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints, op11_importance_resampling, op13_hard_negatives)}
 
 
 OP7_SQL = """
@@ -100,4 +107,4 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": OP6_SQL, "op3_license_scan": licenses.oracle(), "op4_source_mixing": mixing.oracle(), "op7_exact_dedup": OP7_SQL, "op11_importance_resampling": importance_resampling.oracle()}
+    return {"op6_ngram_jaccard_join": OP6_SQL, "op3_license_scan": licenses.oracle(), "op4_source_mixing": mixing.oracle(), "op7_exact_dedup": OP7_SQL, "op11_importance_resampling": importance_resampling.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
