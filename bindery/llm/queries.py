@@ -14,6 +14,7 @@ from bindery.llm.common import LOWER, UPPER
 from bindery.llm.exact_dedup import exact_dedup
 from bindery.llm.jaccard_join import jaccard_components
 from bindery.llm.quality import quality_scores
+from bindery.llm.sharding import sharded
 from bindery.llm.spot_signatures import fingerprints
 from bindery.llm.substring_dedup import substring_dedup
 from bindery.llm.token_output import packed_ids
@@ -69,6 +70,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -76,7 +81,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op6_ngram_jaccard_join, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints, op11_importance_resampling, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op6_ngram_jaccard_join, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints, op11_importance_resampling, op12_sharding, op13_hard_negatives)}
 
 
 OP7_SQL = """
