@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import cut
+from bindery.llm.common import cut, unused
 
 COUNTERS = 1024
 
@@ -75,13 +75,13 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def deduplicated(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns. Of rows that repeat doc_id and text any one stays."""
-    found = exact_dedup(docs, counters)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]) & (digest == kept["_keep_sha"]), "left_semi")
-    # such rows meet in the same group above; only where there are any do texts have to be compared again
-    repeated = found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count()
+    found = cut(exact_dedup(docs, counters).select(F.col("doc_id").alias("_drop_id"), F.col("text_sha256").alias("_drop_sha"), "kept", "keep_id"))
+    # only what goes is sent, and of rows like the one that stays none goes here
+    gone = found.filter(~F.col("kept") & ~F.col("_drop_id").eqNullSafe(F.col("keep_id")))
+    rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_drop_id"]) & (digest == gone["_drop_sha"]), "left_anti")
+    repeated = found.filter(~F.col("kept") & F.col("_drop_id").eqNullSafe(F.col("keep_id"))).limit(1).count()
     if not repeated:
         return rows
-    same = next(name for k in range(len(rows.columns) + 1) if (name := f"same_{k}") not in rows.columns)
+    same = unused(rows.columns, "same")
     return rows.withColumn(same, F.coalesce(F.col("text"), F.lit(""))).dropDuplicates(["doc_id", same]).drop(same)

@@ -42,8 +42,10 @@ BUCKET_BYTES, FLUSH, BLOCK = 8_000_000, 250_000, 500_000
 #: Sets and shingles of a block, of which a search task holds two; and how many sets go to every block of a large group.
 HALF_SETS, HALF_SHINGLES, CENTRAL = 1024, 500_000, 8
 COPY_COUNTERS = 16_384
-#: So many times the number of sets make lists dense.
-DENSE = 4
+#: Sets of a block where links are counted, which takes time by the pairs.
+COUNT_SETS = 256
+#: What a step on the heap costs against a step of a binary search; it says how many lists are put aside.
+SKIP_COST = 0.01
 NULL_ID, NOBODY = -(1 << 63), 0
 U8, I8, I4 = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4")
 
@@ -290,14 +292,18 @@ class Links:
         order = np.argsort(h, kind="stable")
         ids, h = ids[order], h[order]
         edges = runs_of(h)
-        several = np.flatnonzero(np.diff(edges) > 1)
-        self.arrays = [ids[edges[k] : edges[k + 1]] for k in several]
-        self.lists: list[list[int]] = [a.tolist() for a in self.arrays]
-        self.all_sizes = np.array(sizes)
+        # shingles that stand in the same sets are one list, and it counts for all of them
+        weights: dict[bytes, int] = {}
+        for k in np.flatnonzero(np.diff(edges) > 1):
+            members = ids[edges[k] : edges[k + 1]].tobytes()
+            weights[members] = weights.get(members, 0) + 1
+        self.lists, self.weights = [np.frombuffer(m, ids.dtype).tolist() for m in weights], list(weights.values())
         self.of: list[list[int]] = [[] for _ in sets]  # the lists that hold a set
+        self.shared = [0] * len(sets)  # and how many of its shingles they are
         for k, members in enumerate(self.lists):
             for i in members:
                 self.of[i].append(k)
+                self.shared[i] += self.weights[k]
         self.parent, self.members = list(range(len(sets))), [1] * len(sets)
         first: dict[int, int] = {}
         for i, k in enumerate(known or ()):
@@ -319,56 +325,62 @@ class Links:
         self.members[i] += self.members[j]
         return True
 
-    def candidates(self, lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
-        """Ids that are in `least` or more of the ascending lists, with their count there: a heap merge that skips."""
-        heap = [(x[0], k, 0) for k, x in enumerate(lists)]
+    def candidates(self, short: list[int], least: int, start: int = 0) -> Iterator[tuple[int, int]]:
+        """Ids from `start` on that the lists `short` hold for `least` or more shingles, with their number: a heap merge that
+        skips ids which can't reach it.
+        """
+        heap, left = [], 0
+        for k in short:
+            at = bisect_left(self.lists[k], start) if start else 0
+            if at < len(self.lists[k]):
+                heap.append((self.lists[k][at], k, at))
+                left += self.weights[k]
         heapq.heapify(heap)
-        while len(heap) >= least:
-            top, popped = heap[0][0], []
+        while heap and left >= least:
+            top, popped, count = heap[0][0], [], 0
             while heap and heap[0][0] == top:
                 popped.append(heapq.heappop(heap))
-            if len(popped) >= least:
-                yield top, len(popped)
+                count += self.weights[popped[-1][1]]
+            if count >= least:
+                yield top, count
                 following = top + 1
             else:
-                while heap and len(popped) < least - 1:
+                while heap and count + self.weights[heap[0][1]] < least:
                     popped.append(heapq.heappop(heap))
+                    count += self.weights[popped[-1][1]]
                 if not heap:
                     return
                 following = max(top + 1, heap[0][0])
             for _, k, at in popped:
-                at = bisect_left(lists[k], following, at)
-                if at < len(lists[k]):
-                    heapq.heappush(heap, (lists[k][at], k, at))
-
-    def partners(self, i: int, again: bool = False) -> Iterator[int]:
-        """The sets that link with set i, but for those already connected with it unless they are asked for again.
-
-        Where the lists are so dense that a heap would pass most sets again and again, occurrences are counted in an array
-        instead; the result is the same.
+                at = bisect_left(self.lists[k], following, at)
+                if at < len(self.lists[k]):
+                    heapq.heappush(heap, (self.lists[k][at], k, at))
+                else:
+                    left -= self.weights[k]
+
+    def partners(self, i: int, again: bool = False, start: int = 0) -> Iterator[int]:
+        """The sets from `start` on that link with set i, but for those already connected with it unless they are asked for
+        again.
         """
         n, least = self.sizes[i], needed(self.sizes[i], self.percent)
-        if len(self.of[i]) < least:
-            return
-        if sum(len(self.lists[k]) for k in self.of[i]) > DENSE * len(self.sizes):
-            count = np.bincount(np.concatenate([self.arrays[k] for k in self.of[i]]), minlength=len(self.sizes))
-            for j in np.flatnonzero(100 * count >= self.percent * (n + self.all_sizes - count)).tolist():
-                if j != i and (again or self.find(i) != self.find(j)):
-                    yield j
+        if self.shared[i] < least:
             return
-        own = sorted((self.lists[k] for k in self.of[i]), key=len)
-        aside = max(0, min(least - 1, int(least / (0.01 * math.log2(len(own[-1]) + 1) + 1))))
-        short, long = own[: len(own) - aside], own[len(own) - aside :]
-        for j, count in self.candidates(short, least - aside):
+        short, long, weight = sorted(self.of[i], key=lambda k: len(self.lists[k])), [], 0
+        aside = min(least - 1, int(least / (SKIP_COST * math.log2(len(self.lists[short[-1]]) + 1) + 1)))
+        while weight + self.weights[short[-1]] <= aside:
+            long.append(short.pop())
+            weight += self.weights[long[-1]]
+        for j, count in self.candidates(short, least - weight, start):
             m = self.sizes[j]
             if j == i or 100 * min(n, m) < self.percent * max(n, m) or not (again or self.find(i) != self.find(j)):
                 continue
-            enough = -(-self.percent * (n + m) // (100 + self.percent))
-            for left, members in zip(range(len(long), 0, -1), long, strict=True):
+            enough, left = -(-self.percent * (n + m) // (100 + self.percent)), weight
+            for k in long:
                 if count + left < enough:
                     break
-                at = bisect_left(members, j)
-                count += at < len(members) and members[at] == j
+                at, members = bisect_left(self.lists[k], j), self.lists[k]
+                count += self.weights[k] if at < len(members) and members[at] == j else 0
+                left -= self.weights[k]
             if 100 * count >= self.percent * (n + m - count):
                 yield j
 
@@ -412,17 +424,21 @@ def count_links(percent: int):
     """
 
     def count(t: pa.Table) -> pa.Table:
-        nodes, low, copies = t["node"].to_pylist(), t["low"].to_pylist(), t["copies"].to_pylist()
-        one, is_low = t["low_block"][0] == t["high_block"][0], [x == 1 for x in low]
+        t = t.sort_by([("low", "descending"), ("node", "ascending")])  # a pair is looked for from its first set only
+        nodes, copies, n_low = t["node"].to_pylist(), t["copies"].to_pylist(), sum(t["low"].to_pylist())
+        one, found = t["low_block"][0] == t["high_block"][0], [0] * t.num_rows
         links = Links(t["n"].to_pylist(), [long48(x) for x in t["hashes"].to_pylist()], percent)
-        rows = [(node, sum(copies[j] for j in links.partners(i, True) if one or is_low[i] != is_low[j])) for i, node in enumerate(nodes)]
-        return pa.Table.from_batches([batch(rows, "node long, links long")])
+        for i in range(t.num_rows if one else n_low):
+            for j in links.partners(i, True, i + 1 if one else n_low):
+                found[i] += copies[j]
+                found[j] += copies[i]
+        return pa.Table.from_batches([batch(list(zip(nodes, found, strict=True)), "node long, links long")])
 
     return count
 
 
-def blocks_needed(sets: str, shingles: str) -> Column:
-    return F.ceil(F.greatest(F.col(sets) / HALF_SETS, F.col(shingles) / HALF_SHINGLES)).cast("int")
+def blocks_needed(sets: str, shingles: str, half_sets: int) -> Column:
+    return F.ceil(F.greatest(F.col(sets) / half_sets, F.col(shingles) / HALF_SHINGLES)).cast("int")
 
 
 def block_of(blocks: str, salt: int = 0) -> Column:
@@ -438,7 +454,7 @@ def rough_links(ordered: DataFrame, nodes: int, percent: int) -> DataFrame:
     CENTRAL nodes to all.
     """
     groups = cut(ordered.groupBy("least").agg(F.count("*").alias("sets"), F.sum("shingles").alias("all_shingles")).filter("sets > 1"))
-    groups = groups.withColumn("blocks", blocks_needed("sets", "all_shingles"))
+    groups = groups.withColumn("blocks", blocks_needed("sets", "all_shingles", HALF_SETS))
     dealt = meet(ordered.select("least", "node", "n", "central", "hashes"), groups, "least", "sets", nodes).withColumn("block", block_of("blocks"))
     best = F.row_number().over(Window.partitionBy("least").orderBy(F.desc("central"), "node"))
     central = dealt.filter("blocks > 1").select("least", "node", "central", "block", "blocks").withColumn("best", best).filter(F.col("best") <= CENTRAL)
@@ -521,7 +537,7 @@ def links_of_nodes(ordered: DataFrame, linked: DataFrame, copies: DataFrame, per
     """node, links: for the nodes of components (node, root), the number of documents of other nodes that they link with."""
     sets = stored(ordered.select("node", "n", "shingles", "hashes").join(linked, "node").join(copies, "node"))
     groups = cut(sets.groupBy("root").agg(F.count("*").alias("sets"), F.sum("shingles").alias("all_shingles")))
-    groups = groups.withColumn("blocks", blocks_needed("sets", "all_shingles"))
+    groups = groups.withColumn("blocks", blocks_needed("sets", "all_shingles", min(HALF_SETS, COUNT_SETS)))
     dealt = meet(sets, groups, "root", "sets", sets.count()).withColumn("block", block_of("blocks"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low = F.col("block") <= F.col("other")

@@ -266,6 +266,13 @@ def test_jaccard_sends_rows_by_the_nodes(spark, monkeypatch):
     assert sent[0] <= 4 * 200 and sent[2] <= 5 * sent[0]
 
 
+def test_shingles_of_the_same_sets_are_one_list():
+    sets = [np.arange(1, 100, dtype=np.uint64), np.arange(1, 95, dtype=np.uint64), np.arange(1, 98, dtype=np.uint64)]
+    links = Links([len(s) for s in sets], sets, 85)
+    assert sorted(zip(links.lists, links.weights, strict=True)) == [([0, 1, 2], 94), ([0, 2], 3)] and links.shared == [97, 94, 97]
+    assert [sorted(links.partners(k)) for k in range(3)] == [[1, 2], [0, 2], [0, 1]]
+
+
 def test_jaccard_null_ids_and_no_rows(spark):
     text = prose(50, 1)
     rows = jaccard_components(table(spark, [text, text, "", prose(50, 2)], [5, None, 6, 7])).collect()
@@ -273,9 +280,9 @@ def test_jaccard_null_ids_and_no_rows(spark):
     assert jaccard_components(table(spark, ["a"]).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("dense", [0, 4, 10_000])
-def test_search_finds_all_links(monkeypatch, dense):
-    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+@pytest.mark.parametrize("cost", [0.001, 0.01, 1])
+def test_search_finds_all_links(monkeypatch, cost):
+    monkeypatch.setattr(jaccard_join, "SKIP_COST", cost)
     rng = np.random.default_rng(0)
     base = rng.integers(1, 1 << 40, 60).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[rng.random(60) > 0.06], rng.integers(1, 1 << 40, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(60)]
@@ -283,6 +290,23 @@ def test_search_finds_all_links(monkeypatch, dense):
     for i in range(60):
         exact = {j for j in range(60) if j != i and 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - both)}
         assert {j for j in links.partners(i) if j != i} == exact
+        assert {j for j in links.partners(i, True, 20)} == {j for j in exact if j >= 20}
+
+
+def test_search_merges_skips_and_probes(monkeypatch):
+    """What DivideSkip doesn't look at: ids that the short lists can't hold often enough, and most places of long lists."""
+    looked, find = [], jaccard_join.bisect_left
+    monkeypatch.setattr(jaccard_join, "bisect_left", lambda members, *at: looked.append(len(members)) or find(members, *at))
+    common, own = np.arange(1, 101, dtype=np.uint64), np.arange(1000, 1000 + 40 * 400, dtype=np.uint64).reshape(400, 40)
+    # every set holds the common shingles but for one, only those of one pair share the rest as well
+    sets = [np.unique(np.concatenate([np.delete(common, k % 100), own[k if k != 399 else 0]])) for k in range(400)]
+    links = Links([len(s) for s in sets], sets, 85)
+    assert sorted(j for k in range(400) for j in links.partners(k)) == [0, 399]
+    assert list(links.partners(0)) == [399] and looked and sum(looked) > 0
+    taken = []
+    monkeypatch.setattr(jaccard_join.heapq, "heappop", lambda heap, pop=jaccard_join.heapq.heappop: taken.append(1) or pop(heap))
+    assert list(links.partners(5)) == [] and not taken  # too few of its shingles are shared
+    assert list(links.partners(0)) == [399] and len(taken) < 400 * 20  # of about 140 lists with 400 ids each
 
 
 @pytest.mark.parametrize("in_one_task", [1_000_000, 3])

@@ -72,6 +72,18 @@ def test_stages_bear_odd_rows(spark, k, rows):
         assert sum(r.length for r in found) >= len(rows)
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_names_that_differ_in_case_only(spark, k):
+    """Names that a stage would give its own columns, in other letters: they come out of it with their values."""
+    names = ["ROW_0", "Row_1", "SAME_0", "Kept_Row", "KEPT", "_KEEP_ID", "Component_Id", "PREDICTED", "Node", "Digest", "At_0"]
+    texts = ["plain words here", "plain words here", "", None, "word " * 500, "other words stand here " * 3]
+    rows = [(i % 5, t, "en", "src1", i, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    out = corpus_pipeline.STAGES[k][1](spark, docs, DATA)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} <= set(rows)
+
+
 def test_run_leaves_one_table(spark):
     before = len(TABLES)
     pieces = corpus_pipeline.run(spark, DATA)
