@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm.common import TABLES, discard, stored
+from bindery.llm.common import TABLES, discard, stored, unused
 from bindery.llm.exact_dedup import deduplicated
 from bindery.llm.jaccard_join import jaccard_components
 from bindery.llm.mixing import Mixture, mix
@@ -27,7 +27,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a column, whose name is given too, that tells rows apart: doc_id where every row has one of its own; else
     numbers, stored with the rows so that they stay the same in every use.
     """
-    row = next(name for k in range(len(docs.columns) + 1) if (name := f"row_{k}") not in docs.columns)
+    row = unused(docs.columns, "row")
     rows, given, different = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if rows == given == different:
         return docs.withColumn(row, F.col("doc_id").cast("long")), row
