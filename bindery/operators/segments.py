@@ -1,8 +1,7 @@
-"""Cuts Markdown into segments at its headings of level one and two, with Column functions only.
+"""Cuts Markdown into segments at its headings of level one and two.
 
-The text is read as a row of tokens: fenced blocks, setext headings, and single lines. A mark goes before each heading
-token, and the text is split at the marks; nothing is exploded or shuffled, so a document stays one row until its segments
-are asked for.
+Where headings begin is told by a fold over a text's lines (functions/blocks.py); all else are Column functions. Nothing is
+exploded or shuffled, so a document stays one row until its segments are asked for.
 """
 
 from __future__ import annotations
@@ -10,52 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindery.functions.blocks import heading_lines
 from bindery.functions.text import let, trim_space
 
-MARK = "\x01"
-# Repetitions of groups are possessive: the regex engine would recurse on others, so long texts would overflow its stack.
-BOX = r"(?:(?:>|[-*+]|\d{1,9}[.)])[ \t]{0,4})*+"
-QUOTE = r" {0,3}(?:> {0,3})++"
-# A fence ends at one of its own kind that is at least as long; a quoted one with its quote at the latest.
-FENCE = r"^ {0,3}(?:(?<b>`{3,})[^`\n]*\n(?s:.*?)(?:^ {0,3}\k<b>`*[ \t]*$\n?|\z)|(?<t>~{3,})[^\n]*\n(?s:.*?)(?:^ {0,3}\k<t>~*[ \t]*$\n?|\z))"
-QUOTED = r" {0,3}>[^\n]*+(?:\n|\z)"
-QUOTED_FENCE = (
-    rf"^{QUOTE}(?<qb>`{{3,}})[^`\n]*+\n(?:(?!{QUOTE}\k<qb>`*[ \t]*$){QUOTED})*+(?:{QUOTE}\k<qb>`*[ \t]*(?:\n|\z))?"
-    rf"|^{QUOTE}(?<qt>~{{3,}})[^\n]*+\n(?:(?!{QUOTE}\k<qt>~*[ \t]*$){QUOTED})*+(?:{QUOTE}\k<qt>~*[ \t]*(?:\n|\z))?"
-)
-ATX = rf"^ {{0,3}}{BOX}#{{1,2}}(?:[ \t][^\n]*)?(?:\n|\z)"
-UNDERLINE = r" {0,3}(?:=+|-+)[ \t]*"
-TEXT = r"(?![#>|]|`{3}|~{3}|[-*+][ \t\n]|\d{1,9}[.)][ \t]|(?:=+|-+)[ \t]*$)\S[^\n]*+\n"
-PARAGRAPH = rf"^(?: {{0,3}}{TEXT})++(?:{UNDERLINE}(?:\n|\z))?"
-QUOTED_SETEXT = rf"^(?:{QUOTE}{TEXT})++{QUOTE}(?:=+|-+)[ \t]*(?:\n|\z)"
-LINE = r"^[^\n]*(?:\n|\z)"
-TOKENS = rf"(?m){FENCE}|{QUOTED_FENCE}|{QUOTED_SETEXT}|{ATX}|{PARAGRAPH}|{LINE}"
-IS_ATX = rf"(?m)\A {{0,3}}{BOX}#{{1,2}}(?:[ \t]|$)"
-END_LINE = rf"\n(?:{QUOTE})?{UNDERLINE}\n?\z"
-IS_FENCE = rf"\A(?:{QUOTE}| {{0,3}})(?:`{{3}}|~{{3}})"
-#: What every text with a heading holds; others needn't be cut into tokens.
-CANDIDATE = r"#|(?m)^[ >]*+(?:=+|-+)[ \t\r]*$"
+#: What every text with a heading holds; the lines of others needn't be read.
+CANDIDATE = r"#|(?m)^[ \t>]*+(?:=+|-+)[ \t\r]*$"
 
 #: The titles of a text without headings and of a heading without text.
 WHOLE, UNTITLED = "Documento completo", "Sección %d"
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit(MARK), F.lit("")), F.lit(TOKENS), F.lit(0))
-
-
-def is_heading(token: Column) -> Column:
-    atx = token.contains("#") & token.rlike(IS_ATX)
-    setext = token.rlike(END_LINE) & token.rlike(r"\A[ \t]*[^ \t\n][^\n]*\n")
-    return (atx | setext) & ~token.rlike(IS_FENCE)
-
-
 def plain_title(heading: Column) -> Column:
-    """The text of a heading token, without marks, link targets and emphasis."""
-    atx = F.regexp_replace(F.regexp_replace(heading, rf"\A {{0,3}}{BOX}#{{1,2}}(?=[ \t\n]|\z)", ""), r"[ \t]+#+[ \t]*\n?\z", "")
-    setext = F.regexp_replace(F.regexp_replace(heading, END_LINE, ""), rf"(?m)^{QUOTE}", "")
-    bare = F.when(heading.rlike(IS_ATX), atx).otherwise(setext)
-    return trim_space(F.regexp_replace(F.regexp_replace(bare, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"[*`]+|(?<!\w)_+|_+(?!\w)", ""))
+    """The text of a heading, without link targets and emphasis."""
+    return trim_space(F.regexp_replace(F.regexp_replace(heading, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"[*`]+|(?<!\w)_+|_+(?!\w)", ""))
 
 
 def written(title: Column, content: Column) -> Column:
@@ -69,21 +35,20 @@ def segment_array(text: Column) -> Column:
 
     Text before the first heading belongs to the first segment. A body that doesn't begin with '#' gets its title as one.
     """
-    text = F.coalesce(text, F.lit(""))
-    marked = F.array_join(F.transform(tokens(text), lambda t: F.when(is_heading(t), F.concat(F.lit(MARK), t)).otherwise(t)), "")
-
-    def one(part: Column, i: Column, prelude: Column) -> Column:
-        found = plain_title(F.regexp_extract(part, TOKENS, 0))  # a part begins with its heading
-        title = F.when(found == "", F.format_string(UNTITLED, i + 1)).otherwise(found)
-        content = trim_space(F.when(i == 0, F.concat(prelude, part)).otherwise(part))
+    text = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    found = F.struct(F.split(text, "\n", -1).alias("lines"), heading_lines(F.when(text.rlike(CANDIDATE), text)).alias("heads"))
+
+    def one(lines: Column, heads: Column, head: Column, i: Column) -> Column:
+        start = F.when(i == 0, 0).otherwise(head["line"])
+        after = F.coalesce(F.get(heads, i + 1)["line"], F.size(lines))
+        clean = plain_title(head["title"])
+        title = F.when(clean == "", F.format_string(UNTITLED, i + 1)).otherwise(clean)
+        content = trim_space(F.array_join(F.slice(lines, start + 1, after - start), "\n"))
         return let(F.struct(title.alias("t"), content.alias("c")), lambda s: F.struct((i + 1).cast("int").alias("ord"), s["t"].alias("title"), written(s["t"], s["c"]).alias("body")))
 
     whole = F.array(F.struct(F.lit(1).alias("ord"), F.lit(WHOLE).alias("title"), F.concat(F.lit(f"# {WHOLE}\n\n"), trim_space(text), F.lit("\n")).alias("body")))
-
-    def all_of(parts: Column) -> Column:
-        return F.when(F.size(parts) == 1, whole).otherwise(F.transform(F.slice(parts, 2, F.size(parts)), lambda p, i: one(p, i, F.get(parts, F.lit(0)))))
-
-    return F.when(text.rlike(CANDIDATE), let(F.split(marked, MARK, -1), all_of)).otherwise(whole)
+    cut = lambda f: F.transform(f["heads"], lambda head, i: one(f["lines"], f["heads"], head, i))
+    return let(found, lambda f: F.when(F.coalesce(F.size(f["heads"]), F.lit(0)) > 0, cut(f)).otherwise(whole))
 
 
 def segments(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -401,6 +401,21 @@ def segment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.segments(D.table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
 
 
+BLOCKS = ("<pre>\n# no\n</pre>\n<!--\n# no\n\n# no\n-->\n<div>\n# no\n\n> ", "\n\n> ~~~\n> # no\n# Uno\n\n- ```\n  # no\n  ```\n  1. texto\n\n     Dos ", "\n     ---\n\n> ")
+
+
+@query(r"""WITH text AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS n, replace(translate(coalesce(text, ''), '#=-`~<', ''), chr(10), chr(10) || '> ') AS quoted FROM documents),
+part AS (SELECT doc_id, 1 AS ord, 'Uno' AS title, E'# Uno\n\n<pre>\n# no\n</pre>\n<!--\n# no\n\n# no\n-->\n<div>\n# no\n\n> ' || quoted || E'\n\n> ~~~\n> # no\n# Uno\n\n- ```\n  # no\n  ```\n  1. texto\n' AS body FROM text
+  UNION ALL SELECT doc_id, 2, 'Dos ' || n, '# Dos ' || n || E'\n\n' || 'Dos ' || n || E'\n     ---\n\n> ' || quoted AS body FROM text)
+SELECT doc_id, ord, title, md5(regexp_replace(body, '\s+$', '') || chr(10)) AS digest FROM part""")
+def segment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents within quotes, among HTML blocks, comments, fences that end with their containers, and lists."""
+    quoted = F.replace(F.translate(F.coalesce("text", F.lit("")), "#=-`~<", ""), F.lit("\n"), F.lit("\n> "))
+    a, b, c = map(F.lit, BLOCKS)
+    texts = D.table(spark, sf_dir, "documents").select("doc_id", F.concat(a, quoted, b, F.col("doc_id").cast("string"), c, quoted).alias("text"))
+    return segments.segments(texts).select("doc_id", "ord", "title", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
 @query()
 def bundle_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = D.chat_bundles(spark, sf_dir).withColumn("content", F.col("content").cast("binary"))
