@@ -1,15 +1,15 @@
 """PDF documents after extraction: runs of text and images to lines, headings, sections, tables and segments.
 
-A document's runs are sorted and folded in one task each (at most an upload's worth of them); what needs no order beyond a
-window is expressed by window functions.
+All of it are Column functions: a page's runs, and a table's lines, are sorted arrays that are folded where they lie, and
+what needs no order beyond a window is expressed by window functions. Rows are dealt by document once.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bindery.functions.frames import settled
 from bindery.functions.text import NUMBERED, clean_line, clean_title, collapse_hyphens, normalize_text, trim_space
@@ -28,39 +28,67 @@ def accepted_images(images: DataFrame) -> DataFrame:
     return images.filter(fits & ~F.coalesce(background, F.lit(False))).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MAX_IMAGES).drop("n")
 
 
+#: What visual_lines() gives.
 LINES = "doc_id string, idx int, page int, top double, left double, size double, text string, cols array<double>, cells array<string>, img_src string"
 
 
-def spaces(gap: float) -> int:
-    n = 1 + int((gap - 2) / 3)
-    return n if 1 <= n <= MAX_SPACES else 1
+def begins(items: Column, value: Callable[[Column], Column], same: Callable[[Column], Column]) -> Column:
+    """array<int>: where groups begin in a sorted array. An item belongs to the group of the one before if the distance of its
+    value to that of the group's first item is the same by `same`; items without a value stand alone.
+    """
+    none = F.struct(F.lit(None).cast("double").alias("first"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("begin"))
+
+    def step(state: Column, item: Column) -> Column:
+        own = value(item)
+        joins = F.coalesce(same(F.abs(own - state["first"])), F.lit(False))
+        return F.struct(F.when(joins, state["first"]).otherwise(own).alias("first"), (state["at"] + 1).alias("at"), F.when(joins, state["begin"]).otherwise(F.concat(state["begin"], F.array(state["at"]))).alias("begin"))
+
+    return F.aggregate(items, none, step, lambda state: state["begin"])
+
+
+def groups(items: Column, begin: Column) -> Column:
+    """The array's groups, as arrays."""
+    return F.transform(begin, lambda b, k: F.slice(items, b + 1, F.coalesce(F.get(begin, k + 1), F.size(items)) - b))
+
+
+def spaces(gap: Column) -> Column:
+    """How many blanks stand for a gap between two runs of a line: one for every three points beyond two, and four at most."""
+    n = 1 + F.least(F.greatest((gap - 2) / 3, F.lit(-9.0)), F.lit(9.0)).cast("int")
+    return F.when(n.between(1, MAX_SPACES), n).otherwise(1)
+
+
+def line_of(runs: Column) -> Column:
+    """A line's top, left, size, text, cols, cells, img_src from its runs in order."""
+
+    def piece(run: Column, k: Column) -> Column:
+        before = F.get(runs, k - 1)
+        return F.when(k == 0, run["text"]).otherwise(F.concat(F.repeat(F.lit(" "), spaces(run["left"] - before["left"] - before["width"])), run["text"]))
+
+    first = F.get(runs, F.lit(0))
+    image = first["img_src"] != ""
+    each = lambda name, empty: F.when(image, F.array().cast(empty)).otherwise(F.transform(runs, lambda r: r[name]))
+    return F.struct(
+        F.get(runs, F.size(runs) - 1)["top"].alias("top"), F.array_min(F.transform(runs, lambda r: r["left"])).alias("left"), F.array_max(F.transform(runs, lambda r: r["size"])).alias("size"),
+        F.array_join(F.transform(runs, piece), "").alias("text"), each("left", "array<double>").alias("cols"), each("text", "array<string>").alias("cells"), first["img_src"].alias("img_src"),
+    )
 
 
 def visual_lines(runs: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """LINES: runs whose top is within SAME_LINE of their line's first run form a line; images stand alone."""
+    """doc_id, idx, page, top, left, size, text, cols, cells, img_src: runs whose top is within SAME_LINE of their line's first
+    run form a line; images stand alone.
+    """
     items = runs.withColumn("text", trim_space(F.coalesce("text", F.lit("")))).filter("text <> ''").select("doc_id", "page", "ord", "top", "left", "width", "size", "text", F.lit("").alias("img_src"))
     if images is not None:
         zero = F.lit(0.0)
         items = items.unionByName(accepted_images(images).select("doc_id", "page", (F.col("ord") + (1 << 30)).alias("ord"), "top", "left", zero.alias("width"), zero.alias("size"), F.lit("").alias("text"), F.col("src").alias("img_src")))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, line = [], None
-        for r in pdf.sort_values(["page", "top", "left", "ord", "text"], kind="stable").itertuples(index=False):
-            if r.img_src:
-                out.append([r.doc_id, len(out), r.page, r.top, r.left, 0.0, "", [], [], r.img_src])
-                line = None
-            elif line is not None and line["page"] == r.page and abs(r.top - line["top"]) < SAME_LINE:
-                row = line["row"]
-                row[6] += " " * spaces(r.left - line["end"]) + r.text
-                row[3], row[4], row[5] = r.top, min(row[4], r.left), max(row[5], r.size)
-                row[7].append(r.left), row[8].append(r.text)
-                line["end"] = r.left + r.width
-            else:
-                out.append([r.doc_id, len(out), r.page, r.top, r.left, r.size, r.text, [r.left], [r.text], ""])
-                line = {"page": r.page, "top": r.top, "end": r.left + r.width, "row": out[-1]}
-        return pd.DataFrame(out, columns=[f.split()[0] for f in LINES.split(", ")])
-
-    return items.groupBy("doc_id").applyInPandas(build, LINES)
+    kinds = {c: F.col(c).cast("double") for c in ("top", "left", "width", "size")}
+    items = items.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page"), "ord", "text", "img_src", *[v.alias(c) for c, v in kinds.items()])
+    pages = items.repartition("doc_id").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("top", "left", "ord", "text", "width", "size", "img_src"))).alias("items"))
+    begin = begins(F.col("items"), lambda x: F.when(x["img_src"] == "", x["top"]), lambda far: far < SAME_LINE)
+    lines = pages.withColumn("begin", begin).select("doc_id", "page", F.transform(groups(F.col("items"), F.col("begin")), line_of).alias("lines"))
+    before = F.sum(F.size("lines")).over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    placed = lines.withColumn("before", F.coalesce(before, F.lit(0))).select("doc_id", "before", "page", F.posexplode("lines").alias("at", "line"))
+    return placed.select("doc_id", (F.col("before") + F.col("at")).cast("int").alias("idx"), "page", "line.*")
 
 
 def body_size(lines: DataFrame) -> DataFrame:
@@ -90,27 +118,18 @@ def table_blocks(lines: DataFrame, group: list[str]) -> DataFrame:
     """lines with block: the idx at which the line's table begins, null outside tables.
 
     A table: two adjacent lines or more of a page with two cells or more, whose first cell is within SAME_COLUMN of the
-    first line's; a table ends with its group. One ordered fold over each document's lines.
+    first line's; a table ends with its group. Adjacent lines with cells are an island; an island is folded into tables.
     """
-    schema = T.StructType([*lines.schema.fields, T.StructField("block", T.IntegerType())])
-    names = [f.name for f in schema.fields]
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable").reset_index(drop=True)
-        cells, cols, idx = pdf["cells"].tolist(), pdf["cols"].tolist(), pdf["idx"].tolist()
-        own = list(zip(pdf["page"], *(pdf[g] for g in group), strict=True))
-        block, i = [None] * len(pdf), 0
-        while i < len(pdf):
-            j = i + 1
-            if len(cells[i]) >= 2:
-                while j < len(pdf) and own[j] == own[i] and len(cells[j]) >= 2 and abs(cols[j][0] - cols[i][0]) <= SAME_COLUMN:
-                    j += 1
-                if j - i >= 2:
-                    block[i:j] = [idx[i]] * (j - i)
-            i = j
-        return pdf.assign(block=pd.array(block, "Int32"))[names]
-
-    return lines.groupBy("doc_id").applyInPandas(build, schema)
+    in_order, columns = Window.partitionBy("doc_id").orderBy("idx"), lines.columns
+    able = F.size("cells") >= 2
+    own = [c for c in dict.fromkeys(["doc_id", "page", *group])]
+    marked = lines.repartition("doc_id").withColumn("able_", able).withColumn("n_", F.row_number().over(in_order))
+    island = F.col("n_") - F.row_number().over(Window.partitionBy(*own, "able_").orderBy("idx"))
+    parts = marked.withColumn("island_", island).groupBy(*own, "able_", "island_").agg(F.sort_array(F.collect_list(F.struct("idx", *[c for c in columns if c != "idx"]))).alias("lines_"))
+    begin = begins(F.col("lines_"), lambda x: F.when(F.size(x["cells"]) >= 2, F.get(x["cols"], F.lit(0))), lambda far: far <= SAME_COLUMN)
+    tables = parts.withColumn("begin_", begin).select(F.explode(groups(F.col("lines_"), F.col("begin_"))).alias("table_"))
+    block = F.when(F.size("table_") >= 2, F.get("table_", F.lit(0))["idx"])
+    return tables.select(block.cast("int").alias("block"), F.explode("table_").alias("line_")).select("line_.*", "block").select(*columns, "block")
 
 
 def rendered(lines: DataFrame, group: list[str]) -> DataFrame:

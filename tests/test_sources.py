@@ -207,3 +207,28 @@ def test_all_starts_are_clamped(spark):
     found = lines(spark, [row("", img="i.png"), row("", img="j.png")])
     marks = spark.createDataFrame([("d", k, 1, f"t{k}", 9) for k in range(5)], "doc_id string, ord int, depth int, title string, page int")
     assert [(r.idx, r.title) for r in pdf_model.bookmark_starts(found, marks).orderBy("idx").collect()] == [(0, "t0"), (1, "t1")]
+
+
+def test_lines_and_tables_stay_in_the_jvm(spark):
+    """Pages and tables are folded as arrays: neither a Python task nor more than one exchange by document."""
+    runs = spark.createDataFrame([(f"d{k % 3}", 1 + k // 40, k, float(k // 3 * 12) + k % 2 * 0.4, float(k % 3 * 90), 10.0, 11.0, f"t{k}") for k in range(200)], "doc_id string, page int, ord int, top double, left double, width double, size double, text string")
+    found = pdf_model.table_blocks(pdf_model.visual_lines(runs), ["doc_id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and plan.count("Exchange ") <= 2
+
+
+def test_lines_are_anchored_at_their_first_run(spark):
+    """Tops of 0, 0.6 and 1.2 are two lines, as the third run is too far from the first; an image ends a line."""
+    runs = spark.createDataFrame([("d", 1, 0, 0.0, 5.0, 10.0, 11.0, "a"), ("d", 1, 1, 0.6, 20.0, 10.0, 12.0, "b"), ("d", 1, 2, 1.2, 1.0, 5.0, 9.0, "c"), ("d", 1, 3, 1.3, 99.0, 5.0, 9.0, "d"), ("d", 2, 4, 0.0, 1.0, 5.0, 9.0, "e")], "doc_id string, page int, ord int, top double, left double, width double, size double, text string")
+    images = spark.createDataFrame([("d", 1, 0, 1.25, 50.0, 200.0, 100.0, 900.0, 900.0, "i.png")], "doc_id string, page int, ord int, top double, left double, width double, height double, page_w double, page_h double, src string")
+    rows = sorted(pdf_model.visual_lines(runs, images).collect(), key=lambda r: r.idx)
+    assert [(r.idx, r.page, r.text, list(r.cells), r.img_src) for r in rows] == [(0, 1, "a  b", ["a", "b"], ""), (1, 1, "c", ["c"], ""), (2, 1, "", [], "i.png"), (3, 1, "d", ["d"], ""), (4, 2, "e", ["e"], "")]
+    assert (rows[0].top, rows[0].left, rows[0].size, list(rows[0].cols)) == (0.6, 5.0, 12.0, [5.0, 20.0])
+
+
+def test_tables_are_anchored_at_their_first_line(spark):
+    """First cells at 5, 8 and 11: the third is within reach of the second, not of the first, and begins anew."""
+    found = [(f"{k}", x, cells) for k, (x, cells) in enumerate([(5.0, 2), (8.0, 2), (11.0, 2), (12.0, 3), (0.0, 1), (12.0, 2), (40.0, 2)])]
+    rows = spark.createDataFrame([("d", int(k), 1, float(k), x, 11.0, "t", [x + 50 * c for c in range(n)], ["c"] * n, "") for k, x, n in found], pdf_model.LINES)
+    blocks = {r.idx: r.block for r in pdf_model.table_blocks(rows, ["doc_id"]).collect()}
+    assert blocks == {0: 0, 1: 0, 2: 2, 3: 2, 4: None, 5: None, 6: None}
