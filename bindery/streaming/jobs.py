@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from bindery.operators.jobs import TRANSITIONS, decoded
 
@@ -60,15 +59,74 @@ def stepped(state: tuple[str, str, int], event: str, error: str | None) -> tuple
     return to, (error or "") if event == "fail" else state[1], state[2] + 1
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """STATE rows of each job that an update of the stream (job_id, ts, seq, event, error_message) touches."""
+#: States that only a late event can still change.
+TERMINAL = ("completed", "failed", "canceled")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("pending", "", 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
-        for event, error in zip(rows["event"], rows["error_message"], strict=True):
-            now = stepped(tuple(now), event, error)
-        state.update(tuple(now))
-        yield pd.DataFrame({"job_id": [key[0]], "status": [now[0]], "error_message": [now[1]], "applied": [now[2]]})
 
-    return events.groupBy("job_id").applyInPandasWithState(update, STATE, "status string, error_message string, applied long", "update", GroupStateTimeout.NoTimeout)
+class JobProcessor(StatefulProcessor):
+    """A job's state is what the events up to the watermark make of it, and the events after it, in no order yet.
+
+    Each update folds the latter, sorted, on the former, so events may come in any order as long as none is later than the
+    watermark allows; those that are change nothing. A terminal job is forgotten `keep` after its last event.
+    """
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "status string, error string, applied long, last long")
+        self.open = handle.getListState("open", "ts long, seq long, event string, error string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000 or -(1 << 62)  # 0 stands for none yet
+        fresh = [(r["micros"], r["seq"], r["event"] or "", r["error_message"] or "") for r in rows if r["micros"] > mark]
+        now, waiting = self.folded(mark, fresh)
+        for _, _, event, error in waiting:
+            now = stepped(now, event, error)
+        self.remind(now[0], timerValues)
+        yield Row(job_id=key[0], status=now[0], error_message=now[1], applied=now[2])
+
+    def folded(self, mark: int, fresh: list[tuple]) -> tuple[tuple, list[tuple]]:
+        """The state with all events up to the mark in it, and the others in order."""
+        *now, last = self.settled.get() if self.settled.exists() else ("pending", "", 0, 0)
+        events = sorted([tuple(x) for x in self.open.get()] + fresh)
+        due = [e for e in events if e[0] <= mark]
+        for _, _, event, error in due:
+            now = stepped(tuple(now), event, error)
+        self.last = max([last, *(e[0] for e in events)])
+        self.settled.update((*now, self.last))
+        self.open.clear()
+        if len(due) < len(events):
+            self.open.put(events[len(due) :])
+        return tuple(now), events[len(due) :]  # sorted, so what is due comes first
+
+    def remind(self, status: str, timers: TimerValues) -> None:
+        for at in self.handle.listTimers():
+            self.handle.deleteTimer(at)
+        if status in TERMINAL:
+            self.handle.registerTimer(max(self.last // 1000 + self.keep_ms, timers.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.settled.clear()
+        self.open.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def job_states(events: DataFrame, delay: str = "1 hour", keep_seconds: int = 7 * 86400) -> DataFrame:
+    """STATE rows of each job that an update of the stream (job_id, ts, seq, event, error_message) touches: what the batch
+    fold makes of all events so far, in order of ts and seq.
+
+    Events may be late by `delay` against the latest one; later ones are left out. Terminal jobs are forgotten keep_seconds
+    (no less than the delay) after their last event, so the state holds the jobs at work and the latest ones; an event that
+    comes after that begins anew. Spark's own time to live runs by the clock, this by the events, so that a stream that is
+    read again ends alike.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    # a watermark begins at the epoch, and what isn't after it would be late from the start
+    timed = events.withColumn("at", F.greatest("ts", F.timestamp_millis(F.lit(1)))).withWatermark("at", delay).select("job_id", "at", F.unix_micros("ts").alias("micros"), F.col("seq").cast("long").alias("seq"), "event", "error_message")
+    return timed.groupBy("job_id").transformWithState(JobProcessor(keep_seconds * 1000), STATE, "Update", "EventTime")

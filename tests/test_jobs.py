@@ -107,3 +107,44 @@ def test_state_stream(spark, tmp_path):
 def test_decode(spark):
     rows = jobs.decoded(spark.createDataFrame([('{"job_id": "1"}',), ("nope",), ("{}",), (None,)], "value string")).collect()
     assert [r.dead for r in rows] == [False, True, True, True]
+
+
+def state_run(spark, tmp_path, keep=3600, delay="100 seconds"):
+    """Reads the files that are there, one in each micro-batch: the last row of each job so far, and the jobs in state."""
+    rows = []
+    stream = spark.readStream.schema("job_id string, seq long, event string, error_message string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = streams.job_states(stream, delay, keep).writeStream.outputMode("update").foreachBatch(lambda df, _: rows.extend(df.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return {r.job_id: (r.status, r.error_message, r.applied) for r in rows}, q.lastProgress["stateOperators"][0]
+
+
+def put_events(spark, tmp_path, name, rows):
+    (tmp_path / "in").mkdir(exist_ok=True)
+    lines = [json.dumps({"job_id": j, "seq": s, "event": e, "error_message": "boom", "ts": f"2024-01-01T{at // 3600:02d}:{at // 60 % 60:02d}:{at % 60:02d}Z"}) for j, s, e, at in rows]
+    (tmp_path / "in" / name).write_text("\n".join(lines))
+
+
+def test_late_events_end_as_the_batch_fold(spark, tmp_path):
+    """A job's events come in the wrong order, over several micro-batches: each update equals the fold of what is there."""
+    put_events(spark, tmp_path, "1.json", [("a", 3, "complete", 30), ("b", 1, "claim", 10), ("c", 2, "cancel", 95)])
+    put_events(spark, tmp_path, "2.json", [("a", 1, "claim", 10), ("b", 3, "fail", 50), ("c", 3, "complete", 96)])
+    put_events(spark, tmp_path, "3.json", [("a", 2, "cancel", 20), ("b", 2, "complete", 40), ("c", 1, "claim", 94), ("d", 1, "claim", 90)])
+    found, _ = state_run(spark, tmp_path)
+    batch = spark.read.schema("job_id string, seq long, event string, error_message string, ts timestamp").json(str(tmp_path / "in"))
+    assert found == {r.job_id: (r.status, r.error_message, r.applied) for r in jobs.fold_states(batch).collect()}
+    assert found == {"a": ("canceled", "", 2), "b": ("failed", "boom", 3), "c": ("canceled", "", 2), "d": ("processing", "", 1)}
+
+
+def test_state_of_ended_jobs_is_forgotten(spark, tmp_path):
+    """State rows shrink once jobs have been terminal for long; those at work stay; too late an event changes nothing."""
+    put_events(spark, tmp_path, "1.json", [(f"j{k}", 1, "claim", k) for k in range(40)])
+    put_events(spark, tmp_path, "2.json", [(f"j{k}", 2, "complete", 50 + k) for k in range(30)])
+    _, before = state_run(spark, tmp_path, keep=200)
+    put_events(spark, tmp_path, "3.json", [("late", 1, "claim", 5000)])
+    put_events(spark, tmp_path, "4.json", [("j35", 2, "complete", 60), ("late", 2, "complete", 5001)])
+    found, after = state_run(spark, tmp_path, keep=200)
+    assert "j35" not in found or found["j35"] == ("processing", "", 1)
+    assert found["late"] == ("completed", "", 2) and after["numRowsTotal"] < before["numRowsTotal"]
+    put_events(spark, tmp_path, "5.json", [("j36", 2, "fail", 5100), ("j0", 3, "claim", 5100)])
+    found, _ = state_run(spark, tmp_path, keep=200)
+    assert found["j36"] == ("failed", "boom", 2) and found["j0"] == ("processing", "", 1)  # j0 begins anew
