@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import cut, fold, sampled
 
-#: At most so many labelled rows are fitted, chosen by a hash of doc_id, and the model has so many word features at most,
-#: those that tell most: the model's size, as with any linear model. All else covers every row and every word.
+#: At most so many labelled rows are fitted, chosen by a hash of doc_id, so their words bound the model. All else covers
+#: every row and every word. A word feature is in the model if its count among marked documents is so many deviations high.
 FIT_ROWS = 40_000
-VOCABULARY, LEAST_Z, STEPS, RATE, SHRINK = 1024, 5.0, 300, 0.15, 5e-5
+LEAST_Z, STEPS, RATE, SHRINK = 4.0, 300, 0.15, 5e-5
 PREFIXES, CACHED = (3, 5, 7), 500_000
 FOLD = (3, 1)
 SCHEMA = "doc_id long, score double, n_sentences int, offending array<struct<start:int,end:int,score:double>>"
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[dict[bytes,
     rate = pos / n
     expected = (F.col("pos") + F.col("neg")) * rate
     words = word_counts(train).withColumn("z", (F.col("pos") - expected - 0.5) / F.sqrt(expected * (1 - rate) + 0.25)).filter(F.col("z") > LEAST_Z)
-    vocabulary = {bytes(r[0]): k for k, r in enumerate(words.orderBy(F.desc("z"), "word").limit(VOCABULARY).select("word").collect())}
+    vocabulary = {bytes(r[0]): k for k, r in enumerate(words.orderBy(F.desc("z"), "word").select("word").collect())}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[int, ...]] = {}
