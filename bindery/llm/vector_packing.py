@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.tokens import Encoder, default_path
 
-CAPACITY, SEGMENTS, LOSS, POOL = 2048, 512, 2048, 512
+CAPACITY, SEGMENTS, LOSS, POOL = 2048, 1024, 2048, 512
 #: Of instruction data, as many tokens of a sequence bear loss at most.
 ANSWERS = 1536
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, part long"
