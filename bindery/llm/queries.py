@@ -15,11 +15,11 @@ from bindery.llm.exact_dedup import exact_dedup
 from bindery.llm.jaccard_join import jaccard_components
 from bindery.llm.quality import quality_scores
 from bindery.llm.sharding import sharded
-from bindery.llm.spot_signatures import fingerprints
+from bindery.llm.spot_signatures import COMMON, fingerprints, matched
 from bindery.llm.substring_dedup import substring_dedup
 from bindery.llm.token_output import packed_ids
 from bindery.llm.toxicity import toxicity_scores
-from bindery.llm.vector_packing import pack
+from bindery.llm.vector_packing import pack, pack_conversations
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +80,18 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")))
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over conversations, where the limit on loss-bearing tokens binds."""
+    return pack_conversations(table(spark, sf_dir, "conversations"))
+
+
+def alike_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10's matching: all documents whose signature sets are alike."""
+    return matched(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op6_ngram_jaccard_join, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints, op11_importance_resampling, op12_sharding, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op6_ngram_jaccard_join, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints, op11_importance_resampling, op12_sharding, op13_hard_negatives, instruction_packing, alike_documents)}
 
 
 OP7_SQL = """
@@ -111,5 +121,38 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (d
 """
 
 
+COMMON_SQL = ", ".join(f"'{w}'" for w in sorted(set(COMMON)))
+ALIKE_SQL = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), word AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM doc
+), marked AS (
+  SELECT doc_id, i, word, common, common AND NOT bool_and(common) OVER (PARTITION BY doc_id) AS passed FROM (SELECT *, word IN ({COMMON_SQL}) AS common FROM word)
+), counted AS (
+  SELECT *, count(*) FILTER (NOT passed) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM marked
+), content AS (
+  SELECT doc_id, list(word ORDER BY i) AS c FROM marked WHERE NOT passed GROUP BY doc_id
+), anchored AS (
+  SELECT doc_id, word, before, common AND before < len(c) AS able, passed, c, bool_or(common AND before < len(c)) OVER (PARTITION BY doc_id) AS any_able FROM counted JOIN content USING (doc_id)
+), signature AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, concat_ws(chr(1), word, c[before + 1], c[before + 2]) AS s FROM anchored WHERE able
+    UNION ALL SELECT doc_id, concat_ws(chr(1), word, word, c[before + 1]) FROM anchored WHERE NOT any_able AND NOT passed
+    UNION ALL SELECT doc_id, chr(2) || text FROM doc WHERE len(w) = 0 AND text <> '')
+), size AS (
+  SELECT doc_id, count(*) AS n FROM signature GROUP BY doc_id
+), pair AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM signature x JOIN signature y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM pair JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * common >= 80 * (p.n + q.n - common)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+)
+SELECT doc_id, coalesce(n, 0) AS n_signatures, component_id, coalesce(n_links, 0) AS n_links FROM doc LEFT JOIN size USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": OP6_SQL, "op3_license_scan": licenses.oracle(), "op4_source_mixing": mixing.oracle(), "op7_exact_dedup": OP7_SQL, "op11_importance_resampling": importance_resampling.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
+    return {"alike_documents": ALIKE_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op3_license_scan": licenses.oracle(), "op4_source_mixing": mixing.oracle(), "op7_exact_dedup": OP7_SQL, "op11_importance_resampling": importance_resampling.oracle(), "op13_hard_negatives": hard_negatives.oracle()}

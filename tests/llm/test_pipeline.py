@@ -31,10 +31,10 @@ def test_stages(spark):
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
 
 
-@pytest.mark.parametrize("name", ["op3_license_scan", "op4_source_mixing", "op6_ngram_jaccard_join", "op7_exact_dedup"])
+@pytest.mark.parametrize("name", ["op3_license_scan", "op4_source_mixing", "op6_ngram_jaccard_join", "op7_exact_dedup", "op11_importance_resampling", "op13_hard_negatives", "alike_documents"])
 def test_queries_agree_with_their_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark", "embeddings"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     found = __spark_entry__.queries()[name](spark, DATA)
     sql = db.sql(__spark_entry__.oracle_sql()[name])
