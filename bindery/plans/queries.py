@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.functions import text as X
+from bindery.functions.frames import shared_dir
 from bindery.operators import assets, bundles, jobs, metrics, pdf_model, segments, validation
+from bindery.plans import commit
 from bindery.plans import convert as conversion
 from bindery.plans import derived as D
 from bindery.sources import html
+from bindery.streaming import jobs as streams
+from bindery.streaming import queue
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,6 +152,42 @@ def job_fold_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.fold_states(D.job_events(spark, sf_dir)).select("job_id", "error_message", "applied")
 
 
+FOLDED = f"""WITH {D.JOB_EVENTS}, folded AS (
+  SELECT job_id, list_reduce(list_prepend({{'event': 'pending', 'error': '', 'n': 0, 's': 'pending'}}, list({{'event': event, 'error': coalesce(error_message, ''), 'n': 0, 's': ''}} ORDER BY ts, seq)),
+    lambda a, b: CASE WHEN CASE {APPLIES.replace('a.event', 'a.s')} ELSE false END THEN {{'event': '', 'error': CASE WHEN b.event = 'fail' THEN b.error ELSE a.error END, 'n': a.n + 1, 's': CASE b.event {LEADS} END}} ELSE a END) AS s
+  FROM job_events GROUP BY job_id
+) SELECT job_id, s.s AS status, s.error AS error_message, CAST(s.n AS BIGINT) AS applied FROM folded"""
+
+
+@query(FOLDED)
+def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of four micro-batches in no order of time: the last row of each job equals the batch fold."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = D.job_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    for k in range(4):  # a file or more for each micro-batch, of rows that a hash picks
+        events.filter(F.pmod(F.xxhash64("seq"), F.lit(4)) == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{at}/out/{batch:04d}")
+
+    found = streams.job_states(stream, "36500 days")
+    found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", "true").schema(f"{streams.STATE}, batch int").parquet(f"{at}/out")
+    last = F.max_by(F.struct("status", "error_message", "applied"), "batch").alias("last")
+    return rows.groupBy("job_id").agg(last).select("job_id", "last.*")
+
+
+@query(f"WITH {D.JOBS} SELECT CAST(id AS BIGINT) AS n, user_id, format, attempt FROM jobs")
+def queue_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs to messages in a queue, delivered in three deliveries, one of them twice, and read back."""
+    at = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
+    sent = D.jobs(spark, sf_dir)
+    for k in (0, 1, 1, 2):
+        queue.deliver(jobs.messages(sent.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == k)), at, f"{k:010d}")
+    return jobs.decoded(spark.read.text(at)).filter("NOT dead").select(F.col("msg.job_id").cast("long").alias("n"), "msg.user_id", "msg.format", "msg.attempt")
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(source, '') AS user_id, 'originals/' || doc_id AS object_key, 'pending' AS status, '' AS error_message, 1 AS attempt, retry_of FROM documents, (SELECT CAST(NULL AS VARCHAR) AS retry_of)")
 def created_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id").cast("string")
@@ -444,6 +485,26 @@ def bundle_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle_files(spark, sf_dir).select("job_id", "path", F.md5("content").alias("digest"))
 
 
+@query(f"""WITH {D.FILES}, kept AS (SELECT * FROM files WHERE CAST(job_id AS BIGINT) % 5 <> 3)
+SELECT job_id, 'u' || CAST(job_id AS BIGINT) % 4 AS user_id, path, md5(content) AS digest, count(*) OVER (PARTITION BY job_id) AS files, CAST(sum(strlen(content)) OVER (PARTITION BY job_id) AS BIGINT) AS bytes FROM kept""")
+def committed_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chats' bundles as two runs commit them, the second of which does every third job again; one in five is canceled
+    after the files stand in staging. What is visible, beside its manifest.
+    """
+    at = f"{shared_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    files, n = D.chat_bundles(spark, sf_dir), F.col("job_id").cast("long")
+    owners, asked = files.select("job_id", F.concat(F.lit("u"), (n % 4).cast("string")).alias("user_id")).distinct(), []
+
+    def canceled() -> DataFrame:
+        asked.append(1)
+        return owners.filter((n % 5 == 3) & F.lit(len(asked) > 1)).select("job_id")
+
+    commit.commit(files, owners, at, "1", canceled)
+    commit.commit(files.filter((n % 3 == 0) & (n % 5 != 3)), owners, at, "2")
+    named = commit.manifests(spark, at).join(commit.damaged(spark, at), "job_id", "left_anti").select("job_id", "files", "bytes")
+    return commit.visible(spark, at).join(named, "job_id").select("job_id", "user_id", "path", F.md5("content").alias("digest"), "files", "bytes")
+
+
 # assets
 
 
