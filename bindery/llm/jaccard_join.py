@@ -11,9 +11,10 @@
 4. Search of the rest: a list of the nodes whose prefixes hold a shingle matters only where it has nodes of several
    components, and no link leaves a group of components that such lists connect. A group that fits a task is searched
    there. In larger ones, one node of each component of a list meets those of the others first. Where several components
-   remain, short lists are a task each; of long ones, blocks of the nodes outside the list's largest component meet blocks
-   of all, as a link between components has an end outside the largest one. So no link is lost, and what is sent grows
-   with the nodes, not with the pairs of a group.
+   remain, short lists are a task each. Long ones are parted by the next atoms that links share (an atom: shingles that
+   stand in the same sets), again and again as long as that sends fewer rows than blocks of the list that meet each other;
+   else blocks of the nodes outside the list's largest component meet blocks of all, as a link between components has an
+   end outside the largest one. So no link is lost.
 5. A search task holds the inverted lists of its sets. For a set, the longest lists are put aside, the others are merged on
    a heap that skips ids which can't reach the count, and the candidates are looked up in the long lists by binary search
    (DivideSkip). Sets that are known to be connected aren't verified.
@@ -55,6 +56,17 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def least_with(n: int, smallest: int, percent: int) -> int:
+    """The least overlap of a set of n with one that it links with, none of which is smaller than `smallest`."""
+    return -(-percent * (n + max(smallest, needed(n, percent))) // (100 + percent))
+
+
+def can_reach(percent: int) -> Column:
+    """Whether a node (n) of a list whose smallest set has `smallest` can still share enough: `reach` at most."""
+    partner = F.greatest(F.col("smallest"), F.ceil(F.col("n") * percent / 100))
+    return F.col("reach") * (100 + percent) >= percent * (F.col("n") + partner)
+
+
 def short48(h: np.ndarray) -> bytes:
     """The low 48 bits of each hash; the bucket stands for the others."""
     return np.ascontiguousarray(h.astype(U8)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -224,20 +236,28 @@ def blocks_of(percent: int):
     return gather
 
 
-COUNTED = "bucket int, block long, hashes binary, counts binary"
-FREQUENT = "block long, hashes binary, counts binary"
-ORDERED = "node long, n long, shingles long, least long, central long, prefix array<long>, hashes binary"
+#: marks: of the nodes that hold a shingle, all together a hash; shingles with the same count and mark stand in the same sets
+#: and are an atom. hashes and atoms (weights: shingles of each; orders: counts and marks) go by count and mark.
+COUNTED = "bucket int, block long, hashes binary, counts binary, marks binary"
+FREQUENT = "block long, hashes binary, counts binary, marks binary"
+ORDERED = "node long, n long, shingles long, least long, central long, prefix array<long>, reach array<long>, frequency array<long>, mark array<long>, hashes binary, weights binary, orders binary"
 
 
 def send_counts(buckets: int):
-    """For mapInArrow over BLOCKS: how many of a block's sets hold each shingle, dealt to buckets."""
+    """For mapInArrow over (block, nodes, counts, hashes): how many of a block's sets hold each shingle, and their mark, dealt
+    to buckets.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h, count = np.unique(long48(blob), return_counts=True)
+            for block, nodes, counts, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h, own = long48(blob), mix(np.repeat(np.frombuffer(nodes, U8), np.frombuffer(counts, I4)))
+                by = np.argsort(h, kind="stable")
+                h, own = h[by], own[by]
+                edges = runs_of(h)
+                h, count, mark = h[edges[:-1]], np.diff(edges), np.bitwise_xor.reduceat(own, edges[:-1])
                 to = (mix(h) % np.uint64(buckets)).astype(np.int64)
-                yield batch([(int(k), block, short48(h[to == k]), count[to == k].astype(I8).tobytes()) for k in np.unique(to)], COUNTED)
+                yield batch([(int(k), block, short48(h[to == k]), count[to == k].astype(I4).tobytes(), mark[to == k].tobytes()) for k in np.unique(to)], COUNTED)
 
     return send
 
@@ -247,41 +267,86 @@ def sum_counts(t: pa.Table) -> pa.Table:
     release()
     h = [long48(x) for x in t["hashes"].to_pylist()]
     kinds, place = np.unique(np.concatenate(h), return_inverse=True)
-    total = np.bincount(place, np.concatenate([np.frombuffer(x, I8) for x in t["counts"].to_pylist()]), len(kinds)).astype(I8)
+    total = np.bincount(place, np.concatenate([np.frombuffer(x, I4) for x in t["counts"].to_pylist()]), len(kinds)).astype(I4)
+    mark = np.zeros(len(kinds), U8)
+    np.bitwise_xor.at(mark, place, np.concatenate([np.frombuffer(x, U8) for x in t["marks"].to_pylist()]))
     rows, at = [], 0
     for block, own in zip(t["block"].to_pylist(), h, strict=True):
-        n = total[place[at : at + len(own)]]
-        at += len(own)
-        rows.append((block, short48(own[n > 1]), n[n > 1].tobytes()))
+        here = place[at : at + len(own)]
+        n, at = total[here], at + len(own)
+        rows.append((block, short48(own[n > 1]), n[n > 1].tobytes(), mark[here[n > 1]].tobytes()))
     return pa.Table.from_batches([batch(rows, FREQUENT)])
 
 
 def order_shingles(percent: int):
-    """For a block and its rows of FREQUENT: rows of ORDERED, with each set's prefix by (count, hash), its least mixed hash,
+    """For a block and its rows of FREQUENT: rows of ORDERED, with each set's prefix by (count, mark), its least mixed hash,
     and how often its shingles stand in all nodes' sets, a shingle on average.
     """
 
     def order(blocks: pa.Table, told: pa.Table) -> pa.Table:
         release()  # what the group before left
         h = np.concatenate([long48(x) for x in told["hashes"].to_pylist()] or [np.zeros(0, U8)])
-        n_sets = np.concatenate([np.frombuffer(x, I8) for x in told["counts"].to_pylist()] or [np.zeros(0, I8)])
+        n_sets = np.concatenate([np.frombuffer(x, I4) for x in told["counts"].to_pylist()] or [np.zeros(0, I4)]).astype(I8)
+        marks = np.concatenate([np.frombuffer(x, I8) for x in told["marks"].to_pylist()] or [np.zeros(0, I8)])
         by = np.argsort(h)
-        h, n_sets = h[by], n_sets[by]
+        h, n_sets, marks = h[by], n_sets[by], marks[by]
         rows: list[tuple] = []
         for r in blocks.to_pylist() if len(h) else ():
             own, ends = long48(r["hashes"]), np.cumsum(np.frombuffer(r["counts"], I4))
             for node, n, i, j in zip(np.frombuffer(r["nodes"], I8).tolist(), np.frombuffer(r["sizes"], I4).tolist(), np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
                 x = own[i:j]
                 at = np.minimum(np.searchsorted(h, x), len(h) - 1)
-                x, count = x[h[at] == x], n_sets[at[h[at] == x]]
+                x, at = x[h[at] == x], at[h[at] == x]
                 if len(x) >= (least := needed(n, percent)):
-                    prefix = x[np.lexsort((x, count))][: len(x) - least + 1]  # the shingles of no other set come before these
-                    rows.append((node, n, len(x), int(signed(mix(x)).min()), int(count.mean()), signed(prefix.astype(U8)).tolist(), short48(x)))
+                    by = np.lexsort((x, marks[at], n_sets[at]))
+                    x, count, mark = x[by], n_sets[at[by]], marks[at[by]]
+                    first = np.flatnonzero(np.append(True, (count[1:] != count[:-1]) | (mark[1:] != mark[:-1])))
+                    # the atoms after which less than `least` is left: what no other set shares comes before these
+                    prefix = first[len(x) - first >= least]
+                    weights, orders = np.diff(np.append(first, len(x))).astype(I4), np.append(count[first], mark[first])
+                    rows.append((node, n, len(x), int(signed(mix(x)).min()), int(count.mean()), signed(x[prefix].astype(U8)).tolist(), (len(x) - prefix).tolist(), count[prefix].tolist(), mark[prefix].tolist(), short48(x), weights.tobytes(), orders.astype(I8).tobytes()))
         return pa.Table.from_batches([batch(rows, ORDERED)])
 
     return order
 
 
+#: chain: atoms that the two nodes of a link share first, one after the other, as a hash; at: the place of the last one among
+#: the node's atoms; have: shingles of the chain's atoms; reach: those and all that may follow. An end stands for links that share nothing else.
+LONGER = "parent long, chain long, frequency long, mark long, node long, n long, component long, at int, have long, reach long, end int"
+
+
+def lengthen(percent: int):
+    """For mapInArrow over (chain, atom, node, component, at, have, n, smallest, hashes, weights, orders): rows of LONGER, for each atom
+    that may be the next one that the node shares in a link; atom is the first one of a chain that has no place yet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for r in b.to_pylist():
+                weights = np.frombuffer(r["weights"], I4).astype(np.int64)
+                firsts = np.cumsum(weights) - weights
+                at, have = r["at"], r["have"]
+                reps = signed(long48(r["hashes"])[firsts])
+                if at is None:
+                    at = int(np.flatnonzero(reps == r["atom"])[0])
+                    have = int(weights[at])
+                least, left = least_with(r["n"], r["smallest"], percent), int(weights.sum()) - firsts
+                if have >= least:
+                    rows.append((r["chain"], r["chain"], 0, 0, r["node"], r["n"], r["component"], at, have, have, 1))
+                options = np.flatnonzero((np.arange(len(weights)) > at) & (left >= least - have))
+                count, mark = np.frombuffer(r["orders"], I8).reshape(2, -1)
+                with np.errstate(over="ignore"):
+                    names = signed(mix(np.uint64(r["chain"] & (1 << 64) - 1) * np.uint64(31) + reps[options].view(U8)))
+                rows += [(r["chain"], name, int(count[k]), int(mark[k]), r["node"], r["n"], r["component"], k, have + int(weights[k]), have + int(left[k]), 0) for name, k in zip(names.tolist(), options.tolist(), strict=True)]
+                if len(rows) > 20_000:
+                    yield batch(rows, LONGER)
+                    rows = []
+            yield batch(rows, LONGER)
+
+    return run
+
+
 class Links:
     """The sets of a search task, their inverted lists, and which are connected so far."""
 
@@ -449,6 +514,10 @@ def others(blocks: str, own: str) -> Column:
     return F.explode(F.filter(F.sequence(F.lit(0), F.col(blocks) - 1), lambda k: k != F.col(own)))
 
 
+#: A node in a list; atom is the list's atom, shingle its name.
+POST = ["shingle", "atom", "frequency", "mark", "reach", "node", "n", "component", "central", "shingles"]
+
+
 def rough_links(ordered: DataFrame, nodes: int, percent: int) -> DataFrame:
     """a, b: links within groups of nodes that have the same least hash; each node is sent to one block, of large groups
     CENTRAL nodes to all.
@@ -463,14 +532,18 @@ def rough_links(ordered: DataFrame, nodes: int, percent: int) -> DataFrame:
     return dealt.select(*columns).unionByName(central.select(*columns)).groupBy("least", "block").applyInArrow(search(percent), "a long, b long")
 
 
-def contested(posts: DataFrame) -> DataFrame:
-    """posts (shingle, node, component, central, shingles) with all (the list's length) and low (its least component): those
-    whose shingle has nodes of several components; of lists that hold the same nodes, as 128 bits of their hashes tell, one.
+def same_nodes() -> list[Column]:
+    return [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in range(2)]
+
+
+def contested(posts: DataFrame, percent: int) -> DataFrame:
+    """posts (POST) with all (the list's length), low (its least component) and smallest (its smallest set's size): those whose shingle has nodes of several
+    components; of lists that hold the same nodes, as 128 bits of their hashes tell, the one that comes first by (frequency,
+    mark), as all their nodes share that atom too. Nodes that can't share enough with any of their list are left out.
     """
-    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in range(2)]
-    lists = posts.groupBy("shingle").agg(F.count("*").alias("all"), F.min("component").alias("low"), F.max("component").alias("high"), *same)
-    lists = cut(lists.filter("low < high").groupBy("all", "low", "same0", "same1").agg(F.min("shingle").alias("shingle")).select("shingle", "all", "low"))
-    return stored(meet(posts, lists, "shingle", "all", posts.count()).select("shingle", "all", "low", "node", "component", "central", "shingles"))
+    lists = posts.groupBy("shingle").agg(F.count("*").alias("all"), F.min("n").alias("smallest"), F.min("component").alias("low"), F.max("component").alias("high"), F.first(F.struct("frequency", "mark")).alias("order"), *same_nodes())
+    lists = cut(lists.filter("low < high").groupBy("all", "low", "same0", "same1").agg(F.min_by(F.struct("shingle", "smallest"), F.struct("order", "shingle")).alias("one")).select("one.*", "all", "low"))
+    return stored(meet(posts, lists, "shingle", "all", posts.count()).filter(can_reach(percent)).select(*POST, "all", "low", "smallest"))
 
 
 def grown(components_: DataFrame, links: DataFrame) -> DataFrame:
@@ -489,18 +562,18 @@ def remaining(ordered: DataFrame, rough: DataFrame, percent: int, by_length: boo
     No link leaves a group of components that contested lists connect. A group that fits a task is searched there, each
     node sent once; lists of larger groups are searched one by one.
     """
-    sets = ordered.select("node", "n", "hashes")
-    posts = ordered.select("node", "n", "central", "shingles", F.explode("prefix").alias("shingle"))
+    sets = ordered.select("node", "n", "hashes", "weights", "orders")
+    posts = ordered.select("node", "n", "central", "shingles", F.inline(F.arrays_zip("prefix", "reach", "frequency", "mark"))).withColumnRenamed("prefix", "atom").withColumn("shingle", F.col("atom"))
     if by_length:
         length = length_class(F.col("n"), percent)
         posts = posts.withColumn("length", F.explode(F.array(length, length + 1))).withColumn("shingle", F.xxhash64("length", "shingle"))
     posts = posts.join(rough, "node", "left")
-    posts = contested(stored(posts.select("shingle", "node", "central", "shingles", F.coalesce("root", "node").alias("component"))))
+    posts = contested(stored(posts.withColumn("component", F.coalesce("root", "node")).select(*POST)), percent)
     groups = components(posts.select(F.col("component").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("component"), F.col("root").alias("task"))
     nodes = stored(posts.select("node", "component", "shingles").distinct().join(groups, "component"))
     size = cut(nodes.groupBy("task").agg(F.count("*").alias("sets"), F.sum("shingles").alias("all_shingles")).withColumn("small", (F.col("all_shingles") <= 2 * HALF_SHINGLES) & (F.col("sets") <= 2 * HALF_SETS)))
     nodes = meet(nodes, size, "task", "sets", nodes.count())
-    links = nodes.filter("small").select("task", "node", "component").join(sets, "node").groupBy("task").applyInArrow(search(percent), "a long, b long")
+    links = nodes.filter("small").select("task", "node", "component").join(sets.drop("weights", "orders"), "node").groupBy("task").applyInArrow(search(percent), "a long, b long")
     if size.filter("NOT small").limit(1).count():
         large = nodes.filter("NOT small").select("node").distinct()
         links = links.unionByName(links_by_lists(stored(posts.join(large, "node", "left_semi")), sets, rough, percent))
@@ -511,26 +584,74 @@ def links_by_lists(posts: DataFrame, sets: DataFrame, rough: DataFrame, percent:
     """a, b: links that connect whatever links connect between components of contested lists.
 
     First the most central node of each component in a list meets those of the others; what is contested after that is
-    searched in full.
+    searched in full: short lists as they are, of longer ones the parts that further shared atoms make.
     """
+    plain = sets.drop("weights", "orders")
+    links = plain.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     best = cut(posts.groupBy("shingle", "component").agg(F.max(F.struct("central", "node"))["node"].alias("node")))
     lists = cut(best.groupBy("shingle").agg(F.count("*").alias("several"))).withColumn("blocks", F.ceil(F.col("several") / (2 * HALF_SETS)))
-    best = meet(best, lists, "shingle", "several", best.count()).withColumn("block", block_of("blocks"))
-    first = cut(best.join(sets, "node").groupBy("shingle", "block").applyInArrow(search(percent), "a long, b long"))
-    root = grown(rough, first).select(F.col("node").alias("component"), "root")
-    posts = contested(stored(posts.drop("all", "low").join(root, "component", "left").select("shingle", "node", "central", "shingles", F.coalesce("root", "component").alias("component"))))
+    if 2 * (n := best.count()) <= posts.count():  # else components are small, and this would be a search of nearly all
+        best = meet(best, lists, "shingle", "several", n).withColumn("block", block_of("blocks"))
+        links = cut(best.join(plain, "node").groupBy("shingle", "block").applyInArrow(search(percent), "a long, b long"))
+        root = grown(rough, links).select(F.col("node").alias("component"), "root")
+        posts = contested(stored(posts.drop("all", "low", "smallest").join(root, "component", "left").withColumn("component", F.coalesce("root", "component")).select(*POST)), percent)
     tasks = posts.filter(F.col("all") <= 2 * HALF_SETS).select("shingle", F.lit(0).alias("outer"), F.lit(0).alias("inner"), "node", "component")
-    long = posts.filter(F.col("all") > 2 * HALF_SETS)
-    if long.limit(1).count():
-        parts = long.groupBy("shingle", "all", "component").agg(F.count("*").alias("sets")).groupBy("shingle", "all")
-        parts = cut(parts.agg(F.max(F.struct("sets", "component")).alias("main")).select("shingle", "all", F.col("main.component").alias("main"), (F.col("all") - F.col("main.sets")).alias("outside")))
-        parts = parts.withColumn("inners", F.ceil(F.col("all") / HALF_SETS).cast("int")).withColumn("outers", F.ceil(F.col("outside") / HALF_SETS).cast("int"))
-        dealt = meet(long.drop("all"), parts, "shingle", "all", long.count())
-        every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-        as_inner = dealt.select("shingle", every("outers").alias("outer"), block_of("inners").alias("inner"), "node", "component")
-        as_outer = dealt.filter("component != main").select("shingle", block_of("outers", 1).alias("outer"), every("inners").alias("inner"), "node", "component")
-        tasks = tasks.unionByName(as_inner).unionByName(as_outer)
-    return first.unionByName(tasks.join(sets, "node").groupBy("shingle", "outer", "inner").applyInArrow(search(percent), "a long, b long"))
+    chains = posts.filter(F.col("all") > 2 * HALF_SETS).select(F.col("shingle").alias("chain"), "all", "smallest", "atom", "node", "component", F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("have"))
+    while chains.limit(1).count():
+        chains, more, ends = parted(chains, sets, percent)
+        tasks, links = tasks.unionByName(more), links.unionByName(ends)
+    return links.unionByName(tasks.join(plain, "node").groupBy("shingle", "outer", "inner").applyInArrow(search(percent), "a long, b long"))
+
+
+def sent(n: str) -> Column:
+    """Rows that a list of so many nodes sends to search tasks: a short one once, blocks of a longer one to each other."""
+    return F.when(F.col(n) <= 2 * HALF_SETS, F.col(n)).otherwise(F.col(n) * F.ceil(F.col(n) / HALF_SETS))
+
+
+def parted(chains: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For long lists, the nodes that hold a chain of atoms: the still long ones of their parts by the next atom that two nodes
+    of a link share; search tasks; and links.
+
+    A node is in a part for each atom that can be the next. Where all nodes of a list hold one, links share it or an earlier
+    one, so later ones are left out. Links that share nothing after the chain are told by the sizes: who links at all does so
+    with the smallest. A list whose parts would send more rows than its blocks is searched by blocks.
+    """
+    rows = chains.join(sets, "node").select("chain", "atom", "node", "component", "at", "have", "n", "smallest", "hashes", "weights", "orders")
+    longer = stored(rows.mapInArrow(lengthen(percent), LONGER))
+    sizes = cut(chains.groupBy("chain").agg(F.first("all").alias("whole")).withColumnRenamed("chain", "parent"))
+    parts = longer.filter("end = 0").groupBy("parent", "chain").agg(F.count("*").alias("all"), F.min("n").alias("smallest"), F.min("component").alias("low"), F.max("component").alias("high"), F.first(F.struct("frequency", "mark")).alias("order"), *same_nodes())
+    parts = parts.join(sizes, "parent")
+    everyone = cut(parts.filter(F.col("all") == F.col("whole")).groupBy("parent").agg(F.min("order").alias("last")))
+    parts = cut(parts.join(everyone, "parent", "left").filter(F.col("last").isNull() | (F.col("order") <= F.col("last"))).filter("low < high"))
+    costs = sizes.join(parts.groupBy("parent").agg(F.sum(sent("all")).alias("cost")), "parent", "left")
+    costs = cut(costs.withColumn("parts", F.coalesce("cost", F.lit(0)) < sent("whole")))
+    good = costs.filter("parts").select("parent")
+    parts = parts.join(good, "parent")
+    short = parts.filter(F.col("all") <= 2 * HALF_SETS).groupBy("all", "low", "same0", "same1").agg(F.min(F.struct("chain", "smallest")).alias("one")).select("one.*", "all")
+    kept = cut(short.unionByName(parts.filter(F.col("all") > 2 * HALF_SETS).select("chain", "smallest", "all")))
+    found = stored(meet(longer.filter("end = 0"), kept, "chain", "all", longer.count()).filter(can_reach(percent)))
+    tasks = found.filter(F.col("all") <= 2 * HALF_SETS).select(F.col("chain").alias("shingle"), F.lit(0).alias("outer"), F.lit(0).alias("inner"), "node", "component")
+    following = found.filter(F.col("all") > 2 * HALF_SETS).select("chain", "all", "smallest", F.lit(None).cast("long").alias("atom"), "node", "component", "at", "have")
+    ends = longer.filter("end = 1").join(good, "parent", "left_semi").join(everyone, "parent", "left_anti")
+    smallest = cut(ends.groupBy("parent").agg(F.min(F.struct("n", "node")).alias("least"), F.count("*").alias("members")).filter("members > 1"))
+    told = meet(ends, smallest, "parent", "members", longer.count()).filter((F.col("node") != F.col("least.node")) & (100 * F.col("have") >= percent * (F.col("n") + F.col("least.n") - F.col("have"))))
+    links = told.select(F.col("node").alias("a"), F.col("least.node").alias("b"))
+    return following, tasks.unionByName(by_blocks(chains.join(costs.filter("NOT parts").select(F.col("parent").alias("chain")), "chain", "left_semi"))), links
+
+
+def by_blocks(long: DataFrame) -> DataFrame:
+    """Search tasks (shingle, outer, inner, node, component) for lists (chain, all, node, component): blocks of the nodes
+    outside a list's largest component meet blocks of all.
+    """
+    long = stored(long.select(F.col("chain").alias("shingle"), "all", "node", "component"))
+    parts = long.groupBy("shingle", "all", "component").agg(F.count("*").alias("sets")).groupBy("shingle", "all")
+    parts = cut(parts.agg(F.max(F.struct("sets", "component")).alias("main")).select("shingle", "all", F.col("main.component").alias("main"), (F.col("all") - F.col("main.sets")).alias("outside")))
+    parts = parts.withColumn("inners", F.ceil(F.col("all") / HALF_SETS).cast("int")).withColumn("outers", F.ceil(F.col("outside") / HALF_SETS).cast("int"))
+    dealt = meet(long.drop("all"), parts, "shingle", "all", long.count())
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    as_inner = dealt.select("shingle", every("outers").alias("outer"), block_of("inners").alias("inner"), "node", "component")
+    as_outer = dealt.filter("component != main").select("shingle", block_of("outers", 1).alias("outer"), every("inners").alias("inner"), "node", "component")
+    return as_inner.unionByName(as_outer)
 
 
 def links_of_nodes(ordered: DataFrame, linked: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
@@ -581,7 +702,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, bucke
     shared = told.filter("kind = 1").select("owner", "ids", "sizes", "counts", "hashes")
     blocks = stored(shared.groupBy("owner").applyInArrow(blocks_of(percent), BLOCKS))
     total = blocks.agg(F.sum("shingles")).first()[0] or 0
-    counts = blocks.select("block", "hashes").mapInArrow(send_counts(max(1, -(-total // BLOCK))), COUNTED).groupBy("bucket").applyInArrow(sum_counts, FREQUENT)
+    counts = blocks.select("block", "nodes", "counts", "hashes").mapInArrow(send_counts(max(1, -(-total // BLOCK))), COUNTED).groupBy("bucket").applyInArrow(sum_counts, FREQUENT)
     ordered = stored(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(order_shingles(percent), ORDERED))
     linked = remaining(ordered, components(rough_links(ordered, ordered.count(), percent)), percent, by_length)
     classes = cut(documents.filter("n > 0").groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("copies")))

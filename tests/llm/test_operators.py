@@ -266,6 +266,50 @@ def test_jaccard_sends_rows_by_the_nodes(spark, monkeypatch):
     assert sent[0] <= 4 * 200 and sent[2] <= 5 * sent[0]
 
 
+def templates(n, seed, passages=20, variants=3, words=8):
+    """Texts of the same passages in one of some variants each: they share much, and hardly any two link."""
+    rng = random.Random(seed)
+    kinds = [[" ".join(f"p{k}v{v}w{w}" for w in range(words)) for v in range(variants)] for k in range(passages)]
+    return [" ".join(rng.choice(k) for k in kinds) for _ in range(n)]
+
+
+def test_texts_that_do_not_link_are_sent_by_their_number(spark, monkeypatch):
+    """What search tasks get grows with the texts, not with the pairs that share passages."""
+    monkeypatch.setattr(jaccard_join, "HALF_SETS", 16)
+    sent, task = [], jaccard_join.search
+    counter = spark.sparkContext.accumulator(0)
+
+    def counted(percent):
+        link = task(percent)
+
+        def run(t):
+            counter.add(t.num_rows)
+            return link(t)
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "search", counted)
+    for n in (400, 800, 1600):
+        before = counter.value
+        texts = templates(n, 4) + near_copies(templates(1, 5)[0], 3, 8, 1)
+        rows = jaccard_components(table(spark, texts), buckets=2, count=False).collect()
+        assert {r.doc_id: r.component_id for r in rows} == components_by_hand(texts, 4, 85)[0]
+        sent.append(counter.value - before)
+    assert sent[2] < 2.5**2 * sent[0] and sent[0] < 20 * 400, sent
+
+
+@pytest.mark.parametrize(("passages", "variants", "half_sets", "by_length"), [(6, 2, 4, False), (8, 2, 3, True), (30, 2, 4, False), (5, 4, 2, False), (40, 1, 2, False)])
+def test_long_lists_lose_no_link(spark, monkeypatch, passages, variants, half_sets, by_length):
+    """Texts of few variants, many of which link: lists are parted, ended or met in blocks, and components stay exact."""
+    monkeypatch.setattr(jaccard_join, "HALF_SETS", half_sets)
+    rng = random.Random(passages)
+    texts = templates(90, passages, passages, variants, 5)
+    texts += [f"{t} {' '.join(f'own{k}x{w}' for w in range(rng.randint(0, 30)))}" for k, t in enumerate(texts[:40])]
+    rows = jaccard_components(table(spark, texts), buckets=2, by_length=by_length, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in rows} == components_by_hand(texts, 4, 80)[0]
+    assert {r.doc_id: r.n_links for r in rows} == links_by_hand(texts, 4, 80)
+
+
 def test_shingles_of_the_same_sets_are_one_list():
     sets = [np.arange(1, 100, dtype=np.uint64), np.arange(1, 95, dtype=np.uint64), np.arange(1, 98, dtype=np.uint64)]
     links = Links([len(s) for s in sets], sets, 85)
