@@ -1,11 +1,15 @@
-"""A time limit for the work on one document inside a task."""
+"""Limits of time and memory for the work on one document inside a task."""
 
 from __future__ import annotations
 
 import signal
 import threading
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from zipfile import ZipFile
+
+from bindery.schema import MAX_INFLATED
 
 
 @contextmanager
@@ -27,3 +31,26 @@ def limited(seconds: float) -> Iterator[None]:
     finally:
         signal.setitimer(signal.ITIMER_REAL, 0)
         signal.signal(signal.SIGALRM, before)
+
+
+def inflated(data: bytes, most: int = MAX_INFLATED) -> bytes:
+    """What deflated data hold. More than `most` bytes are an error, and aren't made."""
+    stream = zlib.decompressobj()
+    out = stream.decompress(data, most)
+    if stream.unconsumed_tail:
+        raise ValueError(f"over {most} bytes when inflated")
+    return out
+
+
+def members(archive: ZipFile, most: int = MAX_INFLATED) -> dict[str, bytes]:
+    """The files of an archive by name. More than `most` bytes in all are an error, and aren't made."""
+    found, left = {}, most
+    for info in archive.infolist():
+        if not info.is_dir():
+            with archive.open(info) as f:
+                data = f.read(left + 1)
+            if len(data) > left:
+                raise ValueError(f"over {most} bytes when inflated")
+            found[info.filename] = data
+            left -= len(data)
+    return found

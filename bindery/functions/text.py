@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bindery.schema import FORMAT_ALIASES
 
 SOFT_HYPHEN, ZERO_WIDTH = "­", "​"
+# The patterns of references, images, links, numbered headings and emails.
 REMOTE = r"(?i)^(?:https?://|data:|//)"
 IMAGE = r"!\[([^\]]*)\]\(([^)\t\n\f\r ]+)([^)]*)\)"
 LINK_TARGET = r"\]\(([^)]+)\)"

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from bindery.functions.text import image_targets, is_remote_ref, rewrite_images, sanitize_asset_name
 
+#: Different contents of a document.
+MAX_ASSETS = 200
+
 
 def distinct_assets(assets: DataFrame) -> DataFrame:
     """Of (doc_id, ord, src, content) the first of each content within a document, with its sha1."""
@@ -15,6 +18,16 @@ def distinct_assets(assets: DataFrame) -> DataFrame:
     return keyed.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
 
 
+def capped_assets(assets: DataFrame, most: int = MAX_ASSETS) -> DataFrame:
+    """Of (doc_id, ord, src, content) those that come while a document has fewer than `most` different contents, in order of
+    ord, then src: a content that is there already takes no place of its own, but after the last one nothing is taken.
+    """
+    order = Window.partitionBy("doc_id").orderBy("ord", "src")
+    new = (F.row_number().over(Window.partitionBy("doc_id", F.sha1("content")).orderBy("ord", "src")) == 1).cast("int")
+    before = F.coalesce(F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return assets.withColumn("new_", new).withColumn("before_", before).filter(F.col("before_") < most).select(assets.columns)
+
+
 def named_assets(assets: DataFrame) -> DataFrame:
     """distinct_assets with name: the sanitised base name, and for all but its first holder the start of the path's sha1."""
     base = F.coalesce(F.nullif(sanitize_asset_name(F.regexp_extract("src", r"([^/]*)/*\z", 1)), F.lit("")), F.lit("asset"))

@@ -41,7 +41,8 @@ def convert(docs: DataFrame) -> Converted:
     of = lambda *kinds: docs.filter(F.col("format").isin(*kinds))
     plain = of("md").select("doc_id", text.alias("text"))
     plain = plain.unionByName(of("txt").select("doc_id", promote_headings(text).alias("text")))
-    plain = plain.unionByName(of("html").select("doc_id", html.html_to_markdown(text).alias("text")))
+    pages_ = settled(of("html").select("doc_id", html.converted(text).alias("page")))
+    plain = plain.unionByName(pages_.filter("page.error IS NULL").select("doc_id", F.col("page.markdown").alias("text")))
 
     parsed = settled(archives.parsed(docs))
     plain = plain.unionByName(parsed.filter("kind = 'text'").select("doc_id", F.col("body").alias("text")))
@@ -59,6 +60,7 @@ def convert(docs: DataFrame) -> Converted:
     media = media.unionByName(pdf.pictures(found).join(assets_.local_references(pages).select("doc_id", "src"), ["doc_id", "src"], "left_semi").select("doc_id", "ord", "src", "content"))
     unknown = docs.filter(F.col("format").isNull() | ~F.col("format").isin("md", "txt", "html", "docx", "epub", "pdf"))
     failed = parsed.filter("kind = 'error'").select("doc_id", "error").unionByName(found.filter("kind = 'error'").select("doc_id", "error"))
+    failed = failed.unionByName(pages_.filter("page.error IS NOT NULL").select("doc_id", F.col("page.error").alias("error")))
     failed = failed.unionByName(unknown.select("doc_id", F.format_string("unknown format: %s", F.coalesce("format", F.lit(""))).alias("error")))
     all_ = segments(plain).select(SEGMENT).unionByName(chapters).unionByName(pages.select(SEGMENT))
     return Converted(assets_.relink(all_, media).select(SEGMENT), media, failed)

@@ -525,6 +525,14 @@ def asset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.document_assets(spark, sf_dir).groupBy("doc_id").agg(F.count_distinct(F.sha1("content")).alias("assets"))
 
 
+@query("""WITH asset AS (SELECT lang AS doc_id, doc_id AS ord, 'img/' || doc_id AS src, row_number() OVER (PARTITION BY lang, coalesce(text, '') ORDER BY doc_id) = 1 AS new FROM documents),
+counted AS (SELECT *, coalesce(sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM asset) SELECT doc_id, ord, src FROM counted WHERE before < 200""")
+def capped_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language's documents as the assets of one: more than 200 are taken where some have the same content."""
+    found = D.table(spark, sf_dir, "documents").select(F.col("lang").alias("doc_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("img/"), F.col("doc_id").cast("string")).alias("src"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return assets.capped_assets(found).select("doc_id", "ord", "src")
+
+
 # validation
 
 CONCEPTS = "concepts AS (SELECT job_id, substr(path, 11) AS name, content FROM files WHERE path LIKE 'conceptos/%.md')"

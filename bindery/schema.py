@@ -29,5 +29,7 @@ FORMAT_ALIASES = {"md": "md", "markdown": "md", "txt": "txt", "text": "txt", "ht
 STATES = ("pending", "processing", "completed", "failed", "canceled")
 LEVELS = ("valid", "valid_with_warnings", "invalid")
 MAX_UPLOAD = 100 * 1024 * 1024
+#: Bytes that the parts of one document may have when they are inflated.
+MAX_INFLATED = 4 * MAX_UPLOAD
 #: Seconds that the reading of one document may take.
 DOCUMENT_SECONDS = 1800.0

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bindery.functions import guard
 from bindery.functions.guard import limited
 from bindery.schema import DOCUMENT_SECONDS
 from bindery.sources.html import to_markdown
@@ -27,7 +28,7 @@ CHAPTER, NAV_NAMES = "Capítulo %d", ("nav.xhtml", "nav.html", "toc.xhtml", "toc
 
 def members(content: bytes) -> dict[str, bytes]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        return {i.filename: z.read(i) for i in z.infolist() if not i.is_dir()}
+        return guard.members(z)
 
 
 def run_text(p: ElementTree.Element, rels: dict[str, str]) -> str:

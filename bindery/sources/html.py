@@ -8,6 +8,10 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from bindery.functions.guard import limited
+from bindery.schema import DOCUMENT_SECONDS
 
 SKIPPED = {"script", "style", "head", "template", "noscript", "iframe"}
 BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "aside", "nav", "figure", "figcaption", "form", "address", "dl", "dt", "dd", "fieldset", "table", "ul", "ol", "blockquote", "pre", "hr"}
@@ -167,14 +171,28 @@ def to_markdown(html: str | None) -> str:
     return "\n\n".join(out)
 
 
-def html_to_markdown(html: Column) -> Column:
-    @F.arrow_udf("string")
+def converted(html: Column, seconds: float = DOCUMENT_SECONDS) -> Column:
+    """struct<markdown, error>: a page as Markdown, or why it isn't: a page that takes longer than `seconds` doesn't stop others."""
+
+    @F.arrow_udf(T.StructType([T.StructField("markdown", T.StringType()), T.StructField("error", T.StringType())]))
     def convert(column: pa.Array) -> pa.Array:
-        return pa.array([to_markdown(x) for x in column.to_pylist()], pa.string())
+        out = []
+        for page in column.to_pylist():
+            try:
+                with limited(seconds):
+                    out.append({"markdown": to_markdown(page), "error": None})
+            except Exception as e:  # noqa: BLE001  any document may be damaged in any way
+                out.append({"markdown": None, "error": str(e) or type(e).__name__})
+        return pa.array(out, pa.struct([("markdown", pa.string()), ("error", pa.string())]))
 
     return convert(html)
 
 
+def html_to_markdown(html: Column) -> Column:
+    """A page as Markdown; null for one that can't be read."""
+    return converted(html)["markdown"]
+
+
 def page_title(html: Column) -> Column:
     """The text of the first h1, without tags."""
     return F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]*>", "")

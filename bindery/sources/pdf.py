@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.functions.guard import limited
+from bindery.functions.guard import inflated, limited
 from bindery.schema import DOCUMENT_SECONDS
 
 ITEMS = "doc_id string, kind string, page int, ord int, top double, left double, width double, height double, size double, text string, page_w double, page_h double, error string, content binary"
@@ -141,7 +141,7 @@ def stream_of(body: bytes) -> bytes:
     if m is None:
         return b""
     if b"FlateDecode" in body[: m.start()]:
-        return zlib.decompressobj().decompress(m[1])
+        return inflated(m[1])
     return m[1]
 
 
@@ -245,7 +245,7 @@ def picture_of(number_: int, body: bytes) -> Picture | None:
     if b"FlateDecode" not in head or not channels or (bits := re.search(rb"/BitsPerComponent\s+(\d+)", head)) is None or bits[1] != b"8":
         return None
     w, h = (int(re.search(rb"/" + k + rb"\s+(\d+)", head)[1]) for k in (b"Width", b"Height"))
-    data = zlib.decompressobj().decompress(raw)
+    data = inflated(raw)
     if not re.search(rb"/Predictor\s+1[0-5]\b", head):
         data = b"".join(b"\0" + data[i : i + w * channels] for i in range(0, w * h * channels, w * channels))
     if len(data) < h * (w * channels + 1):
