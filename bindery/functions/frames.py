@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: The tables that settled() has written and scratch() has not removed.
+SETTLED: list[str] = []
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once as a Parquet table in the shared folder, so that each of several uses reads the columns it needs."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that were settled within, at its end: what reads them has to be written by then."""
+    begin = len(SETTLED)
+    try:
+        yield
+    finally:
+        for path in SETTLED[begin:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del SETTLED[begin:]

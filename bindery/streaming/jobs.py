@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from bindery.functions.frames import scratch
 from bindery.operators.jobs import TRANSITIONS, decoded
 
 STATE = "job_id string, status string, error_message string, applied long"
@@ -32,7 +33,10 @@ def run_claims(messages: DataFrame, convert, claims_path: str, dead_path: str, c
     once = live.unionByName(known.filter("dead").withColumn("job_id", F.lit(None).cast("string")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        with scratch(batch.sparkSession):
+            written(batch.persist(), batch_id)
+
+    def written(batch: DataFrame, batch_id: int) -> None:
         try:
             done = convert(batch.filter("NOT dead").select("msg.*"))
             dead = batch.filter("dead").select("value")

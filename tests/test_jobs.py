@@ -3,9 +3,12 @@
 import itertools
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from bindery.functions import frames
 from bindery.operators import jobs, metrics
+from bindery.plans import commit
 from bindery.streaming import jobs as streams
 
 
@@ -148,3 +151,26 @@ def test_state_of_ended_jobs_is_forgotten(spark, tmp_path):
     put_events(spark, tmp_path, "5.json", [("j36", 2, "fail", 5100), ("j0", 3, "claim", 5100)])
     found, _ = state_run(spark, tmp_path, keep=200)
     assert found["j36"] == ("failed", "boom", 2) and found["j0"] == ("processing", "", 1)  # j0 begins anew
+
+
+def test_tables_of_a_batch_are_removed(spark, tmp_path):
+    """What a conversion settles is gone once its batch is written, also where the batch fails."""
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text(json.dumps({"job_id": "1", "user_id": "u", "format": "md", "object_key": "o", "attempt": 1}))
+    seen = []
+
+    def converted(df):
+        out = frames.settled(df)
+        seen.append(frames.SETTLED[-1])
+        return out
+
+    streams.run_claims(streams.message_stream(spark, str(source)), converted, str(tmp_path / "claims"), str(tmp_path / "dead"), str(tmp_path / "check")).awaitTermination()
+    assert [r.job_id for r in spark.read.parquet(str(tmp_path / "claims")).collect()] == ["1"]
+    gone = lambda path: not commit.exists(spark, path)
+    assert seen and all(map(gone, seen)) and not set(seen) & set(frames.SETTLED)
+    with pytest.raises(ValueError), frames.scratch(spark):
+        frames.settled(spark.range(3))
+        path = frames.SETTLED[-1]
+        raise ValueError
+    assert gone(path)
