@@ -112,8 +112,8 @@ def sharded(docs: DataFrame, shards: int = 40, links: DataFrame | None = None, r
     """One row per row of docs: doc_id, size (bytes of the text, and 16), text_crc32, law ('rows': shards differ by one row
     at most), shard, slot (from 0 in each shard, without gaps), grown_shard (null under this law).
 
-    links (doc_id, group) says which documents belong together: those of a group, of which a document may have several, go
-    to one shard where the quotas let them. Without it, documents of equal texts are linked. Null and empty texts are equal
+    links (doc_id, group) says which documents belong together: those of a group go to one shard where the quotas let them. A
+    document may have several groups; it follows those that draw it most, so chains of groups may break. Without it, documents of equal texts are linked. Null and empty texts are equal
     and have no bytes. Rows that repeat a doc_id, and rows without one, are rows of their own (without one, links don't reach
     them). With fewer rows than shards, the last shards are empty; an empty table gives no row. Other columns are ignored.
     """
