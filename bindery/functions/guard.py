@@ -33,9 +33,9 @@ def limited(seconds: float) -> Iterator[None]:
         signal.signal(signal.SIGALRM, before)
 
 
-def inflated(data: bytes, most: int = MAX_INFLATED) -> bytes:
-    """What deflated data hold. More than `most` bytes are an error, and aren't made."""
-    stream = zlib.decompressobj()
+def inflated(data: bytes, most: int = MAX_INFLATED, raw: bool = False) -> bytes:
+    """What deflated data hold, raw ones without a header. More than `most` bytes are an error, and aren't made."""
+    stream = zlib.decompressobj(-zlib.MAX_WBITS if raw else zlib.MAX_WBITS)
     out = stream.decompress(data, most)
     if stream.unconsumed_tail:
         raise ValueError(f"over {most} bytes when inflated")

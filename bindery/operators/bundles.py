@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,20 +82,8 @@ def export_file(files: DataFrame, job_id: str, path: str) -> DataFrame:
     return files.filter((F.col("job_id") == job_id) & (F.col("path") == path) & clean_path(F.lit(path)))
 
 
-def archive_entries(archives_: DataFrame) -> DataFrame:
-    """job_id, name, path, content of the members of archives (job_id, name, archive)."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for job_id, name, data in zip(b["job_id"], b["name"], b["archive"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    yield pd.DataFrame([(job_id, name, m, z.read(m)) for m in z.namelist()], columns=["job_id", "name", "path", "content"])
-
-    return archives_.select("job_id", "name", "archive").mapInPandas(read, "job_id string, name string, path string, content binary")
-
-
 def archives(files: DataFrame, jobs: DataFrame, product: str = PRODUCT) -> DataFrame:
-    """job_id, name, archive: a ZIP of each bundle (of the size of one upload at most, so it fits a task)."""
+    """job_id, name, archive: a ZIP of each bundle in one row. Where bundles may be large, `exports.archive_parts` gives it in parts."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()

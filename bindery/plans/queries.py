@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions import text as X
 from bindery.functions.frames import shared_dir
-from bindery.operators import assets, bundles, jobs, metrics, pdf_model, segments, validation
+from bindery.operators import assets, bundles, exports, jobs, metrics, pdf_model, segments, validation
 from bindery.plans import commit
 from bindery.plans import convert as conversion
 from bindery.plans import derived as D
@@ -423,8 +423,24 @@ def bundle_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {D.FILES} SELECT job_id, 'chat-' || job_id || '-bindery.zip' AS name, path, md5(content) AS digest FROM files")
 def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the bundles' archives hold, read from them again."""
-    return bundles.archive_entries(bundle_archives(spark, sf_dir)).select("job_id", "name", "path", F.md5("content").alias("digest"))
+    """What the bundles' archives hold, read from their parts again."""
+    files = D.chat_bundles(spark, sf_dir).withColumn("content", F.col("content").cast("binary"))
+    return exports.members_of(exports.archive_parts(files, chat_names(files))).select("job_id", "name", "path", F.md5("content").alias("digest"))
+
+
+@query(f"""WITH {D.FILES}, member AS (SELECT job_id, path, content, row_number() OVER (PARTITION BY job_id ORDER BY path) AS ord, 30 + strlen(path) + strlen(content) AS length FROM files)
+SELECT job_id, 'chat-' || job_id || '-bindery.zip' AS name, ord, path, CAST(coalesce(sum(length) OVER (PARTITION BY job_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at, length, md5(content) AS digest FROM member
+UNION ALL SELECT job_id, 'chat-' || job_id || '-bindery.zip', count(*) + 1, NULL, CAST(sum(length) AS BIGINT), CAST(sum(46 + strlen(path)) + 22 AS BIGINT), NULL FROM member GROUP BY job_id""")
+def archive_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each member, and the directory, stands in a bundle's archive of stored files, and what its bytes are."""
+    files = D.chat_bundles(spark, sf_dir).withColumn("content", F.col("content").cast("binary"))
+    parts = exports.archive_parts(files, chat_names(files), level=0)
+    body = F.md5(F.expr(f"substring(part, {exports.LOCAL_BYTES + 1} + octet_length(path))"))
+    return parts.select("job_id", "name", "ord", "path", "at", F.octet_length("part").cast("long").alias("length"), F.when(F.col("path").isNotNull(), body).alias("digest"))
+
+
+def chat_names(files: DataFrame) -> DataFrame:
+    return files.select("job_id").distinct().withColumn("original_name", F.concat(F.lit("chat-"), "job_id", F.lit(".md")))
 
 
 EDGES = ("antes\n\n# Uno\n````\n# no\n```\n# no\n````\n> ```\n> # no\n> ```\n", "#\ntexto ", "> Cita ", "\n> ===\n\n", "\nmás\n---\n\n~~~~\n## no\n~~~\n~~~~~\nfin")
@@ -460,8 +476,7 @@ def segment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bundle_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = D.chat_bundles(spark, sf_dir).withColumn("content", F.col("content").cast("binary"))
-    named = files.select("job_id").distinct().withColumn("original_name", F.concat(F.lit("chat-"), "job_id", F.lit(".md")))
-    return bundles.archives(files, named)
+    return bundles.archives(files, chat_names(files))
 
 
 @query()
