@@ -13,6 +13,7 @@ from bindery.llm import mixing
 from bindery.llm.common import LOWER, UPPER
 from bindery.llm.exact_dedup import exact_dedup
 from bindery.llm.jaccard_join import jaccard_components
+from bindery.llm.line_hashing import line_dedup
 from bindery.llm.quality import quality_scores
 from bindery.llm.sharding import sharded
 from bindery.llm.spot_signatures import COMMON, fingerprints, matched
@@ -80,6 +81,13 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")))
 
 
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 by lines alone: the words and spans that go, and a digest of what stays."""
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_removed", spans.alias("removed"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
 def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5 over conversations, where the limit on loss-bearing tokens binds."""
     return pack_conversations(table(spark, sf_dir, "conversations"))
@@ -91,7 +99,7 @@ def alike_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op6_ngram_jaccard_join, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints, op11_importance_resampling, op12_sharding, op13_hard_negatives, instruction_packing, alike_documents)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_packing, op6_ngram_jaccard_join, op7_exact_dedup, op8_toxicity, op9_token_output, op10_document_fingerprints, op11_importance_resampling, op12_sharding, op13_hard_negatives, repeated_lines, instruction_packing, alike_documents)}
 
 
 OP7_SQL = """
@@ -121,6 +129,21 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (d
 """
 
 
+LINES_SQL = rf"""
+WITH doc AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), line AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i, len(l) AS n FROM doc
+), worded AS (
+  SELECT doc_id, i, line || CASE WHEN i < n THEN chr(10) ELSE '' END AS line, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM line
+), ranked AS (
+  SELECT doc_id, i, line, len(w) AS words, len(w) >= 4 AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS later, CAST(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM worded
+)
+SELECT doc_id, CAST(coalesce(sum(words) FILTER (later), 0) AS BIGINT) AS n_removed, coalesce(string_agg((stop - length(line)) || '-' || stop, ',' ORDER BY i) FILTER (later), '') AS removed,
+       md5(string_agg(CASE WHEN later THEN '' ELSE line END, '' ORDER BY i)) AS text_md5 FROM ranked GROUP BY doc_id
+"""
+
+
 COMMON_SQL = ", ".join(f"'{w}'" for w in sorted(set(COMMON)))
 ALIKE_SQL = rf"""
 WITH RECURSIVE doc AS (
@@ -155,4 +178,4 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"alike_documents": ALIKE_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op3_license_scan": licenses.oracle(), "op4_source_mixing": mixing.oracle(), "op7_exact_dedup": OP7_SQL, "op11_importance_resampling": importance_resampling.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
+    return {"repeated_lines": LINES_SQL, "alike_documents": ALIKE_SQL, "op6_ngram_jaccard_join": OP6_SQL, "op3_license_scan": licenses.oracle(), "op4_source_mixing": mixing.oracle(), "op7_exact_dedup": OP7_SQL, "op11_importance_resampling": importance_resampling.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
