@@ -14,7 +14,7 @@ from bindery.operators import assets, bundles, exports, jobs, metrics, pdf_model
 from bindery.plans import commit
 from bindery.plans import convert as conversion
 from bindery.plans import derived as D
-from bindery.sources import html
+from bindery.sources import html, pdf
 from bindery.streaming import jobs as streams
 from bindery.streaming import queue
 
@@ -719,3 +719,99 @@ def published_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = conversion.publish(found)
     counted = out.files.groupBy("job_id").agg(F.count("*").alias("files"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
     return out.reports.select("job_id", "level").join(counted, "job_id", "left")
+
+
+# contents of PDF sections, as lines, tables and titles make them
+
+
+def contents_sql(rows: str, key: str) -> str:
+    """contents (doc_id, the key's columns, content): what rows (doc_id, page, idx, text, cols, cells, the key) give as Markdown."""
+    return f"""island AS (SELECT *, idx - row_number() OVER (PARTITION BY doc_id, page, {key}, cols[1] > 200 ORDER BY idx) AS island FROM {rows} WHERE len(cells) >= 2),
+blocked AS (SELECT *, min(idx) OVER same AS block, max(idx) OVER same AS last, count(*) OVER same AS table_lines FROM island WINDOW same AS (PARTITION BY doc_id, page, {key}, cols[1] > 200, island)),
+piece AS (SELECT r.*, CASE WHEN b.block IS NULL THEN r.text || chr(10) ELSE '| ' || array_to_string(r.cells, ' | ') || ' |' || chr(10) || CASE WHEN r.idx = block THEN '|' || repeat(' --- |', len(r.cells)) || chr(10) ELSE '' END || CASE WHEN r.idx = last THEN chr(10) ELSE '' END END AS piece
+  FROM {rows} r LEFT JOIN (SELECT doc_id, idx, block, last FROM blocked WHERE table_lines >= 2) b ON b.doc_id = r.doc_id AND b.idx = r.idx),
+contents AS (SELECT doc_id, {key}, trim(string_agg(piece, '' ORDER BY idx), chr(10)) AS content FROM piece GROUP BY doc_id, {key})"""
+
+
+def digested(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", F.col("ord").cast("int").alias("ord"), "title", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH {RUN_LINES}, chunked AS (SELECT *, (page - 1) // 2 AS c FROM placed), n AS (SELECT doc_id, max(page) AS pages FROM placed GROUP BY doc_id), {contents_sql("chunked", "c")}
+SELECT doc_id, CAST(c + 1 AS INTEGER) AS ord, 'Páginas ' || (c * 2 + 1) || '–' || least((c + 1) * 2, pages) AS title, md5(content) AS digest FROM contents JOIN n USING (doc_id)""")
+def pdf_page_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level 3 with its contents: lines, tables with their rule after the first row, two pages at a time."""
+    return digested(pdf_model.segments_by_pages(pdf_model.visual_lines(D.pdf_runs(spark, sf_dir)), 2))
+
+
+@query(f"""WITH {RUN_LINES}, page_line AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY idx) AS k, count(*) OVER (PARTITION BY doc_id, page) AS n FROM placed WHERE CAST(doc_id AS BIGINT) % 2 = 0),
+rest AS (SELECT * FROM page_line WHERE k > 1), {contents_sql("rest", "page").replace("PARTITION BY doc_id, page, page", "PARTITION BY doc_id, page")},
+head AS (SELECT doc_id, page, n, count(*) OVER (PARTITION BY doc_id) AS starts FROM page_line WHERE k = 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS INTEGER) AS ord, 'Parte ' || page AS title, md5(coalesce(content, '')) AS digest FROM head LEFT JOIN contents USING (doc_id, page) WHERE n > 1 OR starts = 1""")
+def pdf_bookmark_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level 1 with its contents: a start is no line of its section, and empty sections go unless a document has one start."""
+    lines = pdf_model.visual_lines(D.pdf_runs(spark, sf_dir))
+    return digested(pdf_model.segments_by_bookmarks(lines, page_marks(lines)))
+
+
+@query(f"""WITH {RUN_LINES}, body AS (SELECT doc_id, quantile_disc(size, 0.5 ORDER BY size DESC) AS body FROM placed WHERE size > 0 GROUP BY doc_id),
+marked AS (SELECT p.*, size >= greatest(body * 1.3, body + 6) OR size >= body + 1 AND regexp_matches(text, '^\\d+\\.') AS is_head FROM placed p JOIN body USING (doc_id)),
+cut AS (SELECT *, sum(is_head::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS section, sum(is_head::INT) OVER (PARTITION BY doc_id) AS starts FROM marked),
+rest AS (SELECT * FROM cut WHERE NOT is_head AND starts > 0), {contents_sql("rest", "section")},
+head AS (SELECT doc_id, section, starts, text AS title FROM cut WHERE is_head UNION ALL SELECT DISTINCT doc_id, 0, starts, '{pdf_model.INTRO}' FROM rest WHERE section = 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section) AS INTEGER) AS ord, title, md5(coalesce(content, '')) AS digest FROM head LEFT JOIN contents USING (doc_id, section) WHERE content <> '' OR section > 0 AND starts = 1""")
+def pdf_heading_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level 2 with its contents: an introduction where there is one, and sections at large lines."""
+    return digested(pdf_model.segments_by_size(pdf_model.visual_lines(D.pdf_runs(spark, sf_dir))))
+
+
+@query("""WITH line AS (SELECT l_orderkey AS o, CASE WHEN l_returnflag = 'N' THEN ' ' ELSE 'Línea ' || l_linenumber END AS title, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag <> 'N') AS k FROM lineitem),
+mark AS (SELECT DISTINCT o, 0 AS k, 1 AS depth, 'Pedido ' || o AS title FROM line UNION ALL SELECT o, k, 2, title FROM line UNION ALL SELECT o, k, 3, 'Envío ' || line FROM line)
+SELECT CAST(o // 50 AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY o // 50 ORDER BY o, k, depth) - 1 AS INTEGER) AS ord, depth, title, CAST(o % 50 + 1 AS INTEGER) AS page FROM mark WHERE trim(title) <> ''""")
+def bookmark_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of orders, their lines and these lines' shipments as rows, parents first; entries without a title go, not what is below them."""
+    page, line = (F.col("l_orderkey") % 50 + 1).cast("int").alias("page"), F.col("l_linenumber").cast("string")
+    below = F.array(F.struct(F.concat(F.lit("Envío "), line).alias("title"), page))
+    one = F.struct("l_linenumber", F.when(F.col("l_returnflag") == "N", " ").otherwise(F.concat(F.lit("Línea "), line)).alias("title"), page, below.alias("kids"))
+    orders = D.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("kids"))
+    top = F.struct("l_orderkey", F.concat(F.lit("Pedido "), F.col("l_orderkey").cast("string")).alias("title"), page, "kids")
+    docs = orders.groupBy(F.floor(F.col("l_orderkey") / 50).cast("string").alias("doc_id")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(top)).alias("bookmarks"))).alias("outline"))
+    return pdf.bookmarks(docs).select("doc_id", F.col("ord").cast("int").alias("ord"), "depth", "title", F.col("page").cast("int").alias("page"))
+
+
+# lines of text, content types, files of users
+
+
+@query(r"""SELECT doc_id, md5(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[ \t]+$', '')), chr(10))) AS digest FROM documents""")
+def cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the documents, to which blanks and spaces without width are added."""
+    line = lambda x: X.clean_line(F.concat(F.lit(X.ZERO_WIDTH), x, F.lit(f" {X.ZERO_WIDTH}\t{X.ZERO_WIDTH} ")))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line)
+    return D.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(lines, "\n").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {D.JOBS} SELECT id, {D.case('format', bundles.UPLOAD_TYPES)} AS content_type FROM jobs")
+def upload_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each upload is served as, by its name's extension in any case."""
+    name = F.concat("original_name", F.lit("."), F.when(F.col("id").cast("long") % 2 == 0, F.upper("format")).otherwise(F.col("format")))
+    return D.jobs(spark, sf_dir).select("id", bundles.content_type(name, bundles.UPLOAD_TYPES).alias("content_type"))
+
+
+@query(f"WITH {D.FILES} SELECT job_id, 'u' || CAST(job_id AS BIGINT) % 4 AS user_id, path, md5(content) AS digest FROM files WHERE CAST(job_id AS BIGINT) % 5 <> 3")
+def written_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chats' bundles as they stand in users' folders, without those that were canceled meanwhile."""
+    at, n = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}", F.col("job_id").cast("long")
+    files = D.chat_bundles(spark, sf_dir).withColumn("content", F.col("content").cast("binary"))
+    owners = files.select("job_id", F.concat(F.lit("u"), (n % 4).cast("string")).alias("user_id")).distinct()
+    conversion.write_bundles(files, at, owners, owners.filter(n % 5 == 3).select("job_id"))
+    return spark.read.parquet(at).select("job_id", "user_id", "path", F.md5("content").alias("digest"))
+
+
+@query(f"""WITH {D.DOC_ASSETS}, holder AS (SELECT doc_id, ord AS own, min(ord) OVER (PARTITION BY doc_id, sha1) AS ord FROM assets)
+SELECT doc_id, own AS ord, '![i](../assets/' || name || ') ![j](gone/' || own || '.png) ![k](https://example.com/' || own || '.png)' AS body FROM holder JOIN ({ORACLES["asset_names"]}) names USING (doc_id, ord)""".replace("/Foto ", "/Foto_"))
+def resolved_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to a document's own assets lead to their names; those to others and remote ones stay."""
+    media = D.document_assets(spark, sf_dir).withColumn("src", F.replace("src", F.lit(" "), F.lit("_")))  # a target has no blanks
+    n = F.col("ord").cast("string")
+    body = F.concat(F.lit("![i]("), "src", F.lit(") ![j](gone/"), n, F.lit(".png) ![k](https://example.com/"), n, F.lit(".png)"))
+    return assets.relink(media.select("doc_id", "ord", body.alias("body")), media).select("doc_id", "ord", "body")
