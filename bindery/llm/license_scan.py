@@ -70,7 +70,9 @@ def spans(voted: DataFrame) -> DataFrame:
     """
     doc = ["doc_id", "uid", "n_words"]
     template = [*doc, "template", "label", "base", "n_grams"]
-    diagonals = voted.repartition("doc_id", "uid").groupBy(*template, "diagonal").agg(F.collect_set("t").alias("hits"), F.count("*").alias("n_rows"))
+    # tasks sum equal votes first: however many rows repeat a document, or have no id and no text, few go to its task
+    summed = voted.groupBy(*template, "diagonal", "t").agg(F.count("*").alias("n"))
+    diagonals = summed.repartition("doc_id", "uid").groupBy(*template, "diagonal").agg(F.collect_set("t").alias("hits"), F.sum("n").alias("n_rows"))
     order = Window.partitionBy(*template).orderBy("diagonal")
     # a base phrase has a place for each diagonal: only others are merged
     apart = F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT), F.lit(True))
