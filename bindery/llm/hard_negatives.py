@@ -85,6 +85,16 @@ def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *(np.argmax(vectors[k : k + step] @ centres.T - half, 1) for k in range(0, len(vectors), step))])
 
 
+def packed_rows(width: int):
+    """For mapInArrow over (embedding): the vector in whole numbers, in as few bytes as it needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([narrow(row).tobytes() for row in whole_numbers(b.column(0), width)], pa.binary())], ["vector"])
+
+    return run
+
+
 def assigned(centres: np.ndarray, width: int):
     """For mapInArrow over (id, row, label, embedding): with list, distance and the vector in whole numbers."""
 
@@ -229,6 +239,13 @@ def scored(k: int, same: bool, width: int):
     return run
 
 
+def beside(a: DataFrame, b: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """a joined with b, neither of them broadcast: blocks and packs of rows that are alike shrink so much on disk that they
+    pass for small ones, and the driver would hold them whole.
+    """
+    return a.hint("merge").join(b.hint("merge"), key, how)
+
+
 def best(hits: DataFrame, k: int) -> DataFrame:
     """HITS with rank: the k best of each window."""
     order = Window.partitionBy("anchor", "window").orderBy(F.desc("score"), "id", "row")
@@ -243,13 +260,13 @@ def searched(anchors: DataFrame, blocks: DataFrame, directory: Directory, k: int
 
     def pass_(of: DataFrame, first: bool) -> DataFrame:
         packs = of.select("anchor", "label", "vector", "windows").mapInArrow(visits(directory, first, width), PACKS).withColumnRenamed("labels", "own")
-        return packs.join(at, "block").drop("block").mapInArrow(scored(k, same, width), HITS)
+        return beside(packs, at, "block").drop("block").mapInArrow(scored(k, same, width), HITS)
 
     none = lambda x: F.struct(x["window"].alias("window"), x["low"].alias("low"), x["high"].alias("high"), F.lit(LOWEST).alias("floor"))
     early = stored(best(pass_(anchors.withColumn("windows", F.transform("windows", none)), True), k))
     floors = early.filter(F.col("rank") == k).select("anchor", F.struct("window", "score").alias("one")).groupBy("anchor").agg(F.map_from_entries(F.collect_list("one")).alias("floors"))
     raised = lambda x: F.struct(x["window"].alias("window"), x["low"].alias("low"), x["high"].alias("high"), F.coalesce(F.try_element_at("floors", x["window"]), F.lit(LOWEST)).alias("floor"))
-    late = pass_(anchors.join(floors, "anchor", "left").withColumn("windows", F.transform("windows", raised)), False)
+    late = pass_(beside(anchors, floors, "anchor", "left").withColumn("windows", F.transform("windows", raised)), False)
     return stored(best(early.drop("rank").unionByName(late), k))
 
 
@@ -271,8 +288,9 @@ def hard_negatives(rows: DataFrame, anchor_every: int = 100, positives: int = 5,
     valid = valid.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~spoilt)
     n, width = valid.agg(F.count("*"), F.max(F.size("embedding"))).first()
     width = max(1, width or 1)
-    sample = sampled(valid, F.col("id"), n, FIT_VALUES // width).select("embedding").toArrow()["embedding"].combine_chunks()
-    centres = fitted(whole_numbers(sample, width), int(min(MOST_LISTS, len(sample), max(1, n // LIST_ROWS))))
+    drawn = sampled(valid, F.col("id"), n, FIT_VALUES // width).select("embedding").mapInArrow(packed_rows(width), "vector binary").toArrow()["vector"]
+    sample = np.concatenate([np.zeros((0, width), np.int16), *(matrix(v.as_py(), 1, width) for v in drawn)])
+    centres = fitted(sample, int(min(MOST_LISTS, len(sample), max(1, n // LIST_ROWS))))
     own = valid.mapInArrow(assigned(centres, width), "id long, row long, label long, list int, distance double, vector binary")
     block = max(BLOCK, n // MOST_BLOCKS)
     blocks = stored(own.repartitionByRange("list", "distance", "id").sortWithinPartitions("list", "distance", "id").mapInArrow(packed_blocks(block, width), BLOCKS).withColumn("block", F.monotonically_increasing_id()))
@@ -285,10 +303,10 @@ def hard_negatives(rows: DataFrame, anchor_every: int = 100, positives: int = 5,
     most = F.floor(F.col("score").cast("decimal(20, 0)") * most_percent / 100).cast("long")
     positive = F.struct(F.col("row").alias("window"), least.alias("low"), most.alias("high"))
     windows = near.groupBy("anchor").agg(F.collect_list(positive).alias("windows"))
-    hard = searched(anchors.join(windows, "anchor"), blocks, directory, negatives, False, width)
+    hard = searched(beside(anchors, windows, "anchor"), blocks, directory, negatives, False, width)
     pairs = near.select("anchor", F.col("row").alias("window"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-    out = hard.select("anchor", "window", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).join(pairs, ["anchor", "window"])
-    return out.join(anchors.select("anchor", F.col("id").alias("anchor_id")), "anchor").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    out = beside(hard.select("anchor", "window", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), F.col("score").alias("negative_score")), pairs, ["anchor", "window"])
+    return beside(out, anchors.select("anchor", F.col("id").alias("anchor_id")), "anchor").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
 def anchors_of(every: int, width: int):

@@ -147,3 +147,12 @@ def test_blocks_beyond_the_floor_are_not_visited(spark):
     assert visited(-5000, 5000, -5000, first=True) == [7]
     assert visited(-5000, 5000, 5) == [8] and visited(-5000, 5000, 50) == [] and visited(-5000, 5000, -5000) == [8, 9]
     assert visited(-20, 20, -5000, first=True, n=3) == [8]
+
+
+def test_mining_broadcasts_no_tables(spark, monkeypatch):
+    """Blocks of equal vectors take little room on disk, but not in the driver that would broadcast them."""
+    joined, real = [], mining.beside
+    monkeypatch.setattr(mining, "beside", lambda *x: joined.append(out := real(*x)) or out)
+    hard_negatives(vectors(spark, [(k, [0.5, 0.25], k % 2) for k in range(1, 600)]))
+    plans = [j._jdf.queryExecution().executedPlan().toString() for j in joined]
+    assert len(plans) >= 6 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
