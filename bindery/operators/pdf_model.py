@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.functions.frames import settled
-from bindery.functions.text import NUMBERED, clean_line, clean_title, collapse_hyphens, normalize_text, trim_space
+from bindery.functions.text import NUMBERED, SOFT_HYPHEN, clean_line, clean_title, collapse_hyphens, collapse_space, normalize_text, trim_space
 
 MIN_SIDE, MAX_COVER, MAX_IMAGES = 32.0, 0.95, 200
 SAME_LINE, SAME_COLUMN, MAX_SPACES = 1.0, 4.0, 4
@@ -96,14 +96,17 @@ def body_size(lines: DataFrame) -> DataFrame:
     return lines.filter("size > 0").groupBy("doc_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY size DESC)").alias("body"))
 
 
-def headings(lines: DataFrame) -> DataFrame:
-    """doc_id, idx, page, title of lines that are large, or numbered and a little larger than the body."""
+def headings(lines: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, idx, page, title of lines that are large, or numbered and a little larger than the body. Those of over
+    TITLE_BYTES are none, and titles are cut as clean_title() does; if whole, neither holds.
+    """
     text = trim_space(F.col("text"))
     big = F.col("size") >= F.greatest(F.col("body") * 1.3, F.col("body") + 6)
     numbered = (F.col("size") >= F.col("body") + 1) & text.rlike(NUMBERED)
-    fits = (text != "") & (big | numbered) & (F.octet_length(text) <= TITLE_BYTES) & text.rlike(r"\p{L}")
+    fits = (text != "") & (big | numbered) & ((F.octet_length(text) <= TITLE_BYTES) | F.lit(whole)) & text.rlike(r"\p{L}")
     body = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN size > 0 THEN size END DESC) OVER (PARTITION BY doc_id)")
-    return lines.withColumn("body", body).filter(fits).select("doc_id", "idx", "page", clean_title(text).alias("title"))
+    title = collapse_space(F.replace(text, F.lit(SOFT_HYPHEN), F.lit(""))) if whole else clean_title(text)
+    return lines.withColumn("body", body).filter(fits).select("doc_id", "idx", "page", title.alias("title"))
 
 
 def sections(lines: DataFrame, starts: DataFrame) -> DataFrame:
@@ -162,9 +165,9 @@ def cut_at(lines: DataFrame, starts: DataFrame, keep_empty_intro: bool = False)
     return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("section")).alias("ord"), "title", "content")
 
 
-def segments_by_size(lines: DataFrame) -> DataFrame:
+def segments_by_size(lines: DataFrame, whole_titles: bool = False) -> DataFrame:
     """Level 2: cut at the headings that font sizes show. Documents without any give no row."""
-    found = headings(lines)
+    found = headings(lines, whole_titles)
     return cut_at(lines.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), found)
 
 

@@ -193,6 +193,14 @@ def test_segments_by_size(spark):
     assert [(r.title, r.content) for r in rows] == [("Introducción", "portada"), ("1. Primera parte", "palabra\n| a | b |\n| --- | --- |\n| c | d |"), ("Gran", "![imagen](i.png)\n\nfin")]
 
 
+def test_titles_are_whole_where_asked_for(spark):
+    """Lines of 103 and 132 bytes: the first one's title is cut by default, the second is no heading then."""
+    found = lines(spark, [row("x"), row("1. " + "a" * 100, 20.0), row("y"), row("2. " + "b" * 129, 20.0), row("z")])
+    titles = lambda whole: [r.title for r in pdf_model.segments_by_size(found, whole).orderBy("ord").collect()]
+    assert titles(False) == ["Introducción", "1. " + "a" * 97]
+    assert titles(True) == ["Introducción", "1. " + "a" * 100, "2. " + "b" * 129]
+
+
 def test_cascade(spark):
     found = lines(spark, [row("x"), row("Uno"), row("a"), row("Dos", page=2), row("b", page=2), row("c", page=12)])
     marks = spark.createDataFrame([("d", 0, 1, "UNO", 1), ("d", 1, 1, "uno", 1), ("d", 2, 2, "Dos", 2), ("d", 3, 1, "Lejos", 40)], "doc_id string, ord int, depth int, title string, page int")
