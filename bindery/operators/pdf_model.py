@@ -110,11 +110,42 @@ def headings(lines: DataFrame, whole: bool = False) -> DataFrame:
 
 
 def sections(lines: DataFrame, starts: DataFrame) -> DataFrame:
-    """lines with section (0 before the first start) and title; starts: doc_id, idx, title. Starts are no body lines."""
-    marked = lines.join(starts.select("doc_id", "idx", "title"), ["doc_id", "idx"], "left")
-    so_far = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = marked.withColumn("section", F.sum(F.col("title").isNotNull().cast("int")).over(so_far))
-    return out.withColumn("is_start", F.col("title").isNotNull()).withColumn("title", F.coalesce(F.last("title", True).over(so_far), F.lit(INTRO)))
+    """lines with section (0 before the first start), title, is_start and n_starts; starts: doc_id, idx, title. Documents
+    without a start give no line. A start stands before its line, so that one order by document shows both.
+    """
+    rows = lines.withColumn("title", F.lit(None).cast("string")).withColumn("kind_", F.lit(1))
+    rows = rows.unionByName(starts.select("doc_id", "idx", "title", F.lit(0).alias("kind_")), allowMissingColumns=True)
+    in_order, by_line = Window.partitionBy("doc_id").orderBy("idx", "kind_"), Window.partitionBy("doc_id").orderBy("idx")
+    begins_ = F.lag(F.when(F.col("kind_") == 0, F.struct("idx", "title"))).over(in_order)
+    found = rows.withColumn("start_", begins_).filter("kind_ = 1").withColumn("is_start", F.coalesce(F.col("start_.idx") == F.col("idx"), F.lit(False)))
+    so_far, whole = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow), by_line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    one = F.col("is_start").cast("int")
+    out = found.withColumn("section", F.sum(one).over(so_far)).withColumn("title", F.coalesce(F.last(F.when(F.col("is_start"), F.col("start_.title")), True).over(so_far), F.lit(INTRO)))
+    return out.withColumn("n_starts", F.sum(one).over(whole)).filter("n_starts > 0").drop("start_", "kind_")
+
+
+def tabled(lines: DataFrame, group: list[str], able: Column) -> DataFrame:
+    """lines with block and last_: as table_blocks() has it, and whether a line is its table's last one. Only lines that are
+    able are in tables. What is dealt by document stays so: an island's keys aren't taken apart and put together again.
+    """
+    columns = lines.columns
+    own = [c for c in dict.fromkeys(["doc_id", "page", *group])]
+    in_order = Window.partitionBy("doc_id").orderBy("idx")
+    marked = lines.withColumn("able_", able)
+    same = F.struct(*own, "able_")
+    marked = marked.withColumn("cut_", F.coalesce(~F.lag(same).over(in_order).eqNullSafe(same), F.lit(True)).cast("int"))
+    marked = marked.withColumn("island_", F.sum("cut_").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = marked.groupBy(*own, "able_", "island_").agg(F.sort_array(F.collect_list(F.struct("idx", *[c for c in columns if c != "idx" and c not in own]))).alias("lines_"))
+    begin = begins(F.col("lines_"), lambda x: F.when(F.col("able_"), F.get(x["cols"], F.lit(0))), lambda far: far <= SAME_COLUMN)
+
+    def table(t: Column) -> Column:
+        block = F.when(F.size(t) >= 2, F.get(t, F.lit(0))["idx"]).cast("int")
+        return F.transform(t, lambda x, k: F.struct(x.alias("line"), block.alias("block"), (k == F.size(t) - 1).alias("last_")))
+
+    rows = F.flatten(F.transform(groups(F.col("lines_"), F.col("begin_")), table))
+    placed = parts.withColumn("begin_", begin).select(*own, F.explode(rows).alias("row_"))
+    of = [c if c in own else F.col(f"row_.line.{c}") for c in columns]
+    return placed.select(*of, "row_.block", "row_.last_")
 
 
 def table_blocks(lines: DataFrame, group: list[str]) -> DataFrame:
@@ -123,52 +154,44 @@ def table_blocks(lines: DataFrame, group: list[str]) -> DataFrame:
     A table: two adjacent lines or more of a page with two cells or more, whose first cell is within SAME_COLUMN of the
     first line's; a table ends with its group. Adjacent lines with cells are an island; an island is folded into tables.
     """
-    in_order, columns = Window.partitionBy("doc_id").orderBy("idx"), lines.columns
-    able = F.size("cells") >= 2
-    own = [c for c in dict.fromkeys(["doc_id", "page", *group])]
-    marked = lines.repartition("doc_id").withColumn("able_", able).withColumn("n_", F.row_number().over(in_order))
-    island = F.col("n_") - F.row_number().over(Window.partitionBy(*own, "able_").orderBy("idx"))
-    parts = marked.withColumn("island_", island).groupBy(*own, "able_", "island_").agg(F.sort_array(F.collect_list(F.struct("idx", *[c for c in columns if c != "idx"]))).alias("lines_"))
-    begin = begins(F.col("lines_"), lambda x: F.when(F.size(x["cells"]) >= 2, F.get(x["cols"], F.lit(0))), lambda far: far <= SAME_COLUMN)
-    tables = parts.withColumn("begin_", begin).select(F.explode(groups(F.col("lines_"), F.col("begin_"))).alias("table_"))
-    block = F.when(F.size("table_") >= 2, F.get("table_", F.lit(0))["idx"])
-    return tables.select(block.cast("int").alias("block"), F.explode("table_").alias("line_")).select("line_.*", "block").select(*columns, "block")
-
-
-def rendered(lines: DataFrame, group: list[str]) -> DataFrame:
-    """group, content: a section's lines as Markdown, with its images and tables."""
-    rows = table_blocks(lines, group)
+    return tabled(lines, group, F.size("cells") >= 2).drop("last_")
+
+
+def rendered(lines: DataFrame, group: list[str], hidden: Column | None = None) -> DataFrame:
+    """group, content: a section's lines as Markdown, with its images and tables. Hidden lines, which aren't to stand between
+    others of their group, give nothing, but for the group's row.
+    """
+    hidden = F.lit(False) if hidden is None else hidden
+    rows = tabled(lines, group, (F.size("cells") >= 2) & ~hidden)
     row = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda c: trim_space(clean_line(c))), " | "), F.lit(" |\n"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size("cells")), F.lit("\n"))
-    after = F.lead("block").over(Window.partitionBy(*group).orderBy("idx"))
-    first, last = F.col("block") == F.col("idx"), F.coalesce(F.col("after") != F.col("block"), F.lit(True))
+    first = F.col("block") == F.col("idx")
     text = clean_line(F.col("text"))
     piece = (
-        F.when(F.col("img_src") != "", F.format_string(IMAGE, "img_src"))
-        .when(F.col("block").isNotNull(), F.concat(row, F.when(first, rule).otherwise(""), F.when(last, "\n").otherwise("")))
+        F.when(hidden, "")
+        .when(F.col("img_src") != "", F.format_string(IMAGE, "img_src"))
+        .when(F.col("block").isNotNull(), F.concat(row, F.when(first, rule).otherwise(""), F.when(F.col("last_"), "\n").otherwise("")))
         .when(text != "", F.concat(text, F.lit("\n")))
         .otherwise("")
     )
     pieces = F.sort_array(F.collect_list(F.struct("idx", "piece")))
     joined = F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
-    return rows.withColumn("after", after).withColumn("piece", piece).groupBy(*group).agg(trim_space(collapse_hyphens(joined)).alias("content"))
+    return rows.withColumn("piece", piece).groupBy(*group).agg(trim_space(collapse_hyphens(joined)).alias("content"))
 
 
 def cut_at(lines: DataFrame, starts: DataFrame, keep_empty_intro: bool = False) -> DataFrame:
-    """doc_id, ord, title, content of the sections that starts cut; empty ones are left out unless a document has one start."""
-    placed = sections(lines, starts)
-    content = rendered(placed.filter("NOT is_start").drop("is_start"), ["doc_id", "section", "title"])
-    heads = placed.groupBy("doc_id", "section", "title").agg(F.min("idx").alias("at"))
-    n = starts.groupBy("doc_id").agg(F.count("*").alias("n_starts"))
-    all_ = heads.join(content, ["doc_id", "section", "title"], "left").join(n, "doc_id", "left").withColumn("content", F.coalesce("content", F.lit("")))
+    """doc_id, ord, title, content of the sections that starts cut; empty ones are left out unless a document has one start.
+    Documents without a start give no row.
+    """
+    all_ = rendered(sections(lines, starts), ["doc_id", "section", "title", "n_starts"], F.col("is_start"))
     kept = all_.filter((F.col("content") != "") | (F.col("section") > 0) & (F.col("n_starts") == 1) | ((F.col("section") == 0) & F.lit(keep_empty_intro)))
     return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("section")).alias("ord"), "title", "content")
 
 
 def segments_by_size(lines: DataFrame, whole_titles: bool = False) -> DataFrame:
     """Level 2: cut at the headings that font sizes show. Documents without any give no row."""
-    found = headings(lines, whole_titles)
-    return cut_at(lines.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), found)
+    lines = settled(lines)
+    return cut_at(lines, headings(lines, whole_titles))
 
 
 def distinct_bookmarks(bookmarks: DataFrame) -> DataFrame:
@@ -183,11 +206,10 @@ def bookmark_starts(lines: DataFrame, bookmarks: DataFrame) -> DataFrame:
 
     Starts are made to increase; those beyond the document's last line are clamped to it, and of equal ones the first stays.
     """
-    target = F.col("norm")
-    text = normalize_text(F.col("text"))
+    target, text = F.col("norm"), F.col("own")
     near = text.startswith(target) | (target.startswith(text) & (text != "") & (F.octet_length(target) - F.octet_length(text) < 30))
     marks = distinct_bookmarks(bookmarks)
-    at = marks.join(lines.select("doc_id", "page", "idx", "text"), ["doc_id", "page"], "left").groupBy("doc_id", "ord", "title").agg(F.coalesce(F.min(F.when(near, F.col("idx"))), F.min("idx"), F.lit(0)).alias("idx"))
+    at = marks.join(lines.select("doc_id", "page", "idx", normalize_text(F.col("text")).alias("own")), ["doc_id", "page"], "left").groupBy("doc_id", "ord", "title").agg(F.coalesce(F.min(F.when(near, F.col("idx"))), F.min("idx"), F.lit(0)).alias("idx"))
     last = lines.groupBy("doc_id").agg(F.max("idx").alias("last"))
     order = Window.partitionBy("doc_id").orderBy("ord")
     n = F.row_number().over(order)
@@ -199,8 +221,8 @@ def bookmark_starts(lines: DataFrame, bookmarks: DataFrame) -> DataFrame:
 
 def segments_by_bookmarks(lines: DataFrame, bookmarks: DataFrame) -> DataFrame:
     """Level 1: cut at the outline's bookmarks. Documents without any give no row."""
-    starts = bookmark_starts(lines, bookmarks)
-    return cut_at(lines.join(starts.select("doc_id").distinct(), "doc_id", "left_semi"), starts, keep_empty_intro=True)
+    lines = settled(lines)
+    return cut_at(lines, bookmark_starts(lines, bookmarks), keep_empty_intro=True)
 
 
 def page_chunk(page: Column, size: int = CHUNK_PAGES) -> Column:
@@ -214,8 +236,9 @@ def chunk_title(chunk: Column, pages: Column, size: int = CHUNK_PAGES) -> Column
 
 def segments_by_pages(lines: DataFrame, size: int = CHUNK_PAGES) -> DataFrame:
     """Level 3: a segment for every `size` pages."""
-    pages = lines.groupBy("doc_id").agg(F.max("page").alias("pages"))
-    chunked = lines.withColumn("section", page_chunk(F.col("page"), size)).join(pages, "doc_id").withColumn("title", chunk_title(F.col("section"), F.col("pages"), size)).drop("pages")
+    whole = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    paged = lines.withColumn("section", page_chunk(F.col("page"), size)).withColumn("pages", F.max("page").over(whole))
+    chunked = paged.withColumn("title", chunk_title(F.col("section"), F.col("pages"), size)).drop("pages")
     content = rendered(chunked, ["doc_id", "section", "title"])
     return content.select("doc_id", (F.col("section") + 1).cast("int").alias("ord"), "title", "content")
 
@@ -223,8 +246,8 @@ def segments_by_pages(lines: DataFrame, size: int = CHUNK_PAGES) -> DataFrame:
 def segments(lines: DataFrame, bookmarks: DataFrame, size: int = CHUNK_PAGES) -> DataFrame:
     """The first level that gives a document segments, of bookmarks, sizes and pages; later ones see only the others."""
     lines = settled(lines)
-    one = settled(segments_by_bookmarks(lines, bookmarks))
+    one = settled(cut_at(lines, bookmark_starts(lines, bookmarks), keep_empty_intro=True))
     rest = lines.join(one.select("doc_id").distinct(), "doc_id", "left_anti")
-    two = settled(segments_by_size(rest))
+    two = settled(cut_at(rest, headings(rest)))
     rest = rest.join(two.select("doc_id").distinct(), "doc_id", "left_anti")
     return one.unionByName(two).unionByName(segments_by_pages(rest, size))

@@ -225,6 +225,24 @@ def test_lines_and_tables_stay_in_the_jvm(spark):
     assert "Python" not in plan and "InPandas" not in plan and plan.count("Exchange ") <= 2
 
 
+def test_sections_are_dealt_by_document_once(spark):
+    """Lines are made once, and their sections, tables and contents stay where a document's lines lie."""
+    runs = spark.createDataFrame([(f"d{k % 3}", 1 + k // 40, k, float(k // 3 * 12), float(k % 3 * 90), 10.0, 11.0, f"t{k}") for k in range(200)], RUN)
+    marks = spark.createDataFrame([("d0", 0, 1, "t0", 1)], "doc_id string, ord int, depth int, title string, page int")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = pdf_model.visual_lines(runs)
+    assert plan(pdf_model.segments_by_pages(found)).count("Exchange ") <= 1
+    marked = plan(pdf_model.segments_by_bookmarks(found, marks))
+    assert "Join" not in marked.split("Union")[0] and "aggregate(items" not in marked
+
+
+def test_a_start_without_a_line_of_its_own_cuts_nothing(spark):
+    found = lines(spark, [row("a", cells=["a", "b"]), row("c", cells=["c", "d"]), row("Uno", cells=["Uno", "x"]), row("e", cells=["e", "f"]), row("g", cells=["g", "h"])])
+    starts = spark.createDataFrame([("d", 2, "Uno"), ("d", 9, "Nada"), ("other", 0, "Otro")], "doc_id string, idx int, title string")
+    rows = [(r.ord, r.title, r.content) for r in pdf_model.cut_at(found, starts).orderBy("ord").collect()]
+    assert rows == [(1, "Introducción", "| a | b |\n| --- | --- |\n| c | d |"), (2, "Uno", "| e | f |\n| --- | --- |\n| g | h |")]
+
+
 def test_lines_are_anchored_at_their_first_run(spark):
     """Tops of 0, 0.6 and 1.2 are two lines, as the third run is too far from the first; an image ends a line."""
     runs = spark.createDataFrame([("d", 1, 0, 0.0, 5.0, 10.0, 11.0, "a"), ("d", 1, 1, 0.6, 20.0, 10.0, 12.0, "b"), ("d", 1, 2, 1.2, 1.0, 5.0, 9.0, "c"), ("d", 1, 3, 1.3, 99.0, 5.0, 9.0, "d"), ("d", 2, 4, 0.0, 1.0, 5.0, 9.0, "e")], "doc_id string, page int, ord int, top double, left double, width double, size double, text string")
