@@ -50,9 +50,13 @@ def relink(segments: DataFrame, assets: DataFrame) -> DataFrame:
     Only paths within the document's archive resolve: no absolute path, none that leaves by '..'.
     """
     inside = ~F.col("src").rlike(r"^/|(?:^|/)\.\.(?:/|$)")
-    names = asset_names(assets.filter(inside)).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("src", "name"))).alias("names"))
+    names = asset_names(assets.filter(inside))
+    # a segment takes the names of what it shows, not those of all its document's assets
+    shown = segments.select("doc_id", "ord", F.explode(image_targets(F.col("body"))).alias("src")).distinct()
+    own = shown.join(names, ["doc_id", "src"]).groupBy("doc_id", F.col("ord").alias("at_")).agg(F.map_from_entries(F.collect_list(F.struct("src", "name"))).alias("names"))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return segments.join(names, "doc_id", "left").withColumn("body", rewrite_images(F.col("body"), F.coalesce("names", empty))).drop("names")
+    found = segments.withColumn("at_", F.col("ord")).join(own, ["doc_id", "at_"], "left").select(*[F.col(c) for c in segments.columns], "names")
+    return found.withColumn("body", rewrite_images(F.col("body"), F.coalesce("names", empty))).drop("names")
 
 
 def local_references(segments: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def convert(docs: DataFrame) -> Converted:
     failed = parsed.filter("kind = 'error'").select("doc_id", "error").unionByName(found.filter("kind = 'error'").select("doc_id", "error"))
     failed = failed.unionByName(pages_.filter("page.error IS NOT NULL").select("doc_id", F.col("page.error").alias("error")))
     failed = failed.unionByName(unknown.select("doc_id", F.format_string("unknown format: %s", F.coalesce("format", F.lit(""))).alias("error")))
-    all_ = segments(plain).select(SEGMENT).unionByName(chapters).unionByName(pages.select(SEGMENT))
+    all_ = settled(segments(plain).select(SEGMENT).unionByName(chapters).unionByName(pages.select(SEGMENT)))  # read twice: for what it shows, and as it is
     return Converted(assets_.relink(all_, media).select(SEGMENT), media, failed)
 
 

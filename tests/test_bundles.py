@@ -89,6 +89,18 @@ def test_relink_stays_within_the_archive(spark):
     assert assets.local_references(out).count() == 5
 
 
+def test_segments_take_the_names_they_show(spark, monkeypatch):
+    """A document of many assets: each segment's map holds what it shows, not the whole document's names."""
+    from pyspark.sql import functions as F
+
+    found = some_assets(spark, [("d", f"img/{k}.png", str(k)) for k in range(40)])
+    of = spark.createDataFrame([("d", k, f"![a](img/{k}.png) ![b](img/{k}.png) ![c](gone.png)") for k in range(40)] + [("d", 40, "x")], "doc_id string, ord int, body string")
+    held, real = [], assets.rewrite_images
+    monkeypatch.setattr(assets, "rewrite_images", lambda body, names: held.append(1) or F.concat(real(body, names), F.format_string(" %d", F.size(names))))
+    rows = {r.ord: r.body for r in assets.relink(of, found).collect()}
+    assert held and rows == {k: f"![a](../assets/{k}.png) ![b](../assets/{k}.png) ![c](gone.png) 1" for k in range(40)} | {40: "x 0"}
+
+
 def built(spark):
     of = spark.createDataFrame([("j", 2, "B|c", "# B\n\ndos tres\n"), ("j", 1, "A", "# A\n\nuno dos\n")], "job_id string, ord int, title string, body string")
     jobs = spark.createDataFrame([("j", "doc.md", "md", b"abc")], "job_id string, original_name string, format string, content binary").withColumn("converted_at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
