@@ -86,28 +86,32 @@ class JobProcessor(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000 or -(1 << 62)  # 0 stands for none yet
         fresh = [(r["micros"], r["seq"], r["event"] or "", r["error_message"] or "") for r in rows if r["micros"] > mark]
-        now, waiting = self.folded(mark, fresh)
+        # each call on the state is a round trip to the JVM: a job that is new has neither open events nor timers to ask for
+        before = self.settled.get()
+        now, waiting = self.folded(mark, fresh, before)
         for _, _, event, error in waiting:
             now = stepped(now, event, error)
-        self.remind(now[0], timerValues)
+        self.remind(now[0], timerValues, before is not None)
         yield Row(job_id=key[0], status=now[0], error_message=now[1], applied=now[2])
 
-    def folded(self, mark: int, fresh: list[tuple]) -> tuple[tuple, list[tuple]]:
+    def folded(self, mark: int, fresh: list[tuple], before: tuple | None) -> tuple[tuple, list[tuple]]:
         """The state with all events up to the mark in it, and the others in order."""
-        *now, last = self.settled.get() if self.settled.exists() else ("pending", "", 0, 0)
-        events = sorted([tuple(x) for x in self.open.get()] + fresh)
+        *now, last = before or ("pending", "", 0, 0)
+        held = [tuple(x) for x in self.open.get()] if before is not None else []
+        events = sorted(held + fresh)
         due = [e for e in events if e[0] <= mark]
         for _, _, event, error in due:
             now = stepped(tuple(now), event, error)
         self.last = max([last, *(e[0] for e in events)])
         self.settled.update((*now, self.last))
-        self.open.clear()
         if len(due) < len(events):
-            self.open.put(events[len(due) :])
+            self.open.put(events[len(due) :])  # in place of what it held
+        elif held:
+            self.open.clear()
         return tuple(now), events[len(due) :]  # sorted, so what is due comes first
 
-    def remind(self, status: str, timers: TimerValues) -> None:
-        for at in self.handle.listTimers():
+    def remind(self, status: str, timers: TimerValues, known: bool) -> None:
+        for at in self.handle.listTimers() if known else ():
             self.handle.deleteTimer(at)
         if status in TERMINAL:
             self.handle.registerTimer(max(self.last // 1000 + self.keep_ms, timers.getCurrentWatermarkInMs() + 1))

@@ -4,6 +4,7 @@ import itertools
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from bindery.functions import frames
@@ -174,3 +175,27 @@ def test_tables_of_a_batch_are_removed(spark, tmp_path):
         path = frames.SETTLED[-1]
         raise ValueError
     assert gone(path)
+
+
+def test_new_jobs_cost_few_calls_on_the_state():
+    """A job without a state asks neither for open events nor for timers; a known one does."""
+    calls = []
+
+    class State:
+        def __init__(self, name, held):
+            self.name, self.held = name, held
+
+        def __getattr__(self, call):
+            return lambda *x: calls.append((self.name, call)) or self.held
+
+    class Timers:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 0
+
+    row = Row(micros=5, seq=1, event="claim", error_message=None)
+    for before, most in ((None, 3), (("pending", "", 0, 0), 5)):
+        p = streams.JobProcessor(1000)
+        p.handle, p.settled, p.open = State("handle", []), State("settled", before), State("open", [])
+        calls.clear()
+        assert list(p.handleInputRows(("a",), iter([row]), Timers())) == [Row(job_id="a", status="processing", error_message="", applied=1)]
+        assert len(calls) <= most and (("open", "get") in calls) == (before is not None) == (("handle", "listTimers") in calls)
