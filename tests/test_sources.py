@@ -44,6 +44,19 @@ CHAPTERS = {"O/c1.xhtml": "<h1>C1</h1><img src='img/a.png'>", "O/c2.xhtml": "<p>
 NCX = '<ncx xmlns="x"><navMap><navPoint><navLabel><text>Primero</text></navLabel><content src="c1.xhtml"/><navPoint><navLabel><text> </text></navLabel><content src="c2.xhtml"/></navPoint></navPoint><navPoint><navLabel><text>Falta</text></navLabel><content src="c9.xhtml"/></navPoint></navMap></ncx>'
 
 
+def test_pages_are_held_a_few_at_a_time(spark, monkeypatch):
+    """A batch of pages is converted by slices, in order, errors and nulls too, and an empty batch gives an empty one."""
+    taken, real = [], html.to_markdown
+    monkeypatch.setattr(html, "SLICE", 2)
+    monkeypatch.setattr(html, "to_markdown", lambda page: taken.append(page) or (1 / 0 if page == "bad" else real(page)))
+    got = []
+    monkeypatch.setattr(html.F, "arrow_udf", lambda kind: lambda f: got.append(f) or (lambda c: c))
+    html.converted(None)
+    column = html.pa.array(["<p>a</p>", None, "bad", "<p>ñ</p>", "<h1>e</h1>"])
+    assert got[0](column).to_pylist() == [{"markdown": "a", "error": None}, {"markdown": "", "error": None}, {"markdown": None, "error": "division by zero"}, {"markdown": "ñ", "error": None}, {"markdown": "# e", "error": None}]
+    assert taken == column.to_pylist() and got[0](column.slice(0, 0)).to_pylist() == []
+
+
 def test_docx():
     text, media = archives.docx_markdown(zipped(DOCX))
     assert text == "# Uno\n\ntexto **fuerte**\n\n![](media/i.png)\n" and media == {"media/i.png": b"png"}
