@@ -18,7 +18,10 @@
 5. A search task holds the inverted lists of its sets. For a set, the longest lists are put aside, the others are merged on
    a heap that skips ids which can't reach the count, and the candidates are looked up in the long lists by binary search
    (DivideSkip). Sets that are known to be connected aren't verified.
-6. Links lie within components, so their numbers are counted there, in pairs of blocks where a component needs several.
+6. Links lie within components, so their numbers are counted there, in pairs of blocks where a component needs several. Near
+   copies share nearly everything, so sets are told by how they differ from what most of a task's sets hold: a list of over
+   half of them becomes the list of the others. Pairs that differ from it so little that they link in any case are counted by
+   their sizes; for the others DivideSkip looks for enough of the same differences.
 """
 
 from __future__ import annotations
@@ -43,8 +46,8 @@ BUCKET_BYTES, FLUSH, BLOCK = 8_000_000, 250_000, 500_000
 #: Sets and shingles of a block, of which a search task holds two; and how many sets go to every block of a large group.
 HALF_SETS, HALF_SHINGLES, CENTRAL = 1024, 500_000, 8
 COPY_COUNTERS = 16_384
-#: Sets of a block where links are counted, which takes time by the pairs.
-COUNT_SETS = 256
+#: Sets whose differences are compared with those of all others at a time; more differences than any sets share.
+ROWS, NEVER = 256, 1 << 40
 #: What a step on the heap costs against a step of a binary search; it says how many lists are put aside.
 SKIP_COST = 0.01
 NULL_ID, NOBODY = -(1 << 63), 0
@@ -430,25 +433,33 @@ class Links:
         n, least = self.sizes[i], needed(self.sizes[i], self.percent)
         if self.shared[i] < least:
             return
-        short, long, weight = sorted(self.of[i], key=lambda k: len(self.lists[k])), [], 0
-        aside = min(least - 1, int(least / (SKIP_COST * math.log2(len(self.lists[short[-1]]) + 1) + 1)))
-        while weight + self.weights[short[-1]] <= aside:
-            long.append(short.pop())
-            weight += self.weights[long[-1]]
+        short, long, weight = self.divided(i, least)
         for j, count in self.candidates(short, least - weight, start):
             m = self.sizes[j]
             if j == i or 100 * min(n, m) < self.percent * max(n, m) or not (again or self.find(i) != self.find(j)):
                 continue
-            enough, left = -(-self.percent * (n + m) // (100 + self.percent)), weight
-            for k in long:
-                if count + left < enough:
-                    break
-                at, members = bisect_left(self.lists[k], j), self.lists[k]
-                count += self.weights[k] if at < len(members) and members[at] == j else 0
-                left -= self.weights[k]
-            if 100 * count >= self.percent * (n + m - count):
+            if self.reaches(-(-self.percent * (n + m) // (100 + self.percent)), j, count, long, weight):
                 yield j
 
+    def divided(self, i: int, least: int) -> tuple[list[int], list[int], int]:
+        """The lists that hold set i: those to merge; the longest ones, put aside, where less than `least` may stand; their weight."""
+        short, long, weight = sorted(self.of[i], key=lambda k: len(self.lists[k])), [], 0
+        aside = min(least - 1, int(least / (SKIP_COST * math.log2(len(self.lists[short[-1]]) + 1) + 1)))
+        while weight + self.weights[short[-1]] <= aside:
+            long.append(short.pop())
+            weight += self.weights[long[-1]]
+        return short, long, weight
+
+    def reaches(self, enough: int, j: int, count: int, long: list[int], left: int) -> bool:
+        """Whether set j, counted so far, is looked up in enough of the long lists, whose weight is `left`."""
+        for k in long:
+            if count + left < enough:
+                break
+            at, members = bisect_left(self.lists[k], j), self.lists[k]
+            count += self.weights[k] if at < len(members) and members[at] == j else 0
+            left -= self.weights[k]
+        return count >= enough
+
     def all(self) -> Iterator[tuple[int, int]]:
         """Links that connect whatever links connect."""
         waiting = list(range(len(self.sizes)))
@@ -470,6 +481,60 @@ class Links:
             waiting = [i for i in waiting if i not in queried]
 
 
+class Differences(Links):
+    """The sets by how they differ from what most of them hold: lists of more than half of the sets are those of the others."""
+
+    def __init__(self, sizes: list[int], sets: list[np.ndarray], percent: int) -> None:
+        super().__init__(sizes, sets, percent)
+        far = [n - shared for n, shared in zip(sizes, self.shared, strict=True)]  # shingles that one set only holds
+        for k, members in enumerate(self.lists):
+            if 2 * len(members) > len(sets):
+                held = set(members)
+                self.lists[k] = [i for i in range(len(sets)) if i not in held]
+        self.of, self.shared = [[] for _ in sets], [0] * len(sets)
+        for k, members in enumerate(self.lists):
+            for i in members:
+                self.of[i].append(k)
+                self.shared[i] += self.weights[k]
+        self.far = [a + b for a, b in zip(far, self.shared, strict=True)]  # how many differences each set has
+
+    def counts(self, copies: list[int], n_low: int) -> list[int]:
+        """For each set, the copies of the other sets that it links with; of the sets from n_low on for one before, and the other
+        way round, if n_low isn't 0.
+        """
+        size, far, weight = (np.array(x, np.int64) for x in (self.sizes, self.far, copies))
+        found, n = np.zeros(len(copies), np.int64), len(copies)
+        for k in range(0, n_low or n, ROWS):
+            one, other = slice(k, min(k + ROWS, n_low or n)), slice(n_low, n)
+            enough = self.enough((size[one, None], far[one, None]), (size[other], far[other]))
+            if not n_low:
+                enough[np.arange(n) <= np.arange(n)[one, None]] = NEVER  # each pair once
+            found[one] += (enough <= 0) @ weight[other]
+            found[other] += weight[one] @ (enough <= 0)
+            enough[(enough <= 0) | (enough > np.minimum(far[one, None], far[other]))] = NEVER
+            for i, least in enumerate(enough.min(1).tolist(), k):
+                if least <= self.shared[i]:
+                    for j in self.alike(i, least, n_low or i + 1):
+                        found[i] += copies[j]
+                        found[j] += copies[i]
+        return found.tolist()
+
+    def enough(self, a: tuple, b: tuple):
+        """How many differences two sets, told by size and differences, share at least if they link; if it's 0 or less, they do.
+
+        Two sets differ in what either differs in but for twice what both do; it may be this share of both sizes.
+        """
+        return -(((100 - self.percent) * (a[0] + b[0]) // (100 + self.percent) - a[1] - b[1]) // 2)
+
+    def alike(self, i: int, least: int, start: int) -> Iterator[int]:
+        """The sets from `start` on that link with set i as they share differences, of which `least` are needed at least."""
+        short, long, weight = self.divided(i, least)
+        for j, count in self.candidates(short, least - weight, start):
+            enough = self.enough((self.sizes[i], self.far[i]), (self.sizes[j], self.far[j]))
+            if enough > 0 and self.reaches(enough, j, count, long, weight):
+                yield j
+
+
 def search(percent: int):
     """For a search task's rows: links between nodes of different components. A node may be there more than once."""
 
@@ -490,14 +555,11 @@ def count_links(percent: int):
 
     def count(t: pa.Table) -> pa.Table:
         t = t.sort_by([("low", "descending"), ("node", "ascending")])  # a pair is looked for from its first set only
-        nodes, copies, n_low = t["node"].to_pylist(), t["copies"].to_pylist(), sum(t["low"].to_pylist())
-        one, found = t["low_block"][0] == t["high_block"][0], [0] * t.num_rows
-        links = Links(t["n"].to_pylist(), [long48(x) for x in t["hashes"].to_pylist()], percent)
-        for i in range(t.num_rows if one else n_low):
-            for j in links.partners(i, True, i + 1 if one else n_low):
-                found[i] += copies[j]
-                found[j] += copies[i]
-        return pa.Table.from_batches([batch(list(zip(nodes, found, strict=True)), "node long, links long")])
+        n_low, one = sum(t["low"].to_pylist()), t["low_block"][0] == t["high_block"][0]
+        found = [0] * t.num_rows
+        if one or 0 < n_low < t.num_rows:  # a block may be empty
+            found = Differences(t["n"].to_pylist(), [long48(x) for x in t["hashes"].to_pylist()], percent).counts(t["copies"].to_pylist(), 0 if one else n_low)
+        return pa.Table.from_batches([batch(list(zip(t["node"].to_pylist(), found, strict=True)), "node long, links long")])
 
     return count
 
@@ -658,7 +720,7 @@ def links_of_nodes(ordered: DataFrame, linked: DataFrame, copies: DataFrame, per
     """node, links: for the nodes of components (node, root), the number of documents of other nodes that they link with."""
     sets = stored(ordered.select("node", "n", "shingles", "hashes").join(linked, "node").join(copies, "node"))
     groups = cut(sets.groupBy("root").agg(F.count("*").alias("sets"), F.sum("shingles").alias("all_shingles")))
-    groups = groups.withColumn("blocks", blocks_needed("sets", "all_shingles", min(HALF_SETS, COUNT_SETS)))
+    groups = groups.withColumn("blocks", blocks_needed("sets", "all_shingles", HALF_SETS))
     dealt = meet(sets, groups, "root", "sets", sets.count()).withColumn("block", block_of("blocks"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low = F.col("block") <= F.col("other")

@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bindery.llm import jaccard_join, license_scan, mixing, regression, toxicity, words
@@ -353,6 +354,32 @@ def test_search_merges_skips_and_probes(monkeypatch):
     assert list(links.partners(0)) == [399] and len(taken) < 400 * 20  # of about 140 lists with 400 ids each
 
 
+@pytest.mark.parametrize(("percent", "low"), [(80, 0), (85, 0), (80, 120), (85, 1)])
+def test_links_of_near_copies_are_counted_by_their_differences(monkeypatch, percent, low):
+    """All links, also of sets far from the others, within a block (low 0) or between two; lists of near copies aren't merged."""
+    rng = np.random.default_rng(percent + low)
+    base, other, few = (rng.integers(1, 1 << 40, n).astype(np.uint64) for n in (120, 120, 12))
+    new = lambda n: rng.integers(1, 1 << 40, n).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(120) > rng.choice([0.01, 0.04, 0.12])], new(rng.integers(0, 6))])) for _ in range(300)]
+    sets += [np.unique(np.concatenate([other[rng.random(120) > 0.05], new(2)])) for _ in range(20)]
+    sets += [np.unique(rng.choice(few, 5)) for _ in range(30)] + [new(3) for _ in range(5)]
+    sets = list({s.tobytes(): s for s in sets}.values())
+    rng.shuffle(sets := np.array(sets, object))
+    copies, n = rng.integers(1, 9, len(sets)), len(sets)
+    expected = [0] * n
+    for i in range(n):
+        for j in range(n):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if i != j and (not low or (i < low) != (j < low)) and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                expected[i] += int(copies[j])
+    taken = []
+    monkeypatch.setattr(jaccard_join.heapq, "heappop", lambda heap, pop=jaccard_join.heapq.heappop: taken.append(1) or pop(heap))
+    columns = {"low_block": [0] * n, "high_block": [int(low > 0)] * n, "low": [int(not low or i < low) for i in range(n)], "node": list(range(n)), "n": [len(s) for s in sets], "hashes": [jaccard_join.short48(s) for s in sets], "copies": copies.tolist()}
+    found = jaccard_join.count_links(percent)(pa.table(columns))
+    assert dict(zip(found["node"].to_pylist(), found["links"].to_pylist(), strict=True)) == dict(enumerate(expected)) and sum(expected) > 500
+    assert len(taken) < n * n, len(taken)  # lists as they are take some nine times as many within a block
+
+
 @pytest.mark.parametrize("in_one_task", [1_000_000, 3])
 def test_components(spark, in_one_task):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 90), (90, 95), (200, 201), (7, 7), (-5, -9)] + [(500, 500 + i) for i in range(1, 40)]
