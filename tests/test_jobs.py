@@ -2,7 +2,9 @@
 
 import itertools
 import json
+from random import Random
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -199,3 +201,103 @@ def test_new_jobs_cost_few_calls_on_the_state():
         calls.clear()
         assert list(p.handleInputRows(("a",), iter([row]), Timers())) == [Row(job_id="a", status="processing", error_message="", applied=1)]
         assert len(calls) <= most and (("open", "get") in calls) == (before is not None) == (("handle", "listTimers") in calls)
+
+
+def test_state_is_held_by_blocks(spark, tmp_path):
+    """Many jobs make few rows of state and few calls on it, not some for each job."""
+    put_events(spark, tmp_path, "1.json", [(f"j{k}", 1, ("claim", "complete")[k % 2], k % 60) for k in range(3000)])
+    found, state = state_run(spark, tmp_path)
+    assert len(found) == 3000 and found["j1"] == ("completed", "", 1) and state["numRowsTotal"] < 1500
+
+
+def test_blocks_end_as_jobs_alone(spark, tmp_path):
+    """Each micro-batch's rows: of blocks as of jobs alone, with late events, jobs that are forgotten and begin anew, and odd values."""
+    random = Random(4)
+    names, jobs_ = [*jobs.TRANSITIONS, "unknown", None], [*(f"j{k}" for k in range(25)), 'é"\n', "", None]
+    for k in range(6):
+        rows = [(random.choice(jobs_), random.randrange(10**17, 10**18), random.choice(names), max(0, 150 * k + random.randrange(-250, 150))) for _ in range(60)]
+        put_events(spark, tmp_path, f"{k}.json", rows)
+    schema = "job_id string, seq long, event string, error_message string, ts timestamp"
+    end = spark.createDataFrame([("far", 1, "claim", None)], "job_id string, seq long, event string, error_message string").withColumn("ts", F.lit("9000-01-01").cast("timestamp"))
+
+    def run(**blocks):
+        out, at = [], tmp_path / f"check-{len(list(tmp_path.iterdir()))}"
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        states = streams.job_states(stream, "100 seconds", 120, **blocks)
+        states.writeStream.outputMode("update").foreachBatch(lambda df, n: out.extend((n, *r) for r in df.collect())).option("checkpointLocation", str(at)).trigger(availableNow=True).start().awaitTermination()
+        return sorted(out, key=repr)
+
+    end.write.mode("append").json(str(tmp_path / "in"))
+    alone = run(blocks=None)
+    assert alone == run(blocks=2) == run() and {r[1] for r in alone} == {*jobs_, "far"}
+    assert any(a[1] == b[1] and a[0] < b[0] and a[4] > b[4] for a in alone for b in alone)  # some job began anew
+
+
+class Held:
+    """A block's state and handle, and the calls on them."""
+
+    def __init__(self, value=None):
+        self.value, self.calls, self.timers = value, [], []
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append("registerTimer")
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls.append("deleteTimer")
+        self.timers.remove(at)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def block(held, blocks=4):
+    out = streams.BlockProcessor(1000, blocks)
+    out.handle = out.block = held
+    return out
+
+
+def messages(*rows):
+    return iter([pd.DataFrame({"message": [json.dumps(dict(zip(("job_id", "micros", "seq", "event"), r, strict=True)))]}) for r in rows])
+
+
+def test_blocks_cost_few_calls_on_the_state():
+    held = Held()
+    rows = [(f"j{k}", 10**6 + k, 1, "complete") for k in range(500)]
+    (got,) = block(held).handleInputRows((3,), messages(*rows), Watermark(0))
+    assert len(got) == 500 and set(got.status) == {"completed"} and len(held.calls) == 3
+    (got,) = block(held).handleInputRows((3,), messages(("j0", 9 * 10**6, 2, "fail")), Watermark(0))
+    assert got.values.tolist() == [["j0", "failed", "", 2]] and len(held.calls) <= 7
+    with pytest.raises(ValueError, match="4 blocks"):
+        list(block(held, 5).handleInputRows((3,), messages(*rows), Watermark(0)))
+
+
+def test_block_timer_is_of_the_job_forgotten_next():
+    held = Held()
+    list(block(held).handleInputRows((3,), messages(("a", 5 * 10**6, 1, "complete"), ("b", 3 * 10**6, 2, "fail"), ("c", 10**6, 3, "claim")), Watermark(0)))
+    assert held.timers == [4000]
+    held.timers.remove(4000)  # as Spark does
+    list(block(held).handleExpiredTimer((3,), Watermark(4000), None))
+    assert held.timers == [6000] and sorted(j[0] for j in json.loads(held.value[0])) == ["a", "c"]
+    list(block(held).handleInputRows((3,), messages(("c", 7 * 10**6, 4, "cancel")), Watermark(4000)))
+    assert held.timers == [6000]
+    held.timers.remove(6000)
+    list(block(held).handleExpiredTimer((3,), Watermark(9000), None))
+    assert held.value is None and not held.timers
